@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import arrow_map, batch_of, filesystem, fresh_folder, id_text, partitions, saved
 
 MAGIC = b"RPLN1\n"
@@ -144,9 +145,9 @@ class PlaneReader:
 
 class LibraryEncoder:
     """The library's ids of whole texts. Its words end at white space, so words between ASCII white space are encoded
-    alone, each once as long as the cache holds it. New words of plain Latin letters and punctuation are cut into the
-    pieces that the vocabulary's pattern cuts them into and go to the library in one text, where an end-of-word
-    symbol closes each piece; other words go one by one."""
+    alone, each once as long as the cache holds it. New words of plain Latin letters and punctuation are lower-cased
+    and cut into the pieces that the vocabulary's pattern cuts them into, and the library's model encodes each piece
+    straight from its byte letters; other words go through the library's whole pipeline one by one."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -155,38 +156,28 @@ class LibraryEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+        self.model = self.tok.model
+        letters = byte_letters()
+        self.letters = {ord(ch): "".join(letters[b] for b in ch.encode()) for ch in map(chr, range(33, 256))}
         self.kept: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _one_by_one(self, words: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        ids = np.array(self.tok.encode(" ".join(pieces), add_special_tokens=False).ids, dtype="<u4")
-        stop = np.flatnonzero(self.ends[ids]) + 1
-        if len(stop) != len(pieces) or len(ids) != stop[-1]:
-            self.pieces.update(zip(pieces, self._one_by_one([p.encode() for p in pieces]), strict=True))
-            return
-        raw, at = ids.tobytes(), 0
-        for p, k in zip(pieces, (4 * stop).tolist(), strict=True):
-            self.pieces[p] = raw[at:k]
-            at = k
+    def _learn(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
+        out = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        plain, other = [], []
+        known, out, other = self.pieces, {}, []
         for w in words:
             s = w.decode()
             if _PLAIN(s) and "<|" not in s:
-                plain.append((w, _PLAIN_PIECES(s.lower())))
+                out[w] = b"".join([known.get(p) or self._learn(p) for p in _PLAIN_PIECES(s.lower())])
             else:
                 other.append(w)
-        new = [p for p in {p for _, ps in plain for p in ps} if p not in self.pieces]
-        if new:
-            self._learn(new)
-        out = {w: b"".join(map(self.pieces.__getitem__, ps)) for w, ps in plain}
         if other:
             out.update(zip(other, self._one_by_one(other), strict=True))
         return out
