@@ -15,6 +15,8 @@ doc_ids are scored row by row, and a doc_id with several labels trains with each
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, batch_of, id_text, in_pieces, mix, prefix_hash, span_hash
 
 HASH_BITS, FACTORS = 22, 4
-TRAIN_ROWS = 30_000
+TRAIN_ROWS = 20_000
 #: A term needs this many training documents and this likelihood ratio to have weights at all.
 LEAST_DOCS, LEAST_RATIO, MOST_TERMS = 4, 12.0, 20_000
 ROUNDS, RATE, DECAY = 250, 0.05, 3e-4
@@ -102,11 +104,11 @@ def fit(hashed: np.ndarray, first: np.ndarray, y: np.ndarray) -> FactorizationMa
     if not t1 or not t0:
         rate = t1 / len(y) if len(y) else 0.0
         return FactorizationMachine(none, float(np.log((rate + 1e-6) / (1 - rate + 1e-6))), np.zeros(0), np.zeros((0, FACTORS)))
-    label = np.repeat(y, np.diff(first))
-    n1 = np.bincount(hashed[label == 1], minlength=1 << HASH_BITS).astype(float)
-    n0 = np.bincount(hashed[label == 0], minlength=1 << HASH_BITS).astype(float)
+    label = np.repeat(y == 1, np.diff(first))
+    n1, n0 = (np.bincount(hashed[x], minlength=1 << HASH_BITS).astype(np.int32) for x in (label, ~label))
+    del label
     seen = np.flatnonzero(n1 + n0 >= LEAST_DOCS)
-    ratio = _ratio(n1[seen], n0[seen], t1, t0)
+    ratio = _ratio(n1[seen].astype(float), n0[seen].astype(float), t1, t0)
     more = n1[seen] / t1 > n0[seen] / t0
     keep = (ratio >= LEAST_RATIO) & more
     terms = np.sort(seen[keep][np.argsort(-ratio[keep], kind="stable")[:MOST_TERMS]])
@@ -153,11 +155,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Factori
                 yield batch_of(schema, toxic=b.column("toxic")[lo:hi], terms=[hashed[a:z].astype("<u4").tobytes() for a, z in zip(first, first[1:], strict=False)])
 
     rows = arrow_map(id_text(docs).join(F.broadcast(chosen), "doc_id").select("toxic", "text"), run, "toxic int, terms binary").toArrow()
-    parts = [np.frombuffer(x, dtype="<u4").astype(np.int64) for x in rows.column("terms").to_pylist()]
-    order = sorted(range(len(parts)), key=lambda i: (parts[i].tobytes(), rows.column("toxic")[i].as_py()))  # the same whatever the order of arrival
-    y = rows.column("toxic").to_numpy().astype(float)[order] if len(order) else np.zeros(0)
+    parts = [np.frombuffer(x, dtype="<u4") for x in rows.column("terms").to_pylist()]
+    labels_ = rows.column("toxic").to_pylist()
+    order = sorted(range(len(parts)), key=lambda i: (zlib.crc32(parts[i]), parts[i].tobytes()[:64], labels_[i]))  # the same whatever the order of arrival
+    y = np.array(labels_, dtype=float)[order] if order else np.zeros(0)
     parts = [parts[i] for i in order]
-    return fit(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64), y)
+    return fit(np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64), y)
 
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
