@@ -8,6 +8,7 @@ for each block. Replies return as one file for each block. Texts are never shuff
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_map, batch_of, filesystem, fresh_folder, id_text, partitions
 
@@ -31,7 +32,7 @@ def write_blocks(docs: DataFrame) -> tuple[DataFrame, str]:
         ids, texts, held = [], [], 0
 
         def flush():
-            name = f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
+            name = f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex[:16]}"
             return batch_of(_BLOCK, block=[name], doc_ids=[ids], texts=[texts])
 
         for b in batches:
@@ -62,6 +63,12 @@ def over_blocks(blocks: DataFrame, fn: Callable[[str, list, list[bytes]], Iterat
     return blocks.mapInArrow(run, schema)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of a finished exchange stay on the executors until the driver collects its garbage; asks for it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _save(folder: str, name: str, data: bytes) -> None:
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
@@ -137,6 +144,8 @@ def mark_repeated(blocks: DataFrame, hashes_of: Callable[[str, list, list[bytes]
     given = over_blocks(blocks, emit, "bucket int, block string, hashes binary, many binary").repartition(partitions(spark), "bucket")
     replies = arrow_map(given, meet, "block string, bucket int, marks binary").repartition(partitions(spark), "block").sortWithinPartitions("block", "bucket")
     arrow_map(replies, store, "done int").count()
+    del given, replies
+    release(spark)
 
 
 def repeated(hashes: np.ndarray, marks: bytes) -> np.ndarray:
@@ -165,3 +174,5 @@ def store_by_block(rows: DataFrame, columns: list[str], folder: str) -> None:
 
     dealt = rows.select("block", *columns).repartition(partitions(spark), "block").sortWithinPartitions("block")
     arrow_map(dealt, store, "done int").count()
+    del dealt
+    release(spark)
