@@ -110,3 +110,26 @@ def interpolate_grid(x: Column, y: Column, grid: list[list[float]], origin: tupl
     du, dv = u - i, v - j
     value = at(i, j) * (1 - du) * (1 - dv) + at(i + 1, j) * du * (1 - dv) + at(i, j + 1) * (1 - du) * dv + at(i + 1, j + 1) * du * dv
     return F.when(u.between(0, len(grid) - 1) & v.between(0, len(grid[0]) - 1), value)
+
+
+#: Generator, start value and whether bits are reflected, of each 16-bit code.
+CRC16 = {"16": (0x8005, 0, True), "ccitt": (0x1021, 0xFFFF, False), "xmodem": (0x1021, 0, False)}
+
+
+def crc(data: Column, which: str = "ccitt") -> Column:
+    """Checksum of binary data as a long: "16", "ccitt", "xmodem" or "32"; null for null."""
+    if which == "32":
+        return F.crc32(data)
+    generator, start, reflected = CRC16[which]
+    if reflected:
+        generator = int(f"{generator:016b}"[::-1], 2)
+
+    def bit(now: Column, k: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(data, (k / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        now = F.when(k % 8 == 0, now.bitwiseXOR(byte if reflected else F.shiftleft(byte, 8))).otherwise(now)
+        if reflected:
+            return F.shiftright(now, 1).bitwiseXOR(now.bitwiseAND(F.lit(1)) * generator)
+        return F.shiftleft(now, 1).bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(F.shiftright(now, 15) * generator)
+
+    bits = F.sequence(F.lit(0), F.octet_length(data) * 8 - 1)
+    return F.when(F.octet_length(data) == 0, F.lit(start)).when(data.isNotNull(), F.aggregate(bits, F.lit(start), bit)).cast("long")

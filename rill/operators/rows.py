@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def select_records(df: DataFrame, conditions: list[Column], any_of: bool = False, invert: bool = False, flag: str | None = None) -> DataFrame:
@@ -51,9 +55,21 @@ def thin_by_time(df: DataFrame, seconds: Column, period: float, by: list[str], o
 
 
 def enumerate_keys(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Distinct keys with a dense id by first appearance and their count. The numbering window has one row a key."""
+    """Distinct keys with a dense id by first appearance and their count. order[0] is a number or a time: it deals the
+    keys into ranges, each numbered on its own, and adds up the sizes of the ranges before. Nothing is one task's but
+    the ranges' bounds (one number a shuffle partition)."""
     first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first"), F.count(F.lit(1)).alias("count"))
-    return first.withColumn("id", (F.row_number().over(Window.orderBy("__first")) - 1).cast("long")).drop("__first")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.col(f"__first.{order[0]}").cast("double")
+    bounds = first.agg(F.percentile_approx(at, [k / n for k in range(1, n)] or [1.0])).first()[0] or []
+    held = F.lit(0) if not bounds else F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b <= at))
+    placed = first.withColumn("__range", held.cast("int"))
+    sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))  # at most n rows
+    own = F.row_number().over(Window.partitionBy("__range").orderBy("__first"))
+    out = placed.withColumn("__own", own).join(F.broadcast(offsets), "__range")
+    return out.withColumn("id", (F.col("__own") + F.col("__before") - 1).cast("long")).drop("__first", "__range", "__own", "__before")
 
 
 def running_update(df: DataFrame, fields: list[str], by: list[str], order: list[str], last_only: bool = False) -> DataFrame:
@@ -107,6 +123,41 @@ def fill_holes(df: DataFrame, t: str, period: float, by: list[str], order: list[
     return df.withColumn("__until", until).withColumn("at", F.explode(times)).withColumn("repeated", (F.col("at") > F.col(t)).cast("int")).drop("__until")
 
 
+def sliding_sort(df: DataFrame, key: str, size: int, by: list[str], order: list[str], tail: bool = False) -> DataFrame:
+    """Sorts within a sliding window: whenever size records of a stream are held, the one with the least key (the
+    earliest, of equal keys) leaves; `place` counts from 0. The last size - 1 records are never followed by enough
+    others and only leave with tail. A task holds size records; null keys come first."""
+    fields = df.columns
+
+    def run(batches):
+        heap, stream, place, n = [], None, 0, 0
+
+        def emitted(enough):
+            nonlocal place
+            while len(heap) >= enough:
+                yield {**heapq.heappop(heap)[-1], "place": place}
+                place += 1
+
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if (now := tuple(row[c] for c in by)) != stream:
+                    out += emitted(1) if tail else ()
+                    heap, stream, place, n = [], now, 0, 0
+                heapq.heappush(heap, ((row[key] is not None, 0 if row[key] is None else row[key]), n, row))
+                n += 1
+                out += emitted(size)
+            yield pa.RecordBatch.from_pylist(out, schema=b.schema.append(pa.field("place", pa.int64())))
+            schema = b.schema
+        if tail and heap:
+            yield pa.RecordBatch.from_pylist(list(emitted(1)), schema=schema.append(pa.field("place", pa.int64())))
+
+    if size < 2:
+        raise ValueError("a sliding window has at least 2 records")
+    dealt = df.repartition(*by).sortWithinPartitions(*by, *order)
+    return dealt.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("place", T.LongType())])).select(*fields, "place")
+
+
 def paste(sides: list[DataFrame], orders: list[list[str]], by: list[str]) -> DataFrame:
     """Zips streams by place within their key; ends with the first stream."""
     placed = [s.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(*o))) for s, o in zip(sides, orders, strict=True)]

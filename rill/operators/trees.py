@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,11 @@ def layered(layers: list[DataFrame], keys: list[str]) -> DataFrame:
         d = d.withColumn("source", F.lit(k))
         every = d if every is None else every.unionByName(d)
     return every.groupBy(*keys, "path").agg(F.max(F.struct("source", "value")).alias("top")).select(*keys, "path", "top.value", "top.source")
+
+
+def permute(spark: SparkSession, lists: dict[str, Column]) -> DataFrame:
+    """Every combination of the values of named arrays (a list of literals, or a sequence), a column each."""
+    out = spark.range(1)
+    for name, values in lists.items():
+        out = out.withColumn(name, F.explode(values))
+    return out.select(*lists)

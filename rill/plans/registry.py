@@ -469,3 +469,19 @@ def trees_layered(spark, sf):
 @query("select c_custkey as key, 0 as source from customer union all select s_suppkey, 1 from supplier")
 def concatenate_sources(spark, sf):
     return _t(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.lit(0).alias("source")).unionByName(_t(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.lit(1).alias("source")))
+
+
+@query("select a, b, c from (values ('x'), ('y')) t(a), range(0, 4) u(b), (values (0.5::double), (1.5::double)) v(c)")
+def trees_permute(spark, sf):
+    return trees.permute(spark, {"a": F.array(F.lit("x"), F.lit("y")), "b": F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")), "c": F.array(F.lit(0.5), F.lit(1.5))})
+
+
+@query()
+def sort_sliding_window(spark, sf):
+    return rows.sliding_sort(_t(spark, sf, "events").select("event_type", "event_id", "value"), "value", 100, ["event_type"], ["event_id"])
+
+
+@query()
+def crc_of_names(spark, sf):
+    name = F.col("n_name").cast("binary")
+    return _t(spark, sf, "nation").select("n_nationkey", *(scalar.crc(name, w).alias(f"crc_{w}") for w in ("16", "ccitt", "xmodem", "32")))

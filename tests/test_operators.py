@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rill.functions import expressions, scalar
-from rill.operators import blocks, calc, joins, rows
+from rill.operators import blocks, calc, joins, rows, trees
 from rill.sources import records
 from rill.streaming import latest
 
@@ -87,3 +87,35 @@ def test_latest_join_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("latest").collect()] == [(1, 20, 2.0, 9.0)]
+
+
+def test_sliding_sort(spark):
+    keys = {"a": [5, 1, 4, None, 2, 2, 9, 0], "b": [3]}
+    df = spark.createDataFrame([(g, t, k) for g, ks in keys.items() for t, k in enumerate(ks)], "g string, t int, k int")
+    for tail in (False, True):
+        want = []
+        for g, ks in keys.items():
+            held, place = [], 0
+            for t, k in enumerate(ks):
+                held.append((-1 if k is None else k, t))
+                if len(held) == 3:
+                    want.append((g, place, min(held)[1]))
+                    held.remove(min(held))
+                    place += 1
+            want += [(g, place + i, t) for i, (_, t) in enumerate(sorted(held))] if tail else []
+        got = rows.sliding_sort(df, "k", 3, ["g"], ["t"], tail).select("g", "place", "t").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_enumerate_keys_in_ranges(spark):
+    df = spark.createDataFrame([(k, (k * 37) % 101 + 200 * r) for k in range(101) for r in range(3)], "k int, t int")
+    got = {r.k: (r.id, r["count"]) for r in rows.enumerate_keys(df, ["k"], ["t"]).collect()}
+    assert got == {k: ((k * 37) % 101, 3) for k in range(101)}
+    assert rows.enumerate_keys(df.filter("false"), ["k"], ["t"]).count() == 0
+
+
+def test_crc_and_permute(spark):
+    df = spark.createDataFrame([(bytearray(b"123456789"),), (bytearray(),), (None,)], "d binary")
+    got = df.select(*(scalar.crc(F.col("d"), w) for w in ("16", "ccitt", "xmodem", "32"))).collect()
+    assert [tuple(r) for r in got] == [(0xBB3D, 0x29B1, 0x31C3, 0xCBF43926), (0, 0xFFFF, 0, 0), (None,) * 4]
+    assert trees.permute(spark, {"x": F.array(F.lit(1), F.lit(2)), "y": F.sequence(F.lit(0), F.lit(2))}).count() == 6
