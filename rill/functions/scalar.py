@@ -133,3 +133,19 @@ def crc(data: Column, which: str = "ccitt") -> Column:
 
     bits = F.sequence(F.lit(0), F.octet_length(data) * 8 - 1)
     return F.when(F.octet_length(data) == 0, F.lit(start)).when(data.isNotNull(), F.aggregate(bits, F.lit(start), bit)).cast("long")
+
+
+def path_common(path: Column) -> Column:
+    """An aggregate: the longest path that all paths begin with, by whole elements. Arrays compare element by element,
+    so the least and the greatest path agree exactly as far as all do."""
+    parts = F.split(path, "/")
+    low, high = F.min(parts), F.max(parts)
+    same = F.transform(F.arrays_zip(low.alias("a"), high.alias("b")), lambda p: p["a"].eqNullSafe(p["b"]))
+    differ = F.array_position(same, F.lit(False)).cast("int")
+    return F.array_join(F.slice(low, F.lit(1), F.when(differ > 0, differ - 1).otherwise(F.size(low))), "/")
+
+
+def make_fixed(line: Column, count: int, delimiter: str = ",", value: str = "") -> Column:
+    """A delimited line with exactly count fields: padded with value, or chopped."""
+    parts = F.split(line, "\\Q" + delimiter + "\\E", -1)
+    return F.array_join(F.slice(F.concat(parts, F.array_repeat(F.lit(value), count)), 1, count), delimiter)

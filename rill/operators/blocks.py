@@ -72,3 +72,24 @@ def read_until(df: DataFrame, done: Column, by: list[str], order: list[str], inc
     """Records up to the first for which done holds, with it if inclusive."""
     w = window(by, order).rowsBetween(Window.unboundedPreceding, -1 if inclusive else Window.currentRow)
     return df.withColumn("__done", F.coalesce(F.max(F.coalesce(done, F.lit(False)).cast("int")).over(w), F.lit(0))).filter("__done = 0").drop("__done")
+
+
+def accumulate(df: DataFrame, ids: list[str], by: list[str], order: list[str], block: str = "block") -> DataFrame:
+    """At the end of each block, the last record of every id seen so far, with the block's number. Blocks count up by
+    one. Only the last record of an id in a block is carried on."""
+    rest = [c for c in df.columns if c not in {*by, *ids, block}]
+    last = df.groupBy(*by, *ids, block).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row"))
+    tops = df.groupBy(*by).agg(F.max(block).alias("__top"))
+    ended = last.join(tops, by) if by else last.crossJoin(F.broadcast(tops))
+    until = F.coalesce(F.lead(block).over(Window.partitionBy(*by, *ids).orderBy(block)) - 1, F.col("__top"))
+    carried = ended.withColumn("__until", until).withColumn(block, F.explode(F.sequence(F.col(block), F.col("__until"))))
+    return carried.select(*by, *ids, block, "__row.*")
+
+
+def increment(df: DataFrame, step: int, block: str = "block", out: str = "next_block") -> DataFrame:
+    return df.withColumn(out, F.col(block) + step)
+
+
+def last_block(df: DataFrame, ids: list[str], block: str = "block") -> DataFrame:
+    """All records of the last block of each id."""
+    return df.join(df.groupBy(*ids).agg(F.max(block).alias(block)), [*ids, block], "left_semi")

@@ -109,3 +109,30 @@ def state_join(df: DataFrame, moves: DataFrame, start: int, by: list[str], order
     folded = df.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("rows")).crossJoin(F.broadcast(table))
     first = F.struct(F.col("__moves").alias("moves"), F.lit(start).alias("state"), F.array().cast(f"array<{kind.simpleString()}>").alias("out"))
     return folded.select(F.explode(F.aggregate("rows", first, step)["out"]).alias("z")).select("z.row.*", "z.state", "z.next_state")
+
+
+def contain(df: DataFrame, intervals: DataFrame, x: str, low: str, high: str, width: float, out: str = "contained") -> DataFrame:
+    """Flags with 1 the records whose x lies in any [low, high), a null bound being open; 0 the others and null x.
+    Bounded intervals go to buckets of the given width as in interval_join. Of open ones only the outermost bound on
+    either side matters: one row in all."""
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
+    spread = intervals.filter(F.col(low) < F.col(high)).select(F.col(low).alias("__low"), F.col(high).alias("__high"), F.explode(F.sequence(bucket(low), bucket(high))).alias("__b"))
+    below, above = F.col(low).isNull(), F.col(high).isNull()
+    edges = intervals.agg(F.max(F.when(below & ~above, F.col(high))).alias("__below"), F.min(F.when(above & ~below, F.col(low))).alias("__above"), F.coalesce(F.max((below & above).cast("int")), F.lit(0)).alias("__all"))
+    placed = df.withColumn("__b", bucket(x)).crossJoin(F.broadcast(edges))
+    open_ = F.coalesce((F.col(x) < F.col("__below")) | (F.col(x) >= F.col("__above")) | (F.col(x).isNotNull() & (F.col("__all") == 1)), F.lit(False))
+    cond = (placed["__b"] == spread["__b"]) & (placed[x] >= spread["__low"]) & (placed[x] < spread["__high"])
+    hit = placed.join(spread, cond, "left_semi").withColumn(out, F.lit(1))
+    miss = placed.join(spread, cond, "left_anti").withColumn(out, open_.cast("int"))
+    return hit.unionByName(miss).drop("__b", "__below", "__above", "__all")
+
+
+def block_wise(df: DataFrame, other: DataFrame, block: str, by: list[str], ids: list[str]) -> DataFrame:
+    """The n-th block of one side joins, on ids, the n-th block of the other, whatever their numbers; the other side's
+    number is `other_block`. Only the blocks' numbers are ranked, not the records."""
+
+    def placed(side: DataFrame) -> DataFrame:
+        stops = side.select(*by, block).distinct().withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(block)))
+        return side.join(stops, [*by, block])
+
+    return placed(df).join(placed(other).withColumnRenamed(block, "other_block"), [*by, "__n", *ids]).drop("__n")

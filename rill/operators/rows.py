@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -165,3 +166,50 @@ def paste(sides: list[DataFrame], orders: list[list[str]], by: list[str]) -> Dat
     for p in placed[1:]:
         out = out.join(p, [*by, "__i"])
     return out.drop("__i")
+
+
+def _lot(order: list[str], seed: int) -> Column:
+    """A record's lot: the same for a seed, wherever and in whatever partition it is drawn."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in order)))
+
+
+def sample_size(df: DataFrame, size: int, by: list[str], order: list[str], seed: int = 0) -> DataFrame:
+    """size records of each block, drawn without replacement; all of a smaller block. Records out of the draw leave
+    before the shuffle, as only the first few ranks are kept."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("__lot", *order))
+    return df.withColumn("__lot", _lot(order, seed)).withColumn("__place", place).filter(F.col("__place") <= size).drop("__lot", "__place")
+
+
+def sample_ratio(df: DataFrame, ratio: float, order: list[str], seed: int = 0) -> DataFrame:
+    """Each record with probability ratio; a filter, no shuffle."""
+    return df.filter(F.conv(F.substring(_lot(order, seed), 1, 8), 16, 10).cast("double") < ratio * 2**32)
+
+
+def shuffled(df: DataFrame, order: list[str], seed: int = 0) -> DataFrame:
+    """Records in the order of their lots."""
+    return df.withColumn("__lot", _lot(order, seed)).orderBy("__lot", *order).drop("__lot")
+
+
+def erase(df: DataFrame, fields: list[str], value) -> DataFrame:
+    """Fields that hold the erasing value become null, as an update then leaves them empty."""
+    return df.select(*(F.when(F.col(c) != F.lit(value), F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns))
+
+
+def replay(sources: list[DataFrame], t: str, speed: float = 1.0, since=None, until=None) -> DataFrame:
+    """Sources of one shape merged by time: `source`, and `after`, seconds from the first record at the given speed."""
+    merged = reduce(DataFrame.unionByName, [s.withColumn("source", F.lit(k)) for k, s in enumerate(sources)])
+    for keep in ([F.col(t) >= since] if since is not None else []) + ([F.col(t) <= until] if until is not None else []):
+        merged = merged.filter(keep)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    first = F.broadcast(merged.agg(F.min(t).alias("__first")))
+    return merged.crossJoin(first).withColumn("after", (micros(t) - micros("__first")) / 1e6 / speed).drop("__first").orderBy(t, "source")
+
+
+def split_rows(df: DataFrame, values: Column, n: int, names: list[str], repeat: int = 0) -> DataFrame:
+    """An array's values in rows of n (`part` from 0), each with the array's first `repeat` values before them. A short
+    last row ends in nulls; an empty array gives one row of nulls."""
+    rest = df.withColumn("__v", values)
+    parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("__v") - repeat) / n).cast("int") - 1))
+    placed = rest.withColumn("part", F.explode(parts))
+    at = lambda k: F.lit(k) if k < repeat else F.col("part") * n + k
+    return placed.select("*", *(F.get("__v", at(k)).alias(c) for k, c in enumerate(names))).drop("__v")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import expressions, scalar
+from ..functions import expressions, fields, scalar
 from ..operators import blocks, calc, joins, rows, trees
-from ..sources import records
+from ..sources import generate, records
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -485,3 +485,97 @@ def sort_sliding_window(spark, sf):
 def crc_of_names(spark, sf):
     name = F.col("n_name").cast("binary")
     return _t(spark, sf, "nation").select("n_nationkey", *(scalar.crc(name, w).alias(f"crc_{w}") for w in ("16", "ccitt", "xmodem", "32")))
+
+
+# --- blocks, samples and generators
+
+
+@query("""select o_orderkey, case when o_totalprice < 20000 or exists (select 1 from part where o_totalprice >= p_retailprice*100 and o_totalprice < p_retailprice*100 + 30) then 1 else 0 end as contained from orders""")
+def interval_contain(spark, sf):
+    spans = _spans(spark, sf).select("low", "high").unionByName(spark.sql("select cast(null as double) as low, 20000D as high"))
+    return joins.contain(_t(spark, sf, "orders"), spans, "o_totalprice", "low", "high", 40.0).select("o_orderkey", "contained")
+
+
+_DAYS = "select event_id, user_id, event_type, ts, dense_rank() over (order by ts::date) - 1 as block from events"
+
+
+def _day_blocks(spark, sf):
+    e = _t(spark, sf, "events")
+    days = e.select(F.to_date("ts").alias("day")).distinct().withColumn("block", F.row_number().over(Window.orderBy("day")) - 1)
+    return e.withColumn("day", F.to_date("ts")).join(F.broadcast(days), "day").select("event_id", "user_id", "event_type", "ts", "block")
+
+
+@query(f"""with d as ({_DAYS}), l as (select event_type, block, max(event_id) as event_id from d group by all), b as (select distinct block from d)
+select l.event_type, b.block, max_by(l.event_id, l.block) as event_id from b join l on l.block <= b.block group by all""")
+def blocks_accumulate(spark, sf):
+    days = _day_blocks(spark, sf).select("event_type", "block", "event_id")
+    return blocks.accumulate(days, ["event_type"], [], ["event_id"]).select("event_type", F.col("block").cast("long").alias("block"), "event_id")
+
+
+@query(f"with d as ({_DAYS}) select event_id, block, block + 10 as next_block from d where block = (select max(block) from d x where x.user_id = d.user_id)")
+def update_last_block(spark, sf):
+    last = blocks.last_block(_day_blocks(spark, sf), ["user_id"])
+    return blocks.increment(last, 10).select("event_id", F.col("block").cast("long").alias("block"), F.col("next_block").cast("long").alias("next_block"))
+
+
+@query(f"""with d as ({_DAYS}), u as (select event_id, user_id, dense_rank() over (order by block) as n from d where event_type = 'click'), v as (select event_id, user_id, dense_rank() over (order by block) as n from d where event_type = 'purchase')
+select u.event_id, v.event_id as other_id from u join v using (n, user_id)""")
+def join_block_wise(spark, sf):
+    d = _day_blocks(spark, sf)
+    clicks = d.filter("event_type = 'click'").select("event_id", "user_id", "block")
+    bought = d.filter("event_type = 'purchase'").select(F.col("event_id").alias("other_id"), "user_id", "block")
+    return joins.block_wise(clicks, bought, "block", [], ["user_id"]).select("event_id", "other_id")
+
+
+@query("select event_id, user_id from (select *, row_number() over (partition by user_id order by md5('7:' || event_id), event_id) as n from events) where n <= 3")
+def sample_per_block(spark, sf):
+    return rows.sample_size(_t(spark, sf, "events"), 3, ["user_id"], ["event_id"], seed=7).select("event_id", "user_id")
+
+
+@query("select event_id from events where ('0x' || substr(md5('0:' || event_id), 1, 8))::bigint < 0.25 * 4294967296")
+def sample_ratio(spark, sf):
+    return rows.sample_ratio(_t(spark, sf, "events"), 0.25, ["event_id"]).select("event_id")
+
+
+@query("select event_id, case when event_type <> 'error' then event_type end as event_type from events")
+def update_erase(spark, sf):
+    return rows.erase(_t(spark, sf, "events").select("event_id", "event_type"), ["event_type"], "error")
+
+
+@query("""with m as (select o_orderkey as id, o_orderdate as t, 0 as source from orders union all select event_id, ts, 1 from events)
+select id, source, round((epoch_us(t) - (select min(epoch_us(t)) from m)) / 1e6 / 2, 3) as after from m""")
+def replay_merged(spark, sf):
+    sides = [_t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("t")), _t(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("t"))]
+    return rows.replay(sides, "t", 2.0).select("id", "source", *_r("after"))
+
+
+@query("select page_id, p::integer as part, v[1] as head, v[2 + 2*p] as a, v[3 + 2*p] as b from (select page_id, string_split(url, '/') as v, unnest(range(0, greatest(1, ceil((len(string_split(url, '/')) - 1) / 2.0))::bigint)) as p from pages)")
+def shape_split(spark, sf):
+    return rows.split_rows(_t(spark, sf, "pages").select("page_id", F.split("url", "/").alias("v")), F.col("v"), 2, ["head", "a", "b"], repeat=1).select("page_id", "part", "head", "a", "b")
+
+
+@query("select page_id, array_to_string(list_resize(string_split(url, '/'), 6, '-'), '/') as line from pages")
+def fields_make_fixed(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", scalar.make_fixed(F.col("url"), 6, "/", "-").alias("line"))
+
+
+@query("select s_name, s_suppkey, s_name as s_name_1 from supplier")
+def fields_shuffle(spark, sf):
+    return fields.shuffle(_t(spark, sf, "supplier"), "s_name,s_suppkey,s_name")
+
+
+@query("select 'src/' || p_size as root, 'a/' || 'b' as common from part group by p_size")
+def strings_path_common(spark, sf):
+    p = _t(spark, sf, "part").select("p_size", F.concat(F.lit("a/b/"), F.col("p_size").cast("string"), F.lit("/"), F.col("p_partkey").cast("string")).alias("path"))
+    whole = p.unionByName(p.select("p_size", F.lit("a/b/x").alias("path")))
+    return whole.groupBy(F.concat(F.lit("src/"), F.col("p_size").cast("string")).alias("root")).agg(scalar.path_common(F.col("path")).alias("common"))
+
+
+@query("select 5 + (i // 4) * 3 as number from range(1000) t(i)")
+def generate_line_numbers(spark, sf):
+    return generate.line_numbers(spark, 1000, begin=5, step=3, block_size=4)
+
+
+@query("select (i // 15) % 4 as i0, (i // 5) % 3 as i1, i % 5 as i2 from range(120) t(i)")
+def generate_indices(spark, sf):
+    return generate.indices(spark, [4, 3, 5], repeat=2)

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rill.functions import expressions, scalar
+from rill.functions import expressions, fields, scalar
 from rill.operators import blocks, calc, joins, rows, trees
-from rill.sources import records
+from rill.sources import generate, records
 from rill.streaming import latest
 
 
@@ -119,3 +119,91 @@ def test_crc_and_permute(spark):
     got = df.select(*(scalar.crc(F.col("d"), w) for w in ("16", "ccitt", "xmodem", "32"))).collect()
     assert [tuple(r) for r in got] == [(0xBB3D, 0x29B1, 0x31C3, 0xCBF43926), (0, 0xFFFF, 0, 0), (None,) * 4]
     assert trees.permute(spark, {"x": F.array(F.lit(1), F.lit(2)), "y": F.sequence(F.lit(0), F.lit(2))}).count() == 6
+
+
+def test_contain_open_bounds_and_nulls(spark):
+    df = spark.createDataFrame([(None,), (-9.0,), (1.0,), (2.0,), (5.0,), (5.5,), (50.0,)], "x double")
+    spans = spark.createDataFrame([(1.0, 2.0), (5.0, 5.0), (1.0, 1.5), (5.2, 9.0), (None, -5.0), (40.0, None)], "low double, high double")
+    got = {r.x: r.contained for r in joins.contain(df, spans, "x", "low", "high", 2.0).collect()}
+    assert got == {None: 0, -9.0: 1, 1.0: 1, 2.0: 0, 5.0: 0, 5.5: 1, 50.0: 1}
+    everything = spans.unionByName(spark.createDataFrame([(None, None)], spans.schema))
+    assert joins.contain(df, everything, "x", "low", "high", 2.0).agg(F.sum("contained")).first()[0] == 6
+    assert joins.contain(df, spans.filter("false"), "x", "low", "high", 2.0).agg(F.sum("contained"), F.count("*")).first() == (0, 7)
+
+
+def test_block_wise_is_positional(spark):
+    a = spark.createDataFrame([(0, 1), (0, 2), (7, 1), (9, 1)], "block int, id int")
+    b = spark.createDataFrame([(100, 1), (200, 2), (200, 1)], "block int, id int")
+    got = joins.block_wise(a, b, "block", [], ["id"]).select("block", "other_block", "id").collect()
+    assert sorted(map(tuple, got)) == [(0, 100, 1), (7, 200, 1)]
+
+
+def test_accumulate_and_last_block(spark):
+    df = spark.createDataFrame([(0, "a", 0, 1), (0, "a", 1, 2), (0, "b", 2, 3), (1, "b", 3, 4), (2, "c", 4, None)], "block int, id string, t int, v int")
+    got = blocks.accumulate(df, ["id"], [], ["t"]).select("block", "id", "v").collect()
+    assert sorted(got, key=lambda r: (r.block, r.id)) == [(0, "a", 2), (0, "b", 3), (1, "a", 2), (1, "b", 4), (2, "a", 2), (2, "b", 4), (2, "c", None)]
+    assert sorted(r.t for r in blocks.last_block(df, ["id"]).collect()) == [0, 1, 3, 4]
+    assert blocks.accumulate(df.filter("false"), ["id"], [], ["t"]).count() == 0
+
+
+def test_samples(spark):
+    df = spark.createDataFrame([(b, k) for b in range(3) for k in range(4 * b)], "b int, k int")
+    got = rows.sample_size(df, 5, ["b"], ["b", "k"], seed=1).groupBy("b").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 4), (2, 5)]
+    more = rows.sample_size(df.repartition(7), 5, ["b"], ["b", "k"], seed=1)
+    assert more.exceptAll(rows.sample_size(df, 5, ["b"], ["b", "k"], seed=1)).count() == 0
+    assert rows.sample_ratio(df, 1.0, ["b", "k"]).count() == df.count()
+    assert rows.sample_ratio(df, 0.0, ["b", "k"]).count() == 0
+    assert 4500 < rows.sample_ratio(spark.range(10000).toDF("k"), 0.5, ["k"], seed=3).count() < 5500
+    assert rows.shuffled(df, ["b", "k"], 1).collect() == rows.shuffled(df.repartition(5), ["b", "k"], 1).collect()
+
+
+def test_replay_and_split_rows(spark):
+    a = spark.sql("select timestamp'2024-01-01 00:00:10' as t union all select timestamp'2024-01-01 00:00:30'")
+    b = spark.sql("select timestamp'2024-01-01 00:00:20' as t")
+    assert [(r.source, r.after) for r in rows.replay([a, b], "t", 2.0).collect()] == [(0, 0.0), (1, 5.0), (0, 10.0)]
+    assert [r.source for r in rows.replay([a, b], "t", since=F.lit("2024-01-01 00:00:15").cast("timestamp")).collect()] == [1, 0]
+    df = spark.createDataFrame([(0, [1, 2, 3, 4, 5]), (1, [])], "k int, v array<int>")
+    got = rows.split_rows(df, F.col("v"), 2, ["x", "y"]).select("k", "part", "x", "y").collect()
+    assert sorted(got, key=lambda r: (r.k, r.part)) == [(0, 0, 1, 2), (0, 1, 3, 4), (0, 2, 5, None), (1, 0, None, None)]
+
+
+def test_paths_and_fixed_lines(spark):
+    common = lambda *p: spark.createDataFrame([(x,) for x in p], "p string").agg(scalar.path_common(F.col("p"))).first()[0]
+    assert common("a/b/c", "a/b/d", "a/bc") == "a"
+    assert common("a/b", "a/b/c") == "a/b"
+    assert common("a", "b") == ""
+    assert common("/x/y", "/x/y") == "/x/y"
+    lines = spark.createDataFrame([("a,b,c",), ("a",), ("",), ("a,,",)], "l string")
+    assert [r[0] for r in lines.select(scalar.make_fixed(F.col("l"), 2, ",", "-")).collect()] == ["a,b", "a,-", ",-", "a,"]
+
+
+def test_headers(spark):
+    assert fields.numbers("a,b,c", 1, "f") == "f1,f2,f3"
+    assert fields.cleared("t,p/x,p/y", keep="p") == ",p/x,p/y"
+    assert fields.cleared("t,p/x,p/y", mask="p") == "t,,"
+    assert fields.cut("t,p/x,px", wanted="p") == "p/x"
+    assert fields.cut("t,p/x,px", but="p,t") == "px"
+    assert fields.default("a,,b", "z") == "a,z,b"
+    assert fields.has("p/x,t", "p,t") and not fields.has("a", "a,b") and fields.has("a", "a,b", any_of=True)
+    assert fields.prefixed("a,,b", "n", path=True, but="b") == "n/a,,b"
+    assert fields.stripped("na,b", "n") == "a,b" and fields.basenames("a/b/c,d") == "c,d"
+    assert fields.renamed("p/x,px,t", "p,t", "q,u") == "q/x,px,u"
+    df = spark.createDataFrame([(1, "x")], "a int, `p/q` string")
+    assert fields.shuffle(df, "p/q,,a,a").columns == ["p/q", "empty_1", "a", "a_1"]
+
+
+def test_generators(spark, tmp_path):
+    numbers = lambda **k: [r.number for r in generate.line_numbers(spark, 5, **k).collect()]
+    assert numbers(begin=1, block_size=2) == [1, 1, 2, 2, 3]
+    assert numbers(block_size=3, index=True, reverse=True) == [2, 1, 0, 2, 1]
+    assert numbers(begin=9, step=2, reverse=True) == [9, 7, 5, 3, 1]
+    assert [tuple(r) for r in generate.indices(spark, [2, 2]).collect()] == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    made = generate.random_values(spark, 5000, "normal", 3.0, 2.0, seed=1, parts=3).agg(F.mean("value"), F.stddev("value")).first()
+    assert abs(made[0] - 3) < 0.2 and abs(made[1] - 2) < 0.2
+    with pytest.raises(ValueError, match="expected one of"):
+        generate.random_values(spark, 1, "zipf")
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (1, "c")], "id int, v string")
+    generate.split_to_files(df, ["id"], f"{tmp_path}/parts")
+    assert sorted(p.name for p in (tmp_path / "parts").glob("id=*")) == ["id=1", "id=2"]
+    assert spark.read.parquet(f"{tmp_path}/parts").count() == 3
