@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,3 +68,11 @@ def evaluate(df: DataFrame, code: str) -> DataFrame:
 
 def condition(df: DataFrame, code: str) -> Column:
     return column(ast.parse(code, mode="eval"), {c: F.col(c) for c in df.columns})
+
+
+_TOLERANT = re.compile(r"([\w.]+)\s*==\s*([^&|;,()]+?)\s*\+/-\s*([\w.]+)")
+
+
+def tolerant(code: str) -> str:
+    """`a == b +/- c` as `abs(a-(b)) <= c`, for evaluate() and condition()."""
+    return _TOLERANT.sub(r"(abs(\1-(\2)) <= \3)", code)

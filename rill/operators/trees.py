@@ -38,3 +38,57 @@ def permute(spark: SparkSession, lists: dict[str, Column]) -> DataFrame:
     for name, values in lists.items():
         out = out.withColumn(name, F.explode(values))
     return out.select(*lists)
+
+
+def flatten_tree(df: DataFrame, column: str, keys: list[str], depth: int = 8) -> DataFrame:
+    """One row a leaf of a JSON document, with paths such as `a/b[0]/c` and values as text; null leaves have a null
+    value, empty objects and arrays none. Malformed documents and nulls give no rows. What lies deeper than depth stays
+    together, as JSON text. A lateral join a level, within the task; no shuffle."""
+    out = df.select(*keys, F.lit("").alias("path"), F.try_parse_json(column).alias("value")).filter("value is not null")
+    for _ in range(depth):
+        inner = out.sparkSession.tvf.variant_explode_outer(F.col("__whole").outer())
+        child = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws("/", "path", "key"))
+        step = out.withColumnRenamed("value", "__whole").lateralJoin(inner)
+        out = step.select(*keys, F.when(F.col("pos").isNull(), F.col("path")).otherwise(child).alias("path"), F.when(F.col("pos").isNull(), F.col("__whole")).otherwise(F.col("value")).alias("value"))
+    text = F.try_variant_get("value", "$", "string")
+    empty = text.isin("{}", "[]") & (F.schema_of_variant("value") != "STRING")
+    return out.filter(F.is_variant_null("value") | ~empty).select(*keys, "path", F.when(~F.is_variant_null("value"), text).alias("value"))
+
+
+def under(paths: DataFrame, wanted: str, regex: bool = False) -> DataFrame:
+    """Path rows at or below a path, or whose path matches a regular expression."""
+    p = F.col("path")
+    return paths.filter(p.rlike(wanted) if regex else (p == wanted) | p.startswith(wanted + "/") | p.startswith(wanted + "["))
+
+
+_ARITHMETIC = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: a / b}
+_COMPARISONS = {"eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "lt": lambda a, b: a < b, "le": lambda a, b: a <= b, "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b}
+
+
+def calc_trees(left: DataFrame, right: DataFrame, keys: list[str], op: str, detailed: bool = False, exclude: bool = False) -> DataFrame:
+    """Leaf by leaf over two sets of path rows. Arithmetic: path and value; leaves that one side lacks, or that are no
+    numbers, keep the left value (or the only one), or go with exclude. Comparisons, on leaves of both: a flag a
+    document, 1 if it holds for all, or with detailed a flag a leaf."""
+    a, b = (d.select(*keys, "path", F.col("value").alias(n)) for d, n in ((left, "__a"), (right, "__b")))
+    x, y = F.expr("try_cast(__a as double)"), F.expr("try_cast(__b as double)")
+    if op in _COMPARISONS:
+        flag = F.coalesce(_COMPARISONS[op](x, y), F.lit(False)).cast("int")
+        flags = a.join(b, [*keys, "path"]).filter(x.isNotNull() | y.isNotNull()).select(*keys, "path", flag.alias("value"))
+        return flags if detailed else flags.groupBy(*keys).agg(F.min("value").alias("value"))
+    if op not in _ARITHMETIC:
+        raise ValueError(f"operation {op!r}: expected one of {', '.join([*_ARITHMETIC, *_COMPARISONS])}")
+    made = _ARITHMETIC[op](x, F.nullif(y, F.lit(0.0)) if op == "div" else y).cast("string")
+    both = a.join(b, [*keys, "path"], "inner" if exclude else "full_outer")
+    value = made if exclude else F.coalesce(made, F.col("__a"), F.col("__b"))
+    out = both.select(*keys, "path", value.alias("value"))
+    return out.filter("value is not null") if exclude else out
+
+
+def xml_values(document: Column, path: str) -> Column:
+    """The values at a path of an XML document: an array of text."""
+    return F.xpath(document, F.lit(path))
+
+
+def read_elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """The elements of a tag in XML files as records; large files are split among tasks."""
+    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)

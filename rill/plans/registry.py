@@ -579,3 +579,49 @@ def generate_line_numbers(spark, sf):
 @query("select (i // 15) % 4 as i0, (i // 5) % 3 as i1, i % 5 as i2 from range(120) t(i)")
 def generate_indices(spark, sf):
     return generate.indices(spark, [4, 3, 5], repeat=2)
+
+
+_NESTED = """'{"user":{"id":' || user_id || ',"kinds":["' || event_type || '",null]},"v":[{"x":' || event_id || '}],"none":{}}'"""
+
+
+def _nested(spark, sf):
+    return _t(spark, sf, "events").select("event_id", F.expr(_NESTED).alias("doc"))
+
+
+@query("""with t as (select event_id, unnest([struct_pack(path := 'user/id', value := user_id::varchar), struct_pack(path := 'user/kinds[0]', value := event_type), struct_pack(path := 'user/kinds[1]', value := null::varchar), struct_pack(path := 'v[0]/x', value := event_id::varchar)]) as r from events)
+select event_id, r.path as path, r.value as value from t""")
+def trees_flatten_nested(spark, sf):
+    return trees.flatten_tree(_nested(spark, sf), "doc", ["event_id"], depth=4)
+
+
+@query("select event_id, 'user/kinds[0]' as path, event_type as value from events union all select event_id, 'user/kinds[1]', null from events")
+def trees_get(spark, sf):
+    return trees.under(trees.flatten_tree(_nested(spark, sf), "doc", ["event_id"], depth=4), "user/kinds")
+
+
+def _order_sides(spark, sf):
+    o = _t(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), "o_custkey", "o_orderstatus")
+    return trees.from_columns(o, ["o_orderkey"]), trees.from_columns(o.select("o_orderkey", (F.col("price") / 2).alias("price"), F.lit(3).alias("o_custkey")), ["o_orderkey"])
+
+
+@query("""select o_orderkey, 'price' as path, round(o_totalprice/2, 3) as value from orders union all select o_orderkey, 'o_custkey', round(o_custkey - 3.0, 3) from orders""")
+def trees_calc(spark, sf):
+    out = trees.calc_trees(*_order_sides(spark, sf), ["o_orderkey"], "sub", exclude=True)
+    return out.select("o_orderkey", "path", F.round(F.col("value").cast("double"), 3).alias("value"))
+
+
+@query("select o_orderkey, case when o_totalprice > o_totalprice/2 and o_custkey > 3 then 1 else 0 end as value from orders")
+def trees_compare(spark, sf):
+    return trees.calc_trees(*_order_sides(spark, sf), ["o_orderkey"], "gt")
+
+
+@query("select o_orderkey from orders where abs(o_totalprice - 100000) <= 20000 and o_custkey > 5")
+def eval_tolerance(spark, sf):
+    o = _t(spark, sf, "orders")
+    return o.filter(expressions.condition(o, expressions.tolerant("logical_and(o_totalprice == 100000 +/- 20000, o_custkey > 5)"))).select("o_orderkey")
+
+
+@query("select s_suppkey, s_name as name, s_nationkey::varchar as nation from supplier")
+def xml_get(spark, sf):
+    doc = _t(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("<s><name>"), "s_name", F.lit("</name><of><nation>"), F.col("s_nationkey").cast("string"), F.lit("</nation></of></s>")).alias("doc"))
+    return doc.select("s_suppkey", trees.xml_values(F.col("doc"), "s/name/text()")[0].alias("name"), trees.xml_values(F.col("doc"), "s/of/nation/text()")[0].alias("nation"))

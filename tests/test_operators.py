@@ -207,3 +207,37 @@ def test_generators(spark, tmp_path):
     generate.split_to_files(df, ["id"], f"{tmp_path}/parts")
     assert sorted(p.name for p in (tmp_path / "parts").glob("id=*")) == ["id=1", "id=2"]
     assert spark.read.parquet(f"{tmp_path}/parts").count() == 3
+
+
+def test_flatten_tree(spark):
+    docs = ['{"a":{"b":[1,{"c":"x"}],"n":null},"e":{},"f":"{}","d":1.5}', "[true,2]", "7", "{bad", None, "{}"]
+    df = spark.createDataFrame(list(enumerate(docs)), "k int, doc string")
+    got = sorted((r.k, r.path, r.value) for r in trees.flatten_tree(df, "doc", ["k"]).collect())
+    assert got == [(0, "a/b[0]", "1"), (0, "a/b[1]/c", "x"), (0, "a/n", None), (0, "d", "1.5"), (0, "f", "{}"), (1, "[0]", "true"), (1, "[1]", "2"), (2, "", "7")]
+    shallow = {r.path: r.value for r in trees.flatten_tree(df.filter("k = 0"), "doc", ["k"], depth=2).collect()}
+    assert shallow["a/b"] == '[1,{"c":"x"}]'
+    paths = trees.flatten_tree(df, "doc", ["k"])
+    assert sorted(r.path for r in trees.under(paths, "a/b").collect()) == ["a/b[0]", "a/b[1]/c"]
+    assert [r.path for r in trees.under(paths, "^a/n$", regex=True).collect()] == ["a/n"]
+
+
+def test_calc_trees(spark):
+    rows_of = lambda d: spark.createDataFrame([(0, p, v) for p, v in d.items()], "k int, path string, value string")
+    a, b = rows_of({"x": "6", "y": "1", "s": "t", "only": "4"}), rows_of({"x": "2", "y": "0", "s": "u", "more": "5"})
+    full = {r.path: r.value for r in trees.calc_trees(a, b, ["k"], "div").collect()}
+    assert full == {"x": "3.0", "y": "1", "s": "t", "only": "4", "more": "5"}
+    assert {r.path: r.value for r in trees.calc_trees(a, b, ["k"], "add", exclude=True).collect()} == {"x": "8.0", "y": "1.0"}
+    assert [tuple(r) for r in trees.calc_trees(a, b, ["k"], "gt").collect()] == [(0, 1)]
+    assert {r.path: r.value for r in trees.calc_trees(a, b, ["k"], "lt", detailed=True).collect()} == {"x": 0, "y": 0}
+    with pytest.raises(ValueError, match="expected one of"):
+        trees.calc_trees(a, b, ["k"], "pow")
+
+
+def test_xml_and_tolerance(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<all><p><id>1</id><n>x</n></p><q/><p><id>2</id></p></all>")
+    got = trees.read_elements(spark, str(tmp_path / "a.xml"), "p", "id int, n string").collect()
+    assert sorted((r.id, r.n) for r in got) == [(1, "x"), (2, None)]
+    df = spark.createDataFrame([("<a><b>1</b><b>2</b></a>",), (None,)], "d string")
+    assert [r[0] for r in df.select(trees.xml_values(F.col("d"), "a/b/text()")).collect()] == [["1", "2"], None]
+    xs = spark.createDataFrame([(1.0, 1.2), (1.0, 1.4)], "x double, y double")
+    assert xs.filter(expressions.condition(xs, expressions.tolerant("x == y +/- 0.3"))).count() == 1
