@@ -296,3 +296,17 @@ def test_pipeline(spark):
         docs = out.cache()
         seen.append(docs.count())
     assert seen == sorted(seen, reverse=True) and seen[-1] == seen[-2] == queries.queries()["pipeline"](spark, SF).count()
+
+
+def test_stretches_of_many_groups():
+    rng = np.random.default_rng(5)
+    group = np.sort(rng.integers(0, 40, 600))
+    fn, low = rng.integers(0, compact_windows.HASHES, 600), rng.integers(0, 60, 600)
+    high = low + rng.integers(0, 30, 600)
+    want = []
+    for g in np.unique(group):
+        mine = group == g
+        on = [len(set(fn[mine & (low <= x) & (high >= x)])) >= 3 for x in range(100)]
+        starts = [x for x in range(100) if on[x] and not (x and on[x - 1])]
+        want += [(g, x, next(y for y in range(x, 100) if not on[y]) - 1) for x in starts]
+    assert [tuple(r) for r in zip(*compact_windows.stretches(group, fn, low, high, 3), strict=True)] == want
