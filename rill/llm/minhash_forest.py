@@ -8,6 +8,9 @@
    sparse regions meet at small depth, crowded ones at greater depth as well, and the pairs stay linear in the rows.
 3. Candidates are confirmed on full sets in two rounds: each document's most often seen partners first, then, between
    components still apart, all the others. Components are stars built by alternating minima.
+4. Runs of LEAST_DEPTH that still hold several components go on: their rows meet all rows of other components, ordered
+   by how many of all min-hashes agree, the best few of each row first and all in the last round. A crowded run is dealt
+   over pairs of its blocks. Pairs are many only where many near texts of one run stay apart.
 
 Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. Defined cases: null or empty text, or text without words, has an
 empty set, links with nothing and is kept; a text with fewer words than the width is one shingle; equal sets link;
@@ -16,6 +19,8 @@ repeated doc_ids are one node; a null doc_id is kept and links with nothing; no
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +33,12 @@ TREES, DEPTH, LEAST_DEPTH = 16, 6, 3
 #: Depths at which a run's first row is a candidate for all its rows, and sorted neighbours on one side.
 RUN_DEPTHS, NEIGHBOURS = (3, 4, 5, 6), 2
 SIMILAR = 80  # percent
+#: Min-hashes of all TREES * DEPTH that a pair of a run must share to be confirmed: 4.8 deviations under 0.8.
+LEAST_AGREE = 58
+#: Partners of a row in a cell, by round; the last round takes all.
+ROUNDS = (8, 64, None)
+#: Rows of a run in one block; a cell is a pair of blocks.
+BLOCK_ROWS = 1024
 #: Shingles hashed at once.
 _STRIP = 1 << 14
 
@@ -137,6 +148,70 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
     return arrow_map(sorted_rows, meet, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def run_members(reps: DataFrame) -> DataFrame:
+    """(run, doc): the runs of LEAST_DEPTH equal min-hashes that each representative is in, one a tree."""
+    schema = pa.schema([("run", pa.int64()), ("doc", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            ids, signs = (b.column(c).to_pylist() for c in ("rep", "signature"))
+            x = np.frombuffer(b"".join(signs), dtype=">u4").astype(np.uint64).reshape(-1, TREES, DEPTH)
+            name = np.broadcast_to(mix(np.arange(1, TREES + 1, dtype=np.uint64)), x.shape[:2])
+            for k in range(LEAST_DEPTH):
+                name = mix(name * np.uint64(0x9FB21C651E98DF25) + x[:, :, k])
+            yield batch_of(schema, run=name.ravel().view(np.int64), doc=np.repeat(np.array(ids, dtype=np.int64), TREES))
+
+    return arrow_map(reps, run, "run long, doc long")
+
+
+def run_pairs(members: DataFrame, reps: DataFrame, most: int | None) -> DataFrame:
+    """(a, b): pairs of one run, of different components and LEAST_AGREE equal min-hashes; of each row in a cell the best
+    most ones, or all. members: run, doc, component; reps: rep, n_shingles, signature."""
+    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    live = members.groupBy("run").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    dealt = members.join(live.select("run", blocks.alias("blocks")), "run").withColumn("block", F.expr("int(pmod(xxhash64(doc), blocks))"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component")
+    dealt = dealt.join(reps.select(F.col("rep").alias("doc"), "n_shingles", "signature"), "doc")
+
+    def cell(t: pa.Table):
+        doc, component, size, block = (t.column(c).to_numpy() for c in ("doc", "component", "n_shingles", "block"))
+        sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype="<u4").reshape(len(doc), -1)
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        out = []
+        for k in range(len(doc)):
+            fits = (component != component[k]) & _size_fits(size, size[k])
+            if i != j:
+                fits &= block != block[k]
+            at = np.flatnonzero(fits)
+            agree = (sign[at] == sign[k]).sum(axis=1)
+            at, agree = at[agree >= LEAST_AGREE], agree[agree >= LEAST_AGREE]
+            if most is not None:
+                at = at[np.argsort(-agree, kind="stable")[:most]]
+            out.append(np.stack([np.minimum(doc[at], doc[k]), np.maximum(doc[at], doc[k])], axis=1))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def meet(batches):
+        held, cells = [], ("run", "i", "j")
+        for b in chain(batches, (None,)):
+            held += [b] if b is not None and b.num_rows else []
+            if not held:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            at = np.stack([t.column(c).to_numpy() for c in cells], axis=1)
+            heads = np.append(np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(axis=1))), len(at))
+            whole = len(heads) - 1 if b is None else len(heads) - 2
+            for x, y in zip(heads[:whole], heads[1 : whole + 1], strict=True):
+                found = cell(t.slice(x, y - x))
+                if len(found):
+                    yield batch_of(pairs, a=found[:, 0], b=found[:, 1])
+            held = [] if b is None else t.slice(heads[whole]).to_batches()
+
+    cells = dealt.repartition(partitions(reps.sparkSession), "run", "i", "j").sortWithinPartitions("run", "i", "j")
+    return arrow_map(cells, meet, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
@@ -152,10 +227,12 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     sketch = saved(sketches(docs, width))
     known = sketch.filter("doc_id is not null and n_shingles > 0")
     classes = saved(known.groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "signature")).alias("least")).select("n_shingles", "set_a", "set_b", F.col("least.doc_id").alias("rep"), F.col("least.signature").alias("signature")))
-    pairs = saved(candidate_pairs(classes.select("rep", "n_shingles", "signature")))
+    reps = classes.select("rep", "n_shingles", "signature")
+    pairs = saved(candidate_pairs(reps))
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # a repeated doc_id could stand for several texts: the class's own text is the one whose set has the class's digest
-    sets = saved(shingle_sets(texts.join(wanted, "doc_id", "left_semi"), width)).dropDuplicates(["doc_id"])
+    sets_of = lambda ids: saved(shingle_sets(texts.join(ids, "doc_id", "left_semi"), width)).dropDuplicates(["doc_id"])
+    sets = sets_of(wanted)
     # first round: for either end, the partner met in most places
     ends = pairs.select(F.col("a").alias("end"), "a", "b", "n").unionByName(pairs.select(F.col("b").alias("end"), "a", "b", "n"))
     first = saved(ends.groupBy("end").agg(F.max(F.struct("n", "a", "b")).alias("top")).select("top.a", "top.b").distinct())
@@ -164,7 +241,23 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     ca = met.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     cb = met.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     apart = pairs.join(first, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left").filter("not (ca <=> cb) or ca is null").select("a", "b")
-    links = linked.unionByName(confirmed(saved(apart), sets))
+    links = saved(linked.unionByName(confirmed(saved(apart), sets)))
+    tested = pairs.select("a", "b")
+    members = run_members(reps)
+    crowded = saved(members.join(members.groupBy("run").count().filter("count > 1").select("run"), "run"))
+    for most in ROUNDS:
+        now = components(links).select(F.col("node").alias("doc"), "component")
+        placed = crowded.join(now, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        more = saved(run_pairs(placed, reps, most).join(tested, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            if most is None:
+                break
+            continue
+        new = more.select(F.col("a").alias("doc_id")).unionByName(more.select(F.col("b").alias("doc_id"))).distinct()
+        sets = sets.unionByName(sets_of(new.join(wanted, "doc_id", "left_anti")))
+        wanted = wanted.unionByName(new).distinct()
+        links = saved(links.unionByName(confirmed(more, sets)))
+        tested = tested.unionByName(more)
     reach = components(links).select(F.col("node").alias("rep"), "component")
     of_class = classes.drop("signature").join(reach, "rep", "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.drop("signature").join(of_class, ["n_shingles", "set_a", "set_b"], "left")

@@ -310,3 +310,19 @@ def test_stretches_of_many_groups():
         starts = [x for x in range(100) if on[x] and not (x and on[x - 1])]
         want += [(g, x, next(y for y in range(x, 100) if not on[y]) - 1) for x in starts]
     assert [tuple(r) for r in zip(*compact_windows.stretches(group, fn, low, high, 3), strict=True)] == want
+
+
+@pytest.mark.parametrize("n", [50, 300])
+def test_hub_in_a_crowded_run(spark, n):
+    rng = random.Random(n)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+
+    def copy():
+        out = list(base)
+        for k in rng.sample(range(5, 390, 7), 6):
+            out[k] = f"x{rng.randrange(10**9)}"
+        return out
+
+    rows = [(k, " ".join(base if k == n // 2 else copy())) for k in range(n)]
+    got = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert {r.component_id for r in got} == {0}
