@@ -326,3 +326,25 @@ def test_hub_in_a_crowded_run(spark, n):
     rows = [(k, " ".join(base if k == n // 2 else copy())) for k in range(n)]
     got = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
     assert {r.component_id for r in got} == {0}
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+@pytest.mark.parametrize("kind", ["replace", "insert", "delete"])
+def test_aligned_keeps_edited_passages(edits, kind):
+    draw, held = random.Random(edits), 0
+    word = lambda: f"w{draw.randrange(10**9)}"
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    tokens = lambda w: compact_windows._tokens([" ".join(w).encode()])[0]
+    for n in range(49, 130):
+        one = [word() for _ in range(n)]
+        two = list(one)
+        for k in sorted(draw.sample(range(6, n - 6), edits), reverse=True):
+            two[k : k + (kind != "insert")] = [] if kind == "delete" else [word()]
+        a, b = sets(one), sets(two)
+        if len(two) < 48 or len(a & b) < 0.8 * len(a | b):
+            continue
+        held += 1
+        around = [[word() for _ in range(15)] for _ in range(4)]
+        got = compact_windows.aligned(tokens(around[0] + two + around[1]), tokens(around[2] + one + around[3]), 44, 0.8)
+        assert [(x, y) for x, y, *_ in got] == [(15, 15 + len(two) - 5)] and got[0][4] == pytest.approx(len(a & b) / len(a | b))
+    assert held > 20
