@@ -26,8 +26,16 @@ UNITS = {
     "fraction": ("ratio", 1.0, 0.0),
     "percent": ("ratio", 0.01, 0.0),
 }
-#: Day from which TAI is so many seconds ahead of UTC.
-TAI_FROM_1999 = (("1999-01-01", 32), ("2006-01-01", 33), ("2009-01-01", 34), ("2012-07-01", 35), ("2015-07-01", 36), ("2017-01-01", 37))
+#: Day (UTC) from which TAI is so many seconds ahead of UTC; 0 before.
+LEAP_SECONDS = (
+    ("1972-01-01", 10), ("1972-07-01", 11), ("1973-01-01", 12), ("1974-01-01", 13),
+    ("1975-01-01", 14), ("1976-01-01", 15), ("1977-01-01", 16), ("1978-01-01", 17),
+    ("1979-01-01", 18), ("1980-01-01", 19), ("1981-07-01", 20), ("1982-07-01", 21),
+    ("1983-07-01", 22), ("1985-07-01", 23), ("1988-01-01", 24), ("1990-01-01", 25),
+    ("1991-01-01", 26), ("1992-07-01", 27), ("1993-07-01", 28), ("1994-07-01", 29),
+    ("1996-01-01", 30), ("1997-07-01", 31), ("1999-01-01", 32), ("2006-01-01", 33),
+    ("2009-01-01", 34), ("2012-07-01", 35), ("2015-07-01", 36), ("2017-01-01", 37),
+)
 
 
 def convert(x: Column, source: str, target: str) -> Column:
@@ -73,9 +81,9 @@ def delay(t: Column, seconds: float) -> Column:
 
 
 def tai_offset(t: Column) -> Column:
-    """Seconds that TAI is ahead of UTC, for times from 1999 on."""
-    out = F.lit(None).cast("int")
-    for day, s in TAI_FROM_1999:
+    """Seconds that TAI is ahead of UTC; null for null."""
+    out = F.when(t.isNotNull(), 0)
+    for day, s in LEAP_SECONDS:
         out = F.when(t >= F.to_timestamp_ntz(F.lit(day)), s).otherwise(out)
     return out
 

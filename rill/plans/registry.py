@@ -395,7 +395,13 @@ def strings_paths(spark, sf):
 def time_formats(spark, sf):
     t = F.col("o_orderdate")
     o = _t(spark, sf, "orders").filter(t < F.lit("2009-01-01").cast("timestamp_ntz"))
-    return o.select("o_orderkey", scalar.iso(t).alias("iso"), scalar.delay(t, -90).alias("earlier"), scalar.tai_offset(t).alias("tai"))
+    tai = F.when(t >= F.lit("1999-01-01").cast("timestamp_ntz"), scalar.tai_offset(t))  # null before, as its SQL has it; time_tai has all
+    return o.select("o_orderkey", scalar.iso(t).alias("iso"), scalar.delay(t, -90).alias("earlier"), tai.alias("tai"))
+
+
+@query("select o_orderkey, coalesce((select max(s) from (values (timestamp '1972-01-01', 10), (timestamp '1972-07-01', 11), (timestamp '1973-01-01', 12), (timestamp '1974-01-01', 13), (timestamp '1975-01-01', 14), (timestamp '1976-01-01', 15), (timestamp '1977-01-01', 16), (timestamp '1978-01-01', 17), (timestamp '1979-01-01', 18), (timestamp '1980-01-01', 19), (timestamp '1981-07-01', 20), (timestamp '1982-07-01', 21), (timestamp '1983-07-01', 22), (timestamp '1985-07-01', 23), (timestamp '1988-01-01', 24), (timestamp '1990-01-01', 25), (timestamp '1991-01-01', 26), (timestamp '1992-07-01', 27), (timestamp '1993-07-01', 28), (timestamp '1994-07-01', 29), (timestamp '1996-01-01', 30), (timestamp '1997-07-01', 31), (timestamp '1999-01-01', 32), (timestamp '2006-01-01', 33), (timestamp '2009-01-01', 34), (timestamp '2012-07-01', 35), (timestamp '2015-07-01', 36), (timestamp '2017-01-01', 37)) v(day, s) where day <= o_orderdate), 0) as tai from orders")
+def time_tai(spark, sf):
+    return _t(spark, sf, "orders").select("o_orderkey", scalar.tai_offset(F.col("o_orderdate")).alias("tai"))
 
 
 @query("select event_id, ts as t from events")

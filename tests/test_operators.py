@@ -241,3 +241,9 @@ def test_xml_and_tolerance(spark, tmp_path):
     assert [r[0] for r in df.select(trees.xml_values(F.col("d"), "a/b/text()")).collect()] == [["1", "2"], None]
     xs = spark.createDataFrame([(1.0, 1.2), (1.0, 1.4)], "x double, y double")
     assert xs.filter(expressions.condition(xs, expressions.tolerant("x == y +/- 0.3"))).count() == 1
+
+
+def test_all_leap_seconds(spark):
+    df = spark.sql("select cast(x as timestamp_ntz) t from values ('1971-12-31 23:59:59'), ('1972-01-01'), ('1972-06-30 23:59:59'), ('1972-07-01'), ('1981-06-30'), ('1981-07-01'), ('1998-12-31'), ('1999-01-01'), ('2016-12-31'), ('2017-01-01'), (null) v(x)")
+    assert [r[0] for r in df.select(scalar.tai_offset(F.col("t"))).collect()] == [0, 10, 10, 11, 19, 20, 31, 32, 36, 37, None]
+    assert len(scalar.LEAP_SECONDS) == 28
