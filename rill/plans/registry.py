@@ -449,6 +449,12 @@ def binary_round_trip(spark, sf):
     return records.unpack(packed, "l,t,s[4]", ["o_orderkey", "o_orderdate", "o_orderstatus"])
 
 
+@query("select o_orderkey, o_totalprice, cast(o_totalprice as float) as price from orders")
+def binary_floats(spark, sf):
+    packed = records.pack(_t(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.col("o_totalprice").cast("float").alias("price")), "l,d,f")
+    return records.unpack(packed, "l,d,f", ["o_orderkey", "o_totalprice", "price"])
+
+
 @query("select 'INSERT INTO n (n_nationkey,n_name) VALUES (' || n_nationkey || ',''' || replace(n_name, '''', '''''') || ''');' as statement from nation")
 def sql_inserts(spark, sf):
     return records.sql_inserts(_t(spark, sf, "nation").select("n_nationkey", "n_name"), "n")

@@ -75,24 +75,33 @@ def from_columns(lines: DataFrame, sizes: list[int], names: list[str], line: str
     return lines.select(*out)
 
 
+#: JVM class, its methods to and from raw IEEE bits, and the type of the bits.
+_IEEE = {"f": ("java.lang.Float", "floatToRawIntBits", "intBitsToFloat", "int"), "d": ("java.lang.Double", "doubleToRawLongBits", "longBitsToDouble", "long")}
+
+
+def _static(kind: str, which: int, x: Column) -> Column:
+    return F.when(x.isNotNull(), F.java_method(F.lit(_IEEE[kind][0]), F.lit(_IEEE[kind][which]), x))
+
+
 def pack(df: DataFrame, spec: str) -> DataFrame:
-    """Each record as fixed-width little-endian bytes: `record`. Integers and times are packed by the JVM."""
+    """Each record as fixed-width little-endian bytes: `record`. All types are packed by the JVM."""
     kinds, parts = expand_format(spec), []
     for c, kind in zip(df.columns, kinds, strict=True):
         if kind.startswith("s["):
             n = int(kind[2:-1])
             parts.append(F.substring(F.concat(F.encode(F.col(c), "utf-8"), F.unhex(F.lit("00" * n))), 1, n))
-        elif kind in ("f", "d"):
-            raise ValueError("floating point goes through Arrow: see unpack_doubles")
         else:
             size = TYPES[kind][1]
-            value = F.unix_micros(F.col(c).cast("timestamp")) if kind == "t" else F.col(c).cast("long")
+            if kind in _IEEE:
+                value = _static(kind, 1, F.col(c).cast(TYPES[kind][0])).cast("long")
+            else:
+                value = F.unix_micros(F.col(c).cast("timestamp")) if kind == "t" else F.col(c).cast("long")
             parts.append(F.unhex(F.lpad(F.hex(reversed_bytes(value, size)), 2 * size, "0") if size < 8 else F.concat(*(F.lpad(F.hex(F.shiftright(value, 8 * k).bitwiseAND(255)), 2, "0") for k in range(8)))))
     return df.select(F.concat(*parts).alias("record"))
 
 
 def unpack(records: DataFrame, spec: str, names: list[str], record: str = "record") -> DataFrame:
-    """Fields of fixed-width little-endian records."""
+    """Fields of fixed-width little-endian records. The payload of a NaN is not kept."""
     at, out = 1, []
     for kind, name in zip(expand_format(spec), names, strict=True):
         if kind.startswith("s["):
@@ -105,6 +114,8 @@ def unpack(records: DataFrame, spec: str, names: list[str], record: str = "recor
                 value = value.bitwiseOR(F.shiftleft(F.conv(F.hex(F.substring(record, at + k, 1)), 16, 10).cast("long"), 8 * k))
             if not kind.startswith("u") and kind != "t" and n < 8:
                 value = F.when(value >= 1 << (8 * n - 1), value - (1 << 8 * n)).otherwise(value)
+            if kind in _IEEE:
+                value = _static(kind, 2, value.cast(_IEEE[kind][3]))
             out.append((F.timestamp_micros(value).cast("timestamp_ntz") if kind == "t" else value.cast(TYPES[kind][0])).alias(name))
         at += n
     return records.select(*out)

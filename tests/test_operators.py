@@ -247,3 +247,16 @@ def test_all_leap_seconds(spark):
     df = spark.sql("select cast(x as timestamp_ntz) t from values ('1971-12-31 23:59:59'), ('1972-01-01'), ('1972-06-30 23:59:59'), ('1972-07-01'), ('1981-06-30'), ('1981-07-01'), ('1998-12-31'), ('1999-01-01'), ('2016-12-31'), ('2017-01-01'), (null) v(x)")
     assert [r[0] for r in df.select(scalar.tai_offset(F.col("t"))).collect()] == [0, 10, 10, 11, 19, 20, 31, 32, 36, 37, None]
     assert len(scalar.LEAP_SECONDS) == 28
+
+
+def test_floating_point_binary(spark):
+    import math
+    import struct
+
+    values = [(1.0, 0.1), (-0.0, -2.5), (5e-324, 1e-45), (1.7976931348623157e308, 3.4028234663852886e38), (math.inf, -math.inf), (math.pi, 16777217.0), (math.nan, math.nan)]
+    packed = records.pack(spark.createDataFrame(values, "a double, b float").coalesce(1), "d,f")
+    raw = [bytes(r.record) for r in packed.collect()]
+    assert raw == [struct.pack("<df", *v) for v in values]
+    got = [tuple(r) for r in records.unpack(packed, "d,f", ["a", "b"]).collect()]
+    assert [struct.pack("<df", *r) for r in got] == raw
+    assert records.pack(spark.createDataFrame([(None,)], "a double"), "d").first().record is None
