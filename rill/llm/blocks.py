@@ -17,10 +17,13 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import arrow_map, batch_of, filesystem, fresh_folder, id_text, partitions
 
 BLOCK_BYTES = 1 << 21
+#: Of hashes that one task of an exchange is meant to hold: the number of its tasks follows the number of blocks.
+EXCHANGE_BYTES = 1 << 26
 _BLOCK = pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary()))])
 
 
@@ -59,7 +62,6 @@ def over_blocks(blocks: DataFrame, fn: Callable[[str, list, list[bytes]], Iterat
             for k in range(b.num_rows):
                 yield from fn(b.column("block")[k].as_py(), b.column("doc_ids")[k].as_py(), b.column("texts")[k].as_py())
 
-    blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     return blocks.mapInArrow(run, schema)
 
 
@@ -78,14 +80,13 @@ def _save(folder: str, name: str, data: bytes) -> None:
     fs.move(draft, f"{root}/{name}")
 
 
-def load(folder: str, name: str) -> bytes:
-    """A reply; empty if the block sent nothing."""
-    fs, root = filesystem(folder)
-    try:
-        with fs.open_input_stream(f"{root}/{name}") as f:
-            return zstandard.ZstdDecompressor().decompress(f.read(), max_output_size=1 << 31)
-    except FileNotFoundError:
+def load(folder: str, name: str, expected: bool) -> bytes:
+    """A reply; empty if the block sent nothing. A reply that is expected and isn't there is an error."""
+    if not expected:
         return b""
+    fs, root = filesystem(folder)
+    with fs.open_input_stream(f"{root}/{name}") as f:
+        return zstandard.ZstdDecompressor().stream_reader(f.read()).readall()
 
 
 def _buckets(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -94,12 +95,18 @@ def _buckets(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(hashes, upper), [len(hashes)]))
 
 
+def exchange_tasks(blocks: DataFrame) -> int:
+    """Shuffle partitions for an exchange: at least the session's, more where blocks are many."""
+    return max(partitions(blocks.sparkSession), -(-blocks.count() * BLOCK_BYTES // EXCHANGE_BYTES))
+
+
 def mark_repeated(blocks: DataFrame, hashes_of: Callable[[str, list, list[bytes]], tuple[np.ndarray, np.ndarray | None]], folder: str) -> None:
     """For every block writes a file: for its distinct hashes in ascending order, 1 if the hash has a weight of 2 or
     more in all blocks together, else 0. hashes_of(block, doc_ids, texts): uint64 hashes, with repeats, and their
     weights (None: 1 each, so that a 1 in the reply means that the hash occurs more than once)."""
     spark = blocks.sparkSession
-    n = 4 * partitions(spark)
+    tasks = exchange_tasks(blocks)
+    n = 4 * tasks
     sent = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("hashes", pa.binary()), ("many", pa.binary())])
     back = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("marks", pa.binary())])
 
@@ -112,21 +119,24 @@ def mark_repeated(blocks: DataFrame, hashes_of: Callable[[str, list, list[bytes]
         if parts:
             yield batch_of(sent, bucket=[p[0] for p in parts], block=[block] * len(parts), hashes=[p[1] for p in parts], many=[p[2] for p in parts])
 
+    def answered(rows):
+        every = np.concatenate([np.frombuffer(r[2], dtype=np.uint64) for r in rows])
+        weight = np.concatenate([np.frombuffer(r[3], dtype=np.uint8) for r in rows])
+        _, place = np.unique(every, return_inverse=True)
+        marks = (np.bincount(place, weights=weight) >= 2).astype(np.uint8)[place]
+        ends = np.cumsum([len(r[3]) for r in rows])
+        return batch_of(back, block=[r[1] for r in rows], bucket=[r[0] for r in rows], marks=[marks[e - len(r[3]) : e].tobytes() for r, e in zip(rows, ends, strict=True)])
+
     def meet(batches):
-        rows = [(x, blk, h, m) for b in batches for x, blk, h, m in zip(*(b.column(c).to_pylist() for c in sent.names), strict=True)]
-        rows.sort(key=lambda r: r[0])
-        at = 0
-        while at < len(rows):  # a bucket at a time
-            z = at
-            while z < len(rows) and rows[z][0] == rows[at][0]:
-                z += 1
-            every = np.concatenate([np.frombuffer(r[2], dtype=np.uint64) for r in rows[at:z]])
-            weight = np.concatenate([np.frombuffer(r[3], dtype=np.uint8) for r in rows[at:z]])
-            _, place = np.unique(every, return_inverse=True)
-            marks = (np.bincount(place, weights=weight) >= 2).astype(np.uint8)[place]
-            ends = np.cumsum([len(r[3]) for r in rows[at:z]])
-            yield batch_of(back, block=[r[1] for r in rows[at:z]], bucket=[r[0] for r in rows[at:z]], marks=[marks[e - len(r[3]) : e].tobytes() for r, e in zip(rows[at:z], ends, strict=True)])
-            at = z
+        rows = []  # of one bucket
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in sent.names), strict=True):
+                if rows and rows[0][0] != r[0]:
+                    yield answered(rows)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield answered(rows)
 
     def store(batches):
         now, parts = None, []
@@ -141,8 +151,8 @@ def mark_repeated(blocks: DataFrame, hashes_of: Callable[[str, list, list[bytes]
             _save(folder, now, b"".join(parts))
         yield pa.RecordBatch.from_arrays([pa.array([1], type=pa.int32())], names=["done"])
 
-    given = over_blocks(blocks, emit, "bucket int, block string, hashes binary, many binary").repartition(partitions(spark), "bucket")
-    replies = arrow_map(given, meet, "block string, bucket int, marks binary").repartition(partitions(spark), "block").sortWithinPartitions("block", "bucket")
+    given = over_blocks(blocks, emit, "bucket int, block string, hashes binary, many binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    replies = arrow_map(given, meet, "block string, bucket int, marks binary").repartition(tasks, "block").sortWithinPartitions("block", "bucket")
     arrow_map(replies, store, "done int").count()
     del given, replies
     release(spark)
@@ -154,25 +164,29 @@ def repeated(hashes: np.ndarray, marks: bytes) -> np.ndarray:
     return (np.frombuffer(marks, dtype=np.uint8) == 1)[place] if len(found) else np.zeros(0, dtype=bool)
 
 
-def store_by_block(rows: DataFrame, columns: list[str], folder: str) -> None:
-    """Writes, for each block, its rows' columns (long) as one little-endian table file."""
+def store_by_block(rows: DataFrame, columns: list[str], folder: str, blocks: DataFrame) -> None:
+    """Writes, for each block, its rows' columns (long, not null) as one little-endian table file; an empty one for a
+    block without rows, so that a reader knows a missing file for a loss."""
     spark = rows.sparkSession
 
     def store(batches):
         now, parts = None, []
         for b in batches:
-            table = np.stack([b.column(c).to_numpy() for c in columns], axis=1) if b.num_rows else np.zeros((0, len(columns)), dtype=np.int64)
+            real = b.column(columns[0]).is_valid().to_pylist()
+            table = np.stack([b.column(c).fill_null(0).to_numpy() for c in columns], axis=1) if b.num_rows else np.zeros((0, len(columns)), dtype=np.int64)
             for k, block in enumerate(b.column("block").to_pylist()):
                 if block != now and now is not None:
                     _save(folder, now, b"".join(parts))
                     parts = []
                 now = block
-                parts.append(table[k].astype("<i8").tobytes())
+                if real[k]:
+                    parts.append(table[k].astype("<i8").tobytes())
         if now is not None:
             _save(folder, now, b"".join(parts))
         yield pa.RecordBatch.from_arrays([pa.array([1], type=pa.int32())], names=["done"])
 
-    dealt = rows.select("block", *columns).repartition(partitions(spark), "block").sortWithinPartitions("block")
+    every = rows.select("block", *columns).unionByName(blocks.select("block", *(F.lit(None).cast("long").alias(c) for c in columns)))
+    dealt = every.repartition(partitions(spark), "block").sortWithinPartitions("block")
     arrow_map(dealt, store, "done int").count()
     del dealt
     release(spark)

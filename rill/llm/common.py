@@ -9,21 +9,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch. Texts vary from nothing to megabytes, so batches are short.
-BATCH_ROWS = 256
-#: Bytes of text that the word kernel works on at once (one longer text is still taken whole).
+#: Bytes of text that are worked on at once (one longer text is still taken whole).
 KERNEL_BYTES = 1 << 21
 
-_M = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_M_INV = pow(_M, -1, 1 << 64)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +31,8 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in batches short enough that a batch of very long texts still fits a worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow. Spark bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch); functions that make much of
+    a text go through pieces() or in_pieces(), whatever the session's setting."""
     return df.mapInArrow(fn, schema)
 
 
@@ -46,15 +41,20 @@ def partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder the cluster names. Only a local master, where driver and executors are one process, may do
+    without: it gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    have = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if named is None and have.isDefined():
+        return have.get()
     if named is None:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if have.isDefined():
-            return have.get()
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = f"file://{tempfile.gettempdir()}/rill-checkpoints"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not have.isDefined():
         spark.sparkContext.setCheckpointDir(named)
+        _gone_at_exit(spark, spark.sparkContext._jsc.sc().getCheckpointDir().get())
     return named
 
 
@@ -64,8 +64,27 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _on_storage(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _gone_at_exit(spark: SparkSession, uri: str) -> None:
+    fs, path = _on_storage(spark, uri)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+
+
 def fresh_folder(spark: SparkSession, kind: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A shared folder of its own, which goes when the application ends; drop_folder() removes what is read sooner."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _gone_at_exit(spark, folder)
+    return folder
+
+
+def drop_folder(spark: SparkSession, uri: str) -> None:
+    fs, path = _on_storage(spark, uri)
+    fs.delete(path, True)
 
 
 def filesystem(uri: str):
@@ -86,27 +105,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(which: str, n: int) -> np.ndarray:
-    have = _powers.get(which)
+#: Two polynomials modulo 2**31 - 1 make one 62-bit name. The bases of a family are fixed; a second family names the
+#: same bytes independently of the first.
+_PRIME = (1 << 31) - 1
+_FAMILIES = ((1_318_699_081, 1_779_033_703), (1_013_904_242, 1_541_459_225))
+_P, _FOLD = np.uint64(_PRIME), np.uint64(31)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, up to one prime too much; products with numbers below 2**31 still fit 64 bits."""
+    x = (x & _P) + (x >> _FOLD)
+    return (x & _P) + (x >> _FOLD)
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, 2 ... modulo the prime; at least n of them."""
+    have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
-        step = np.full(size, _M if which == "up" else _M_INV, dtype=np.uint64)
-        step[0] = 1
-        have = _powers[which] = np.multiply.accumulate(step)
+        have = np.ones(1, dtype=np.uint64)
+        while len(have) < size:
+            have = np.concatenate((have, _reduced(have * np.uint64(pow(base, len(have), _PRIME))) % _P))
+        _powers[base] = have
     return have
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """c of length len(buf) + 1; span_hash() of it gives the polynomial hash of any span."""
-    c = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power("up", len(buf) + 1)[: len(buf)], out=c[1:])
-    return c
+def prefix_hash(buf: np.ndarray, family: int = 0) -> tuple[np.ndarray, ...]:
+    """Running sums, from which span_hash() has the hash of any span."""
+    out = []
+    for base in _FAMILIES[family]:
+        x = (buf.astype(np.uint64) + np.uint64(1)) * _power(base, len(buf) + 1)[: len(buf)]
+        c = np.zeros(len(buf) + 1, dtype=np.uint64)
+        np.cumsum((x & _P) + (x >> _FOLD), out=c[1:])
+        out.append(c)
+    return tuple(out)
 
 
-def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[start:end], the same for equal bytes wherever they stand."""
-    x = (c[end] - c[start]) * _power("down", len(c))[start]
-    return mix(x ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+def span_hash(sums: tuple[np.ndarray, ...], start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
+    """64-bit names of buf[start:end], the same for equal bytes wherever they stand."""
+    name = (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for c, base, place in zip(sums, _FAMILIES[family], (0, 31), strict=True):
+        down = _power(pow(base, -1, _PRIME), len(c))
+        x = _reduced(_reduced(c[end] - c[start]) * down[start])
+        x = np.where(x >= _P, x - _P, x)
+        name = name ^ (x << np.uint64(place))
+    return mix(name)
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -126,17 +170,32 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return h, first, start - base[doc], end - base[doc]
 
 
+def _cuts(batch: pa.RecordBatch, column: str, most: int) -> list[int]:
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    out, held = [0], 0
+    for k, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            out.append(k)
+            held = 0
+        held += n
+    return [*out, batch.num_rows]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = KERNEL_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in record batches of about most bytes of text."""
+    for batch in batches:
+        cuts = _cuts(batch, column, most)
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if z > a:
+                yield batch.slice(a, z - a)
+
+
 def in_pieces(batch: pa.RecordBatch, column: str = "text", most: int = KERNEL_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """(from row, to row, texts as UTF-8) so that each piece holds about most bytes."""
-    texts = batch.column(column).cast(pa.large_binary()).to_pylist()
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield at, k, texts[at:k]
-            at, size = k, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts), texts[at:]
+    cuts = _cuts(batch, column, most)
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        if z > a:
+            yield a, z, batch.column(column).slice(a, z - a).cast(pa.large_binary()).to_pylist()
 
 
 def shingles(h: np.ndarray, width: int) -> np.ndarray:
