@@ -10,8 +10,11 @@ agree on the rest of a phrase and on the parse after it. This operator needs onl
 - only where a repeat begins or ends inside a phrase are strings named one by one, and only those that contain no phrase
   that the dictionary has once, together with those known to repeat that begin with the same whole phrase.
 
-Classes are named by 64-bit hashes of bytes and counted, instead of sorted into suffix arrays: a sort would bring all
-suffixes of one common passage, perhaps a third of the corpus, into one range. Names travel once a block.
+Classes are named by hashes of bytes and counted, instead of sorted into suffix arrays: a sort would bring all suffixes of
+one common passage, perhaps a third of the corpus, into one range. Names travel once a block. Whatever is to be removed
+is named a second time, by an independent family of hashes, among those that repeat: the places of the parse before
+they count as repeated, the single strings at the end. Two different strings pass for equal only if they share both
+names.
 
 Defined cases: null or empty text, and texts shorter than LENGTH, lose nothing; matches never cross documents; repeated
 doc_ids are separate rows; null doc_ids are kept; a table without rows gives none.
@@ -52,9 +55,14 @@ class Parse:
         doc = np.searchsorted(self.base, at, side="right") - 1
         inside = at + TRIGGER <= self.base[doc + 1]
         self.at, self.doc = at[inside], doc[inside]
-        self.hash = prefix_hash(self.buf)
+        self.sums = [prefix_hash(self.buf), None]
         self._places()
 
+    def spans(self, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
+        if self.sums[family] is None:
+            self.sums[family] = prefix_hash(self.buf, family)
+        return span_hash(self.sums[family], start, end, family)
+
     def phrases(self) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of every phrase, from a trigger to the end of the next."""
         same = self.doc[1:] == self.doc[:-1]
@@ -94,29 +102,42 @@ class Parse:
         some = low <= high
         self.low, self.high, self.span_start, self.span_end, self.phrase, self.holds, self.begin = (x[some] for x in (low, high, span_start, span_end, phrase, holds, begin))
 
-    def names(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the phrases, and of the places' spans."""
-        a, z = self.phrases()
+    def places(self, family: int = 0, chosen=slice(None)) -> np.ndarray:
+        """Names of the places' spans."""
         # a text may begin with a trigger: its first two places then have one span, and must not take each other for a copy
-        salt = np.where(self.begin, np.uint64(0x2545F491), np.uint64(0x51ED270B))
-        return span_hash(self.hash, a, z), mix(span_hash(self.hash, self.span_start, self.span_end) + salt)
-
-    def starts(self, marks: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(places whose strings all repeat, as 0/1 by place; other starts whose strings may repeat)."""
-        phrase, place = self.names()
-        known = repeated(np.concatenate((phrase, place)), marks)
-        twice, sure = known[: len(phrase)], known[len(phrase) :]
+        salt = np.where(self.begin[chosen], np.uint64(0x2545F491), np.uint64(0x51ED270B))
+        return mix(self.spans(self.span_start[chosen], self.span_end[chosen], family) + salt)
+
+    def names(self) -> np.ndarray:
+        """Names of the phrases, then of the places."""
+        return np.concatenate((self.spans(*self.phrases()), self.places()))
+
+    def settle_names(self, marks: bytes) -> None:
+        """Takes the reply on names: phrases that repeat, and places that seem to."""
+        known = repeated(self.names(), marks)
+        n = len(self.phrases()[0])
+        self.twice, self.likely = known[:n], np.flatnonzero(known[n:])
+
+    def settle_places(self, second: bytes) -> None:
+        """Takes the reply on the second names of the places that seem to repeat."""
+        self.sure = np.zeros(len(self.low), dtype=bool)
+        self.sure[self.likely[repeated(self.places(1, self.likely), second)]] = True
+        self.rest = self._open_starts()
+        self._ask()
+
+    def _open_starts(self) -> np.ndarray:
+        """Starts outside of sure places whose strings may repeat."""
+        sure = self.sure
         n = len(self.buf) + 1
         open_ = np.zeros(n + 1, dtype=np.int32)
         np.add.at(open_, self.low[~sure], 1)
         np.add.at(open_, self.high[~sure] + 1, -1)
         a, z = self.phrases()
-        once = ~twice & (z - a <= self.length)
+        once = ~self.twice & (z - a <= self.length)
         dead = np.zeros(n + 1, dtype=np.int32)
         np.add.at(dead, np.maximum(z - self.length, self.base[np.searchsorted(self.base, a, side="right") - 1])[once], 1)
         np.add.at(dead, a[once] + 1, -1)
-        left = (np.cumsum(open_[:-1]) > 0) & ~(np.cumsum(dead[:-1]) > 0)
-        return sure, np.flatnonzero(left)
+        return np.flatnonzero((np.cumsum(open_[:-1]) > 0) & ~(np.cumsum(dead[:-1]) > 0))
 
     def of_places(self, chosen: np.ndarray) -> np.ndarray:
         """All starts of the chosen places."""
@@ -128,31 +149,30 @@ class Parse:
         place = np.searchsorted(self.low, starts, side="right") - 1
         return np.where(starts >= self.holds[place], self.phrase[place], -1)
 
-    def named(self, marks: bytes, wanted: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sure places, starts that may repeat, those of sure places that such starts elsewhere may equal)."""
-        sure, rest = self.starts(marks)
-        phrase, _ = self.names()
-        known = self.of_places(np.flatnonzero(sure))
+    def _ask(self) -> None:
+        """Phrases that stand first in sure places or in starts that may repeat, and which of them in the latter."""
+        of_rest = np.unique(self.keys(self.rest))
+        every = np.union1d(of_rest, np.unique(self.phrase[self.sure]))
+        self.asked = every[every >= 0]
+        self.of_rest = np.isin(self.asked, of_rest)
+
+    def asked_names(self) -> np.ndarray:
+        a, z = self.phrases()
+        return self.spans(a[self.asked], z[self.asked])
+
+    def strings_to_name(self, wanted: bytes) -> np.ndarray:
+        """Starts that may repeat, then those of sure places that such starts elsewhere may equal."""
+        known = self.of_places(np.flatnonzero(self.sure))
         key = self.keys(known)
         need = np.ones(len(known), dtype=bool)
-        if len(phrase):
-            asked = np.zeros(len(phrase), dtype=bool)
-            here, _ = self.asked(marks)
-            asked[here] = repeated(phrase[here], wanted)
+        if len(self.twice):
+            asked = np.zeros(len(self.twice), dtype=bool)
+            asked[self.asked] = repeated(self.asked_names(), wanted)
             need = (key < 0) | asked[np.maximum(key, 0)]
-        return sure, rest, known[need]
-
-    def asked(self, marks: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases that stand first in sure places or in starts that may repeat, and which of them in the latter."""
-        sure, rest = self.starts(marks)
-        of_rest = np.unique(self.keys(rest))
-        of_sure = np.unique(self.phrase[sure])
-        every = np.union1d(of_rest, of_sure)
-        every = every[every >= 0]
-        return every, np.isin(every, of_rest)
+        return np.concatenate((self.rest, known[need]))
 
-    def strings(self, starts: np.ndarray) -> np.ndarray:
-        return span_hash(self.hash, starts, starts + self.length)
+    def strings(self, starts: np.ndarray, family: int = 0) -> np.ndarray:
+        return self.spans(starts, starts + self.length, family)
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -161,30 +181,56 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remove
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the remaining bytes if with_text."""
     blocks, folder = write_blocks(docs)
-    first, second, third = (f"{folder}/{x}" for x in ("names", "wanted", "strings"))
-    mark_repeated(blocks, lambda _, __, texts: (np.concatenate(Parse(texts, length).names()), None), first)
+    names, places, phrases, strings, again = (f"{folder}/{x}" for x in ("names", "places", "phrases", "strings", "again"))
 
-    def wanted(block, _, texts):
+    def named(block, texts) -> Parse:
         p = Parse(texts, length)
-        phrases, in_rest = p.asked(load(first, block))
-        return p.names()[0][phrases], 2 * in_rest
+        p.settle_names(load(names, block, len(p.low) + len(p.phrases()[0]) > 0))
+        return p
 
-    mark_repeated(blocks, wanted, second)
+    def parsed(block, texts) -> Parse:
+        p = named(block, texts)
+        p.settle_places(load(places, block, len(p.likely) > 0))
+        return p
 
-    def single(block, _, texts):
-        p = Parse(texts, length)
-        _, rest, also = p.named(load(first, block), load(second, block))
-        return p.strings(np.concatenate((rest, also))), None
+    def second_names(block, _, texts):
+        p = named(block, texts)
+        return p.places(1, p.likely), None
+
+    def wanted(block, _, texts):
+        p = parsed(block, texts)
+        return p.asked_names(), 2 * p.of_rest
+
+    def starts_of(p: Parse, block) -> np.ndarray:
+        return p.strings_to_name(load(phrases, block, len(p.asked) > 0))
 
-    mark_repeated(blocks, single, third)
+    def single(block, _, texts):
+        p = parsed(block, texts)
+        return p.strings(starts_of(p, block)), None
+
+    def likely(p: Parse, block) -> tuple[np.ndarray, np.ndarray]:
+        """(starts whose names repeat, which of them lie outside of sure places)."""
+        starts = starts_of(p, block)
+        hit = repeated(p.strings(starts), load(strings, block, len(starts) > 0))
+        return starts[hit], (np.arange(len(starts)) < len(p.rest))[hit]
+
+    def single_again(block, _, texts):
+        p = parsed(block, texts)
+        return p.strings(likely(p, block)[0], 1), None
+
+    mark_repeated(blocks, lambda _, __, texts: (Parse(texts, length).names(), None), names)
+    mark_repeated(blocks, second_names, places)
+    mark_repeated(blocks, wanted, phrases)
+    mark_repeated(blocks, single, strings)
+    mark_repeated(blocks, single_again, again)
     schema = _RESULT if with_text else pa.schema(list(_RESULT)[:-1])
 
     def final(block, doc_ids, texts):
-        p = Parse(texts, length)
-        sure, rest, also = p.named(load(first, block), load(second, block))
+        p = parsed(block, texts)
         hit = np.zeros(len(p.buf) + 1, dtype=bool)
-        hit[p.of_places(np.flatnonzero(sure))] = True
-        hit[rest[repeated(p.strings(np.concatenate((rest, also))), load(third, block))[: len(rest)]]] = True
+        hit[p.of_places(np.flatnonzero(p.sure))] = True
+        starts, outside = likely(p, block)
+        hit[starts[outside & repeated(p.strings(starts, 1), load(again, block, len(starts) > 0))]] = True
         at = np.flatnonzero(hit)
         cover = np.zeros(len(p.buf) + 1, dtype=np.int32)
         np.add.at(cover, at, 1)
