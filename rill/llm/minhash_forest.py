@@ -14,7 +14,8 @@
 
 Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. Defined cases: null or empty text, or text without words, has an
 empty set, links with nothing and is kept; a text with fewer words than the width is one shingle; equal sets link;
-repeated doc_ids are one node; a null doc_id is kept and links with nothing; no rows give no rows.
+repeated doc_ids are one document with all their texts' links, and each of their rows gets its component; a null doc_id
+is kept and links with nothing; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -58,6 +59,11 @@ def signature(shingle_set: np.ndarray, factors=None) -> bytes:
     return (mix(least) >> np.uint64(32)).astype(">u4").tobytes()
 
 
+def _digest(shingle_set: np.ndarray) -> tuple[int, int]:
+    """Of a set of 64-bit hashes, 128 bits; of an empty one, zeros."""
+    return (int(shingle_set.sum().view(np.int64)), int(mix(shingle_set).sum().view(np.int64))) if len(shingle_set) else (0, 0)
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, set_a, set_b (digest of the set), signature (null for an empty set)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary())])
@@ -67,30 +73,30 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
         for b in batches:
             for lo, hi, texts in in_pieces(b):
                 h, first, _, _ = words_of(texts)
-                n, set_a, set_b, sign = [], [], [], []
+                n, digests, sign = [], [], []
                 for k in range(len(texts)):
                     s = np.unique(shingles(h[first[k] : first[k + 1]], width))
                     n.append(len(s))
-                    set_a.append(int(s.sum().view(np.int64)) if len(s) else 0)
-                    set_b.append(int(mix(s).sum().view(np.int64)) if len(s) else 0)
+                    digests.append(_digest(s))
                     sign.append(signature(s, factors) if len(s) else None)
-                yield batch_of(schema, doc_id=b.column("doc_id")[lo:hi], n_shingles=n, set_a=set_a, set_b=set_b, signature=sign)
+                yield batch_of(schema, doc_id=b.column("doc_id")[lo:hi], n_shingles=n, set_a=[d[0] for d in digests], set_b=[d[1] for d in digests], signature=sign)
 
     return arrow_map(id_text(docs), run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """doc_id, shingles (sorted distinct hashes)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    """doc_id, set_a, set_b (digest), shingles (sorted distinct hashes)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
             for lo, hi, piece in in_pieces(b):
                 h, first, _, _ = words_of(piece)
-                sets = [np.unique(shingles(h[a:z], width)).view(np.int64) for a, z in zip(first, first[1:], strict=False)]
-                yield batch_of(schema, doc_id=b.column("doc_id")[lo:hi], shingles=sets)
+                sets = [np.unique(shingles(h[a:z], width)) for a, z in zip(first, first[1:], strict=False)]
+                digests = [_digest(s) for s in sets]
+                yield batch_of(schema, doc_id=b.column("doc_id")[lo:hi], set_a=[d[0] for d in digests], set_b=[d[1] for d in digests], shingles=[s.view(np.int64) for s in sets])
 
-    return arrow_map(texts, run, "doc_id long, shingles array<long>")
+    return arrow_map(texts, run, "doc_id long, set_a long, set_b long, shingles array<long>")
 
 
 def _size_fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -98,7 +104,7 @@ def _size_fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """(a, b, n): pairs of ids that are candidates in n places of the sorted orders. reps: rep, n_shingles, signature."""
+    """(a, b, n): pairs of reps that are candidates in n places of the sorted orders. reps: rep, n_shingles, signature."""
     rows = pa.schema([("tree", pa.int32()), ("key", pa.binary()), ("doc", pa.int64()), ("size", pa.int64())])
     pairs = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
     step = 4 * DEPTH
@@ -213,25 +219,36 @@ def run_pairs(members: DataFrame, reps: DataFrame, most: int | None) -> DataFram
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
+    """The pairs (a, b) whose full sets are similar enough. Both tables are written ones, so that a join on a rep with
+    very many candidates is one that adaptive execution can split."""
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("of_a"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     met = pairs.select("a", "b").join(left, "a").join(right, "b")
     return met.withColumn("both", both).filter(100 * F.col("both") >= SIMILAR * (F.size("of_a") + F.size("of_b") - F.col("both"))).select("a", "b")
 
 
+_SET = ["n_shingles", "set_a", "set_b"]
+
+
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     texts = id_text(docs)
     sketch = saved(sketches(docs, width))
     known = sketch.filter("doc_id is not null and n_shingles > 0")
-    classes = saved(known.groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "signature")).alias("least")).select("n_shingles", "set_a", "set_b", F.col("least.doc_id").alias("rep"), F.col("least.signature").alias("signature")))
+    grouped = known.groupBy(*_SET).agg(F.min(F.struct("doc_id", "signature")).alias("least"))
+    # a class of equal sets is a node by a number of its own: two classes may share their least doc_id
+    classes = saved(grouped.select(*_SET, F.col("least.doc_id").alias("least_id"), F.col("least.signature").alias("signature"), F.monotonically_increasing_id().alias("rep")))
     reps = classes.select("rep", "n_shingles", "signature")
     pairs = saved(candidate_pairs(reps))
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # a repeated doc_id could stand for several texts: the class's own text is the one whose set has the class's digest
-    sets_of = lambda ids: saved(shingle_sets(texts.join(ids, "doc_id", "left_semi"), width)).dropDuplicates(["doc_id"])
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """rep, shingles; a repeated doc_id may have several texts, and the class's own is the one with its digest."""
+        asked = classes.join(wanted, "rep", "left_semi").select("rep", "least_id", "set_a", "set_b")
+        found = shingle_sets(texts.join(asked.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
+        return saved(asked.join(found.withColumnRenamed("doc_id", "least_id"), ["least_id", "set_a", "set_b"]).dropDuplicates(["rep"]).select("rep", "shingles"))
+
+    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     sets = sets_of(wanted)
     # first round: for either end, the partner met in most places
     ends = pairs.select(F.col("a").alias("end"), "a", "b", "n").unionByName(pairs.select(F.col("b").alias("end"), "a", "b", "n"))
@@ -253,13 +270,27 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
             if most is None:
                 break
             continue
-        new = more.select(F.col("a").alias("doc_id")).unionByName(more.select(F.col("b").alias("doc_id"))).distinct()
-        sets = sets.unionByName(sets_of(new.join(wanted, "doc_id", "left_anti")))
+        new = more.select(F.col("a").alias("rep")).unionByName(more.select(F.col("b").alias("rep"))).distinct()
+        sets = sets.unionByName(sets_of(new.join(wanted, "rep", "left_anti")))
         wanted = wanted.unionByName(new).distinct()
         links = saved(links.unionByName(confirmed(more, sets)))
         tested = tested.unionByName(more)
+    # doc_ids with several texts join the classes of all of them
+    text_of = F.struct(*_SET)
+    mixed = saved(sketch.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text_of).alias("x"), F.max(text_of).alias("y")).filter("x <> y").select("doc_id"))
+    several = not mixed.isEmpty()
+    if several:
+        held = saved(known.join(mixed, "doc_id", "left_semi").select("doc_id", *_SET).distinct().join(classes.select(*_SET, "rep"), _SET).select("doc_id", "rep"))
+        links = saved(links.unionByName(held.join(held.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))))
     reach = components(links).select(F.col("node").alias("rep"), "component")
-    of_class = classes.drop("signature").join(reach, "rep", "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.drop("signature").join(of_class, ["n_shingles", "set_a", "set_b"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    placed = saved(classes.drop("signature").join(reach, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    of_class = placed.join(placed.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select("rep", *_SET, "component_id")
+    if several:
+        of_class = saved(of_class)
+    out = sketch.drop("signature").join(of_class.drop("rep"), _SET, "left")
+    component = F.coalesce("component_id", "doc_id")
+    if several:
+        of_id = held.join(of_class.select("rep", F.col("component_id").alias("of_id")), "rep").groupBy("doc_id").agg(F.min("of_id").alias("of_id"))
+        out, component = out.join(of_id, "doc_id", "left"), F.coalesce("of_id", "component_id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
