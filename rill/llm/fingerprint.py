@@ -1,11 +1,14 @@
 """Operator 1: context-triggered piecewise hashing.
 
 A hash rolls over seven bytes; where it hits a residue of the block size, a chunk ends and one signature letter is
-made of the chunk. A fingerprint is ``block:letters:letters at twice the block``. Two fingerprints are compared by the
-edit distance of their letters where block sizes are equal or one is twice the other.
-
-Defined cases: null text is empty and has fingerprint ``4::``; equal texts have equal fingerprints; two equal
-fingerprints are alike 1.0; incompatible block sizes are alike 0.0; repeated doc_ids stand next to each other, ordered
+made of the chunk. A fingerprint is ``block:letters:letters at twice the block:digest of the text``. Two fingerprints are
+compared by the edit distance of their letters where block sizes are equal or one is twice the other. Short texts have
+blocks down to one byte, so that they too have a letter for every few bytes. Fingerprints with different digests are of
+different texts and count as one edit apart at least, whatever their letters.
+
+Defined cases: null text is empty and has no letters; equal texts have equal fingerprints; two equal fingerprints are
+alike 1.0, no others are; texts that repeat themselves so that no block gives LETTERS / 2 to MOST_LETTERS letters have
+those of the block next to it, one letter at worst; incompatible block sizes are alike 0.0; repeated doc_ids stand next to each other, ordered
 by a hash of the text; null doc_ids come first; an only document is its own next document; no rows give no rows.
 """
 
@@ -19,13 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, id_text, partitions, saved
+from .common import arrow_map, batch_of, id_text, partitions, pieces, saved
 
 WINDOW = 7
 #: Block sizes are powers of two from here on.
-LEAST_BLOCK = 4
-LETTERS = 64
-#: Letters that two signatures must share in one run to be compared at all.
+LEAST_BLOCK = 1
+LETTERS, MOST_LETTERS = 64, 256
+#: Letters that two signatures must share in one run to be compared at all; of short ones a quarter.
 COMMON_RUN = 7
 #: Bytes hashed at once, so that one very long text needs no more memory than this many bytes take.
 SEGMENT = 1 << 20
@@ -78,15 +81,24 @@ def _letters(data: bytes, block: int, kept: dict) -> tuple[str, str]:
 
 def fingerprint(text: str) -> str:
     data = text.encode("utf-8")
+    digest = hashlib.blake2b(data, digest_size=8).hexdigest()
     block = LEAST_BLOCK
     while block * LETTERS < len(data):
         block *= 2
     kept: dict = {}
+    found = None
     while True:
         a, b = _letters(data, block, kept)
-        if len(a) >= LETTERS // 2 or block == LEAST_BLOCK:
-            return f"{block}:{a}:{b}"
-        block //= 2
+        if len(a) <= MOST_LETTERS:
+            if len(a) >= LETTERS // 2 or block == LEAST_BLOCK or found == "":
+                return f"{block}:{a}:{b}:{digest}"
+            found = f"{block}:{a}:{b}:{digest}"
+            block //= 2
+        elif found:
+            return found
+        else:
+            found = ""
+            block *= 2
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -109,20 +121,19 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def _alike(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    run = min(COMMON_RUN, len(a), len(b))
-    if not run or {a[i : i + run] for i in range(len(a) - run + 1)}.isdisjoint(b[i : i + run] for i in range(len(b) - run + 1)):
+    """Of signatures of different texts."""
+    run = min(COMMON_RUN, max(1, min(len(a), len(b)) // 4))
+    if not a or not b or {a[i : i + run] for i in range(len(a) - run + 1)}.isdisjoint(b[i : i + run] for i in range(len(b) - run + 1)):
         return 0.0
-    return 1.0 - edit_distance(a, b) / max(len(a), len(b))
+    return 1.0 - max(1, edit_distance(a, b)) / max(len(a), len(b))
 
 
 def likeness(x: str, y: str) -> float:
-    """0 to 1; 1 for equal fingerprints."""
+    """0 to 1; 1 for equal fingerprints alone."""
     if x == y:
         return 1.0
-    n, a, aa = x.split(":")
-    m, b, bb = y.split(":")
+    n, a, aa, _ = x.split(":")
+    m, b, bb, _ = y.split(":")
     n, m = int(n), int(m)
     if n == m:
         return max(_alike(a, b), _alike(aa, bb))
@@ -136,7 +147,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())])
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             yield batch_of(schema, doc_id=b.column("doc_id"), fingerprint=[fingerprint(t) for t in b.column("text").to_pylist()])
 
     return arrow_map(id_text(docs), run, "doc_id long, fingerprint string")
@@ -165,7 +176,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     def run(batches):
         part, first, held = TaskContext.get().partitionId(), None, None
         blank = {"n_chars": None, "edited_sha256": None, "edited_fingerprint": None, "near_edited": None, "near_next": None}
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 now = (doc, text, fingerprint(text))
