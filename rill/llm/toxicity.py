@@ -1,22 +1,21 @@
 """Operator 10: toxicity by a factorization machine over hashed terms.
 
 score = sigmoid(bias + sum of w[t] + sum over pairs of <v[t], v[u]>): the pair term learns that two terms together say
-more than each alone. Terms are lower-cased runs of letters and digits, hashed to 2**HASH_BITS buckets; a term that
-comes back in a document also counts as a second, "repeated" term.
+more, or something else, than each alone. Terms are lower-cased runs of letters and digits, hashed to 2**HASH_BITS
+buckets; a term that comes back in a document also counts as a second, "repeated" term. Terms are tried whatever their
+own relation to the label: one that says nothing by itself can matter in a pair.
 
 Training: labelled rows with crc32(doc_id as text) mod 4 <> 2, at most TRAIN_ROWS of them (those with the least hash of
-doc_id; a documented bound). Labels, lang, source and doc_id are no inputs. The model is of bounded size (only terms
-that the training rows show to matter have weights) and goes to the executors once. Scoring is one pass, no shuffle.
+doc_id and text; a documented bound). Labels, lang, source and doc_id are no inputs. The model has the terms that the
+training rows show to matter, and goes to the executors once. Scoring is one pass, no shuffle.
 
 Defined cases: null or empty text has no terms and scores as the bias says; without labels, or with one class, the
 model is the share of toxic labels (0 if there are none); labels without a document or with nulls are left out; repeated
-doc_ids are scored row by row, and a doc_id with several labels trains with each.
+doc_ids are scored row by row; equal rows with equal labels train once, a doc_id with several texts or labels with each.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,11 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, batch_of, id_text, in_pieces, mix, prefix_hash, span_hash
 
-HASH_BITS, FACTORS = 22, 4
+HASH_BITS, FACTORS, INIT = 22, 2, 0.05
 TRAIN_ROWS = 20_000
-#: A term needs this many training documents and this likelihood ratio to have weights at all.
-LEAST_DOCS, LEAST_RATIO, MOST_TERMS = 4, 12.0, 20_000
-ROUNDS, RATE, DECAY = 250, 0.05, 3e-4
+#: Steps over all rows, step size, and what a unit of a linear weight or of a term's factors costs, in rows.
+STEPS, RATE, COST, FACTOR_COST = 200, 0.05, 4.0, 2.0
+#: Between steps over all terms, steps over those with weights alone; the first steps are over all.
+FIRST, ALL_TERMS_EVERY = 12, 25
+#: Places of terms that are worked on at once.
+CHUNK = 1 << 19
 THRESHOLD = 0.3
 _TERM = np.zeros(256, dtype=bool)
 _TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -69,6 +71,8 @@ def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class FactorizationMachine:
+    """terms: hashed terms that have weights, ascending; w and v: their weights."""
+
     def __init__(self, terms: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray):
         self.terms, self.bias, self.w, self.v = terms, bias, w, v
 
@@ -80,62 +84,82 @@ class FactorizationMachine:
         known = self.terms[at] == hashed
         return at[known], np.concatenate(([0], np.cumsum(known)))[first]
 
-    def score(self, at: np.ndarray, first: np.ndarray) -> np.ndarray:
-        x = self.bias + _sums(self.w[at], first)
-        s, q = _sums(self.v[at], first), _sums(self.v[at] ** 2, first)
-        x = x + 0.5 * (s * s - q).sum(axis=1)
-        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _ratio(n1: np.ndarray, n0: np.ndarray, t1: int, t0: int) -> np.ndarray:
-    """Likelihood ratio of a term's presence against the label."""
-
-    def part(a, e):
-        return np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / e), 0.0)
-
-    n, t = n1 + n0, t1 + t0
-    m = t - n
-    return 2 * (part(n1, n * t1 / t) + part(n0, n * t0 / t) + part(t1 - n1, np.maximum(m * t1 / t, 1e-9)) + part(t0 - n0, np.maximum(m * t0 / t, 1e-9)))
+    def score(self, hashed: np.ndarray, first: np.ndarray) -> np.ndarray:
+        at, begin = self.place(hashed, first)
+        v = self.v[at]
+        s, q = _sums(v, begin), _sums(v * v, begin)
+        return _sigmoid(self.bias + _sums(self.w[at], begin) + 0.5 * (s * s - q).sum(axis=1))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def loss_gradient(at: np.ndarray, first: np.ndarray, y: np.ndarray, bias: float, weights: np.ndarray) -> tuple[float, np.ndarray]:
+    """Of the summed log loss of rows, by bias and by each term's weights (linear, then factors). Works on so many rows
+    at once as CHUNK places hold."""
+    total, out = 0.0, np.zeros(weights.shape)
+    cut = [0]
+    while cut[-1] < len(y):
+        cut.append(max(cut[-1] + 1, int(np.searchsorted(first, first[cut[-1]] + CHUNK, side="right")) - 1))
+    for a, z in zip(cut, cut[1:], strict=False):
+        mine, begin = at[first[a] : first[z]], first[a : z + 1] - first[a]
+        row = np.repeat(np.arange(z - a, dtype=np.int32), np.diff(begin))
+        x = weights[mine]
+        s = _sums(x, begin)
+        x = x[:, 1:]
+        g = _sigmoid(bias + s[:, 0] + 0.5 * ((s[:, 1:] ** 2).sum(axis=1) - _sums((x * x).sum(axis=1), begin))) - y[a:z]
+        total += float(g.sum())
+        mine = mine.astype(np.intp)
+        out[:, 0] += np.bincount(mine, g[row], minlength=len(weights))
+        for k in range(x.shape[1]):
+            out[:, k + 1] += np.bincount(mine, (g * s[:, k + 1])[row] - g[row] * x[:, k], minlength=len(weights))
+    return total, out
 
 
 def fit(hashed: np.ndarray, first: np.ndarray, y: np.ndarray) -> FactorizationMachine:
+    """Proximal steps of adaptive size on the summed log loss plus COST times the linear weights' absolute values plus
+    FACTOR_COST times the lengths of the terms' factors; so terms that the rows say nothing about end with no weights.
+    A term of COST rows or fewer can't overcome the cost and isn't tried. Rows come in an order of their own, so the
+    model doesn't depend on partitions."""
     t1, t0 = int(y.sum()), int(len(y) - y.sum())
-    none = np.zeros(0, dtype=np.int64)
     if not t1 or not t0:
         rate = t1 / len(y) if len(y) else 0.0
-        return FactorizationMachine(none, float(np.log((rate + 1e-6) / (1 - rate + 1e-6))), np.zeros(0), np.zeros((0, FACTORS)))
-    label = np.repeat(y == 1, np.diff(first))
-    n1, n0 = (np.bincount(hashed[x], minlength=1 << HASH_BITS).astype(np.int32) for x in (label, ~label))
-    del label
-    seen = np.flatnonzero(n1 + n0 >= LEAST_DOCS)
-    ratio = _ratio(n1[seen].astype(float), n0[seen].astype(float), t1, t0)
-    more = n1[seen] / t1 > n0[seen] / t0
-    keep = (ratio >= LEAST_RATIO) & more
-    terms = np.sort(seen[keep][np.argsort(-ratio[keep], kind="stable")[:MOST_TERMS]])
-    odds = np.log((n1[terms] + 0.5) / t1) - np.log((n0[terms] + 0.5) / t0)
-    draw = np.random.default_rng(7)
-    model = FactorizationMachine(terms, float(np.log(t1 / t0)), 0.3 * odds, 0.02 * draw.standard_normal((len(terms), FACTORS)))
-    model.v[:, 0] += 0.4 * np.sqrt(np.maximum(odds, 0))
-    at, begin = model.place(hashed, first)
-    doc = np.repeat(np.arange(len(y)), np.diff(begin))
-    state = [[np.zeros_like(np.asarray(p, dtype=float)) for _ in range(2)] for p in (model.bias, model.w, model.v)]
-    for step in range(1, ROUNDS + 1):
-        v = model.v[at]
-        s = _sums(v, begin)
-        g = (model.score(at, begin) - y) / len(y)
-        spread = g[doc]
-        grads = [
-            np.asarray(g.sum()),
-            np.bincount(at, spread, minlength=len(terms)) + DECAY * model.w / 10,
-            np.stack([np.bincount(at, spread * (s[doc, k] - v[:, k]), minlength=len(terms)) for k in range(FACTORS)], axis=1) + DECAY * model.v / 10,
-        ]
-        moved = []
-        for p, grad, (m1, m2) in zip((model.bias, model.w, model.v), grads, state, strict=True):
-            m1 += 0.1 * (grad - m1)
-            m2 += 0.001 * (grad * grad - m2)
-            moved.append(p - RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-9))
-        model.bias, model.w, model.v = float(moved[0]), moved[1], moved[2]
-    return model
+        return FactorizationMachine(np.zeros(0, dtype=np.int64), float(np.log((rate + 1e-6) / (1 - rate + 1e-6))), np.zeros(0), np.zeros((0, FACTORS)))
+    terms, at, rows_of = np.unique(hashed, return_inverse=True, return_counts=True)
+    tried = rows_of > COST
+    held = tried[at]
+    at, first = (np.cumsum(tried) - 1)[at[held]].astype(np.int32), np.concatenate(([0], np.cumsum(held)))[first]
+    terms = terms[tried]
+    weights = np.zeros((len(terms), 1 + FACTORS))
+    weights[:, 1:] = INIT * np.random.default_rng(7).standard_normal((len(terms), FACTORS))
+    bias, of_bias = float(np.log(t1 / t0)), np.zeros(2)
+    mean, square = np.zeros_like(weights), np.zeros_like(weights)
+    for step in range(1, STEPS + 1):
+        every = step <= FIRST or step % ALL_TERMS_EVERY == 0
+        if every or step == FIRST + 1 or step % ALL_TERMS_EVERY == 1:
+            live = np.arange(len(terms)) if every else np.flatnonzero(weights.any(axis=1))
+            here = at if every else np.full(len(terms), -1, dtype=np.int32)
+            begin = first
+            if not every:
+                here[live] = np.arange(len(live))
+                here = here[at]
+                begin = np.concatenate(([0], np.cumsum(here >= 0)))[first]
+                here = here[here >= 0]
+        g, grad = loss_gradient(here, begin, y, bias, weights[live])
+        mean[live] += 0.1 * (grad - mean[live])
+        square[live] += 0.02 * (grad * grad - square[live])
+        of_bias += (0.1 * (g - of_bias[0]), 0.02 * (g * g - of_bias[1]))
+        one, two = 1 - 0.9**step, 1 - 0.98**step
+        size = RATE / (np.sqrt(square[live] / two) + 1)
+        now = weights[live] - size * mean[live] / one
+        now[:, 0] = np.sign(now[:, 0]) * np.maximum(np.abs(now[:, 0]) - size[:, 0] * COST, 0)
+        length = np.sqrt((now[:, 1:] ** 2).sum(axis=1))
+        now[:, 1:] *= np.maximum(1 - size[:, 1:].mean(axis=1) * FACTOR_COST / np.maximum(length, 1e-12), 0)[:, None]
+        weights[live] = now
+        bias -= RATE * (of_bias[0] / one) / (np.sqrt(of_bias[1] / two) + 1)
+    live = weights.any(axis=1)
+    return FactorizationMachine(terms[live], bias, weights[live, 0], weights[live, 1:])
 
 
 def held_out(doc_id="doc_id"):
@@ -143,24 +167,24 @@ def held_out(doc_id="doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> FactorizationMachine:
-    """The driver gets at most `most` rows of hashed terms."""
+    """The driver gets at most `most` rows of hashed terms, whatever repeats in documents or labels."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out())
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    schema = pa.schema([("toxic", pa.int32()), ("terms", pa.binary())])
+    joined = id_text(docs).join(known, "doc_id").withColumn("at", F.xxhash64("doc_id", "text"))
+    last = joined.select("at", "toxic").distinct().orderBy("at", "toxic").limit(most).agg(F.max("at")).first()[0]
+    schema = pa.schema([("at", pa.int64()), ("toxic", pa.int32()), ("terms", pa.binary())])
 
     def run(batches):
         for b in batches:
             for lo, hi, texts in in_pieces(b):
                 hashed, first = terms_of(texts)
-                yield batch_of(schema, toxic=b.column("toxic")[lo:hi], terms=[hashed[a:z].astype("<u4").tobytes() for a, z in zip(first, first[1:], strict=False)])
+                yield batch_of(schema, at=b.column("at")[lo:hi], toxic=b.column("toxic")[lo:hi], terms=[hashed[a:z].astype("<u4").tobytes() for a, z in zip(first, first[1:], strict=False)])
 
-    rows = arrow_map(id_text(docs).join(F.broadcast(chosen), "doc_id").select("toxic", "text"), run, "toxic int, terms binary").toArrow()
+    if last is None:
+        return fit(np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(0))
+    chosen = joined.filter(F.col("at") <= last).select("at", "toxic", "text").dropDuplicates(["at", "toxic"])
+    rows = arrow_map(chosen, run, "at long, toxic int, terms binary").orderBy("at", "toxic").limit(most).toArrow()
     parts = [np.frombuffer(x, dtype="<u4") for x in rows.column("terms").to_pylist()]
-    labels_ = rows.column("toxic").to_pylist()
-    order = sorted(range(len(parts)), key=lambda i: (zlib.crc32(parts[i]), parts[i].tobytes()[:64], labels_[i]))  # the same whatever the order of arrival
-    y = np.array(labels_, dtype=float)[order] if order else np.zeros(0)
-    parts = [parts[i] for i in order]
-    return fit(np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64), y)
+    return fit(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64), np.array(rows.column("toxic").to_pylist(), dtype=float))
 
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
@@ -172,7 +196,7 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
         fm = spread.value
         for b in batches:
             for lo, hi, texts in in_pieces(b):
-                yield batch_of(schema, doc_id=b.column("doc_id")[lo:hi], score=fm.score(*fm.place(*terms_of(texts))))
+                yield batch_of(schema, doc_id=b.column("doc_id")[lo:hi], score=fm.score(*terms_of(texts)))
 
     return arrow_map(id_text(docs), run, "doc_id long, score double")
 
