@@ -21,21 +21,23 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters
-from .common import arrow_map, batch_of, filesystem, fresh_folder, id_text, partitions, saved
+from .common import arrow_map, batch_of, filesystem, fresh_folder, id_text, in_pieces, partitions, saved
 
 MAGIC = b"RPLN1\n"
 CHUNK = 1 << 18
 LEVEL = 1
 #: Words whose ids a worker keeps, and the longest word kept.
 CACHE_WORDS, CACHE_BYTES = 700_000, 64
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]+").fullmatch
-_PLAIN_PIECES = re.compile(r"[a-zß-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+").findall
+#: Words that the library gets in one call.
+CALL_WORDS = 4096
+#: One alternative of a cutting pattern that can't reach over white space: a literal, or a class without it.
+_ALTERNATIVE = re.compile(r"[A-Za-z']+|\[(?:\\p\{[LN]\})+\]\+?|\[\^\\s(?:\\p\{[LN]\})*\]\+?")
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -143,11 +145,32 @@ class PlaneReader:
             yield doc, b"".join(parts)
 
 
+def cutting_pattern(spec: dict) -> str | None:
+    """The pattern that cuts normalized text into pieces, of a tokenizer file by which words between ASCII white space
+    are encoded alone: its normalizers work on characters, its pattern's pieces hold no white space, its model sees a
+    piece at a time, and its special strings are plain ones. None for any other file."""
+    normalizer, cutter, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec["model"]
+    steps = normalizer.get("normalizers", []) if normalizer.get("type") == "Sequence" else []
+    known = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    cuts = cutter.get("pretokenizers", []) if cutter.get("type") == "Sequence" else []
+    if steps != known or len(cuts) != 2 or spec.get("post_processor") is not None:
+        return None
+    split, letters = cuts
+    pattern = (split.get("pattern") or {}).get("Regex", "")
+    fits = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True
+    fits &= letters.get("type") == "ByteLevel" and letters.get("add_prefix_space") is False and letters.get("use_regex") is False
+    fits &= model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+    fits &= all(_ALTERNATIVE.fullmatch(x) for x in pattern.split("|"))
+    plain = lambda t: not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"]))
+    return pattern if fits and all(map(plain, spec.get("added_tokens", []))) else None
+
+
 class LibraryEncoder:
-    """The library's ids of whole texts. Its words end at white space, so words between ASCII white space are encoded
-    alone, each once as long as the cache holds it. New words of plain Latin letters and punctuation are lower-cased
-    and cut into the pieces that the vocabulary's pattern cuts them into, and the library's model encodes each piece
-    straight from its byte letters; other words go through the library's whole pipeline one by one."""
+    """The library's ids of whole texts. With a tokenizer file that cutting_pattern() knows, each word between ASCII white
+    space is encoded once as long as the cache holds it: printable ASCII words are cut by the file's own pattern, and
+    the library's model encodes each piece; words with other characters go through the library's whole pipeline, many
+    in one call, and its offsets tell which ids are whose; so do words with a special string, one by one. With any other
+    file, whole texts go through the library."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -156,33 +179,59 @@ class LibraryEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pattern = cutting_pattern(spec)
+        self.cut = regex.compile(pattern).findall if pattern else None
         self.model = self.tok.model
-        letters = byte_letters()
-        self.letters = {ord(ch): "".join(letters[b] for b in ch.encode()) for ch in map(chr, range(33, 256))}
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
         self.kept: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
+        ids = [t.id for t in self.model.tokenize(piece)]
         out = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Each word's ids, from one call on the words with spaces between them."""
+        found = self.tok.encode(" ".join(words), add_special_tokens=False)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        starts = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(found))
+        ids = np.array(found.ids, dtype="<u4").tobytes()
+        cut = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
+        return [ids[a:z] for a, z in zip(cut, cut[1:], strict=False)]
+
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        known, out, other = self.pieces, {}, []
+        known, out, other, special = self.pieces, {}, [], []
+        joined = b" ".join(words)
+        if any(x in joined for x in self.special):
+            special = [w for w in words if any(x in w for x in self.special)]
+            words = list(set(words).difference(special))
         for w in words:
             s = w.decode()
-            if _PLAIN(s) and "<|" not in s:
-                out[w] = b"".join([known.get(p) or self._learn(p) for p in _PLAIN_PIECES(s.lower())])
-            else:
+            if not w.isascii() or not s.isprintable():
                 other.append(w)
-        if other:
-            out.update(zip(other, self._one_by_one(other), strict=True))
+                continue
+            s = s.lower()
+            ids = known.get(s)  # a word that is one piece, as most are
+            if ids is None:
+                cut = self.cut(s)
+                ids = self._learn(s) if len(cut) == 1 else b"".join([known.get(p) or self._learn(p) for p in cut])
+            out[w] = ids
+        for k in range(0, len(other), CALL_WORDS):
+            part = other[k : k + CALL_WORDS]
+            out.update(zip(part, self._together([w.decode() for w in part]), strict=True))
+        if special:
+            out.update(zip(special, self._whole([w.decode() for w in special]), strict=True))
         return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if self.cut is None:
+            return self._whole([t.decode() for t in texts])
         for d in (self.kept, self.pieces):
             if len(d) > CACHE_WORDS:
                 d.clear()
@@ -214,8 +263,10 @@ def write_planes(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
                 draft = f"{root}/_{part}-{uuid.uuid4().hex}"
                 sink = fs.open_output_stream(draft)
                 out = PlaneWriter(sink, bits)
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").cast(pa.large_binary()).to_pylist()), strict=True):
-                out.add(doc, ids + end)
+            docs_ = b.column("doc_id").to_pylist()
+            for lo, hi, texts in in_pieces(b):
+                for doc, ids in zip(docs_[lo:hi], encode(texts), strict=True):
+                    out.add(doc, ids + end)
         if out is not None:
             out.close()
             sink.close()
