@@ -4,10 +4,10 @@ Heuristic labellers that overlap and err vote good, bad or nothing on every docu
 counts of vote patterns (all documents; bounded by the number of patterns) estimates each labeller's accuracy; the
 posterior of a document's pattern is its weak label. A hashed linear scorer learns the weak labels from features that
 the labellers don't use as such: how often each shape of word occurs, binned and hashed into 2**HASH_BITS weights. It is
-trained on at most TRAIN_ROWS documents (those with the least hash of doc_id and text; a documented bound) and scores
-every document. No table of true labels is read.
+trained on at most TRAIN_ROWS documents (those with the least hash of doc_id and text, equal rows once; a documented
+bound) and scores every document. No table of true labels is read.
 
-Three passes over the texts, without a shuffle but that of the counts. Defined cases: null or empty text, and text
+Three passes over the texts, one only to hash them; nothing is shuffled but counts, hashes and the training rows. Defined cases: null or empty text, and text
 without words, gets every vote that such a text earns and is scored like any other; repeated and null doc_ids are rows
 like any other; where all documents vote alike the posterior is that of the labellers' majority; no rows give no rows.
 """
@@ -26,7 +26,7 @@ TRAIN_ROWS = 20_000
 EM_ROUNDS, FIT_ROUNDS = 100, 200
 KEEP = 0.5
 N_LABELLERS = 8
-_CLASS = np.zeros(256, dtype=np.int64)  # 0 other symbol, 1 lower, 2 upper, 3 digit, 4 stop or comma, 5 non-ASCII
+_CLASS = np.zeros(256, dtype=np.int64)  # 0 other symbol, 1 lower, 2 upper, 3 digit, 4 punctuation, 5 non-ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 5
 _CLASS[[44, 46, 59, 58, 63, 33, 39, 34, 40, 41, 45]] = 4
 
@@ -64,7 +64,8 @@ def measures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     once = np.unique(mix(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
     distinct = np.bincount(doc[once], minlength=len(texts))
     symbols, bars = _share(by_doc(symbol_end), n), _share(by_doc(bare), n)
-    loud, stutter, fresh = _share(upper, letter), _share(by_doc(again), n), _share(distinct, np.minimum(n, 400))
+    loud, stutter = _share(upper, letter), _share(by_doc(again), n)
+    fresh = np.log(np.maximum(distinct, 1)) / np.log(np.maximum(n, 2))  # of distinct words to words, at any length
     stops, length = _share(by_doc(last == 4), n), _share(by_doc(size), n)
     few = np.full(len(texts), False)
     rules = [
@@ -72,7 +73,7 @@ def measures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         (bars > 0.1, few),
         (loud > 0.5, loud < 0.25),
         (stutter > 0.2, stutter < 0.05),
-        ((fresh < 0.25) & (n >= 20), (fresh > 0.5) & (n >= 20)),
+        ((fresh < 0.77) & (n >= 20), (fresh > 0.85) & (n >= 20)),
         ((stops < 0.01) & (n >= 20) | (stops > 0.5), (stops > 0.03) & (stops < 0.35)),
         ((length < 2) | (length > 15), (length > 3) & (length < 10)),
         (n < 3, n >= 10),
@@ -140,9 +141,13 @@ def fit(hashed: np.ndarray, first: np.ndarray, post: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, most: int = TRAIN_ROWS) -> tuple[dict[int, float], np.ndarray]:
+    """Rows to train on are chosen before features are made: of the least hashes, equal ones once."""
     post = estimate(vote_counts(docs))
-    chosen = id_text(docs).withColumn("at", F.xxhash64("doc_id", "text"))
-    total = sum(1 for _ in post)
+    hashed_rows = id_text(docs).withColumn("at", F.xxhash64("doc_id", "text"))
+    last = hashed_rows.select("at").distinct().orderBy("at").limit(most).agg(F.max("at")).first()[0]
+    if last is None:
+        return post, fit(np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(0))
+    chosen = hashed_rows.filter(F.col("at") <= last).select("at", "text").dropDuplicates(["at"])
     schema = pa.schema([("at", pa.int64()), ("votes", pa.int64()), ("features", pa.binary())])
 
     def run(batches):
@@ -152,9 +157,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> tuple[dict[int, float], np
                 hashed, first = features(shapes)
                 yield batch_of(schema, at=b.column("at")[lo:hi], votes=votes, features=[hashed[a:z].astype("<u2").tobytes() for a, z in zip(first, first[1:], strict=False)])
 
-    if not total:
-        return post, fit(np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(0))
-    rows = arrow_map(chosen, run, "at long, votes long, features binary").orderBy("at", "votes", "features").limit(most).toArrow()
+    rows = arrow_map(chosen, run, "at long, votes long, features binary").orderBy("at").toArrow()
     parts = [np.frombuffer(x, dtype="<u2").astype(np.int64) for x in rows.column("features").to_pylist()]
     first = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
     return post, fit(np.concatenate(parts), first, np.array([post[v] for v in rows.column("votes").to_pylist()]))
