@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, batch_of, id_text
+from .common import arrow_map, batch_of, id_text, pieces
 
 CACHE_PARTS, CACHE_CHARS = 600_000, 64
 #: The pattern that byte-level BPE vocabularies of this kind are made for.
@@ -140,7 +140,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches):
         bpe = ByteBpe(tokenizer_path)
-        for b in batches:
+        for b in pieces(batches):
             ids = [bpe.encode(t) for t in b.column("text").to_pylist()]
             yield batch_of(schema, doc_id=b.column("doc_id"), n_tokens=[len(x) // 4 for x in ids], ids=ids, decoded=[bpe.decode(x) for x in ids])
 
@@ -153,7 +153,7 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches):
         bpe = ByteBpe(tokenizer_path)
-        for b in batches:
+        for b in pieces(batches):
             ids = [bpe.encode(t) for t in b.column("text").to_pylist()]
             yield batch_of(
                 schema,

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, id_text
+from .common import arrow_map, batch_of, id_text, pieces
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 EM_ROUNDS, FIT_ROUNDS, ACCEPT = 50, 300, 0.5
@@ -126,7 +126,7 @@ def pattern_counts(docs: DataFrame) -> list[tuple[int, int, int]]:
     schema = pa.schema([("votes", pa.int32()), ("features", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             seen: dict[tuple[int, int], int] = {}
             for t in b.column("text").to_pylist():
                 for _, _, v, f in _candidates(t):
@@ -176,9 +176,13 @@ def accepted(weights: np.ndarray, features: int) -> bool:
 def all_spans(text: str, accept: frozenset[int]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, base spans and then added ones). accept: feature patterns that the classifier accepts."""
     base = base_spans(text)
-    extra = []
+    by_start, at = sorted((x, y) for _, x, y in base), 0
+    reach, extra = 0, []  # the greatest end of the base spans that begin before the candidate's end
     for a, b, _, f in _candidates(text):
-        if f in accept and not any(x < b and a < y for _, x, y in base):
+        while at < len(by_start) and by_start[at][0] < b:
+            reach = max(reach, by_start[at][1])
+            at += 1
+        if f in accept and reach <= a:
             extra.append(("secret", a, b))
     return base, base + extra
 
@@ -200,7 +204,7 @@ def find_personal(docs: DataFrame) -> DataFrame:
     schema = pa.schema([(c, pa.string() if c in ("base_sha256", "spans") else pa.int64()) for c in names])
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 base, every = all_spans(text, accept)
