@@ -19,17 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rill.llm import bpe, decontam, minhash_forest, pii, toxicity
-from rill.llm.common import BATCH_ROWS, KERNEL_BYTES, documents, fresh_folder
+from rill.llm.common import KERNEL_BYTES, documents, drop_folder, fresh_folder
 from rill.llm.queries import tokenizer
 
 #: SQL can't express a trained model, banded sketches, tilings or a tokenizer; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def _short_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def _pieces(texts: pd.Series) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts) in pieces of about KERNEL_BYTES."""
     raw = [b"" if t is None else t.encode() for t in texts]
@@ -44,14 +40,13 @@ def _pieces(texts: pd.Series) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _short_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     spread = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         fm = spread.value
-        out = [fm.score(*fm.place(*toxicity.terms_of(raw))) for _, raw in _pieces(texts)]
+        out = [fm.score(*toxicity.terms_of(raw)) for _, raw in _pieces(texts)]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return docs.filter(score("text") < toxicity.THRESHOLD)
@@ -64,14 +59,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _short_batches(spark)
 
     def holds(spread):
         @F.pandas_udf("boolean")
         def run(texts: pd.Series) -> pd.Series:
             hit = np.zeros(len(texts), dtype=bool)
             for at, raw in _pieces(texts):
-                for d, *_ in decontam.found(spread.value, raw, decontam.COVERAGE):
+                for d, *_ in decontam.found(spread.value, raw):
                     hit[at + d] = True
             return pd.Series(hit)
 
@@ -79,7 +73,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     out = docs
     for block in decontam.item_blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
-        out = out.filter(~holds(spark.sparkContext.broadcast(decontam.SeedIndex(block))))
+        out = out.filter(~holds(spark.sparkContext.broadcast(decontam.SeedIndex(block, decontam.COVERAGE))))
     return out
 
 
@@ -105,8 +99,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    folder = fresh_folder(spark, "pipeline")
+    folder, before = fresh_folder(spark, "pipeline"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            drop_folder(spark, before)
+        before = f"{folder}/{name}"
     return docs
