@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import folded
+from .joins import null_safe_join
+
 
 def window(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -33,27 +36,33 @@ def group_by_gap(df: DataFrame, scalar: Column, gap: float, by: list[str], order
 
 
 def group_by_span(df: DataFrame, scalar: str, span: float, by: list[str], order: list[str], out: str = "block") -> DataFrame:
-    """A new block where |x - first x of the block| >= span. The block's start depends on the block before, so each
-    key's records are folded in order; a key's records must fit a task."""
-    first = F.struct(F.lit(None).cast("double").alias("start"), F.lit(-1).cast("long").alias("n"), F.array().cast("array<long>").alias("all"))
+    """A new block where |x - first x of the block| >= span. The block's start depends on the block before, so a key's
+    records pass through one task in order, which holds a start and a number. x is a number or a time (span in seconds)."""
+    timed = dict(df.dtypes)[scalar].startswith("timestamp")
+    x = F.unix_micros(F.col(scalar).cast("timestamp")) / 1e6 if timed else F.col(scalar).cast("double")
 
-    def step(acc, x):
-        new = acc["start"].isNull() | (F.abs(x["x"] - acc["start"]) >= span)
-        n = F.when(new, acc["n"] + 1).otherwise(acc["n"])
-        return F.struct(F.when(new, x["x"]).otherwise(acc["start"]).alias("start"), n.alias("n"), F.concat(acc["all"], F.array(n)).alias("all"))
+    def step(state, row):
+        start, n = state or (None, -1)
+        if start is None or abs(row["__x"] - start) >= span:
+            start, n = row["__x"], n + 1
+        return (start, n), (n,)
 
-    row = F.struct(*order, F.col(scalar).cast("double").alias("x"), F.struct(*df.columns).alias("row"))
-    folded = df.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    numbered = folded.select("rows", F.aggregate("rows", first, step)["all"].alias("blocks"))
-    return numbered.select(F.explode(F.arrays_zip("rows", "blocks")).alias("z")).select("z.rows.row.*", F.col("z.blocks").alias(out))
+    return folded(df.withColumn("__x", x), step, [f"{out} long"], by, order).drop("__x")
 
 
-def group_by_range(df: DataFrame, scalar: Column, low: float, high: float, by: list[str], order: list[str], out: str = "block") -> DataFrame:
-    """Block number goes up on entering or leaving [low, high]."""
+def group_by_range(df: DataFrame, scalar: Column, low: float, high: float, by: list[str], order: list[str], out: str = "block", discard: bool = False) -> DataFrame:
+    """Block number goes up on entering or leaving [low, high]; with discard, records outside go and leaving alone counts."""
     w = window(by, order)
-    inside = scalar.between(low, high)
-    change = F.when(F.lag(inside).over(w) != inside, 1).otherwise(0)
-    return df.withColumn("__change", change).withColumn(out, F.sum("__change").over(w).cast("long")).drop("__change")
+    inside = F.coalesce(scalar.between(low, high), F.lit(False))
+    before = F.lag(inside).over(w)
+    change = F.when(before & ~inside if discard else before != inside, 1).otherwise(0)
+    numbered = df.withColumn("__in", inside).withColumn("__change", change).withColumn(out, F.sum("__change").over(w).cast("long"))
+    return (numbered.filter("__in") if discard else numbered).drop("__change", "__in")
+
+
+def group_by_count(df: DataFrame, size: int, by: list[str], order: list[str], out: str = "block") -> DataFrame:
+    """Blocks of size records each, from 0."""
+    return df.withColumn(out, F.floor((F.row_number().over(window(by, order)) - 1) / size).cast("long"))
 
 
 def index(df: DataFrame, by: list[str], order: list[str], reverse: bool = False, out: str = "index") -> DataFrame:
@@ -92,4 +101,4 @@ def increment(df: DataFrame, step: int, block: str = "block", out: str = "next_b
 
 def last_block(df: DataFrame, ids: list[str], block: str = "block") -> DataFrame:
     """All records of the last block of each id."""
-    return df.join(df.groupBy(*ids).agg(F.max(block).alias(block)), [*ids, block], "left_semi")
+    return null_safe_join(df, df.groupBy(*ids).agg(F.max(block).alias(block)), [*ids, block], "left_semi")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import folded
+from .joins import null_safe_join
+
 
 def percentile_interpolated(x: str, p: float) -> Column:
     """Place p(n + 1) among the sorted values, linear between neighbours (Hyndman-Fan 6). Sorts a group's values."""
@@ -67,4 +70,46 @@ def calc_append(df: DataFrame, ops: list[str], fields: list[str], by: list[str],
     if once_in_order:
         row = F.min(F.struct(*once_in_order, F.struct(*df.columns).alias("row"))).alias("least")
         df = df.groupBy(*by).agg(row).select("least.row.*")
-    return df.join(stats, by)
+    return null_safe_join(df, stats, by)
+
+
+def typed_calc(df: DataFrame, ops: list[str], fields: list[str], by: list[str]) -> DataFrame:
+    """calc() over times as well: least, greatest, mean and centre of a time are times, spreads are seconds; a sum or a
+    percentile of times is an error."""
+    kinds = dict(df.dtypes)
+    times = [f for f in fields if kinds[f].startswith("timestamp")]
+    for o in ops if times else []:
+        if o.split("=")[0] in ("sum", "percentile"):
+            raise ValueError(f"{o}: not defined for times")
+    micros = df.withColumns({f: F.unix_micros(F.col(f).cast("timestamp")) for f in times})
+    out = calc(micros, ops, fields, by)
+    for f in times:
+        for o in ops:
+            c, op = column_name(f, o), o.split("=")[0]
+            if op in ("min", "max", "mean", "centre", "mode"):
+                out = out.withColumn(c, F.timestamp_micros(F.round(F.col(c)).cast("long")).cast(kinds[f]))
+            elif op in ("diameter", "radius", "stddev"):
+                out = out.withColumn(c, F.col(c) / 1e6)
+            elif op == "var":
+                out = out.withColumn(c, F.col(c) / 1e12)
+    return out
+
+
+def moving_average(df: DataFrame, field: str, alpha: float, by: list[str], order: list[str], spread: int = 1, out: str = "average") -> DataFrame:
+    """Exponential moving average; the plain mean of the first `spread` values."""
+
+    def step(state, row):
+        n, value = state or (0, 0.0)
+        x = row[field]
+        n += 1
+        value = value + (x - value) / n if n <= spread else value + (x - value) * alpha
+        return (n, value), (value,)
+
+    return folded(df, step, [f"{out} double"], by, order)
+
+
+def interval_stats(df: DataFrame, t: str, by: list[str], order: list[str]) -> DataFrame:
+    """Of the seconds between successive records: count, mean, least, greatest and deviation."""
+    gap = (F.unix_micros(F.col(t).cast("timestamp")) - F.unix_micros(F.lag(t).over(Window.partitionBy(*by).orderBy(*order)).cast("timestamp"))) / 1e6
+    gaps = df.select(*by, gap.alias("gap"))
+    return gaps.groupBy(*by).agg(F.count("gap").alias("intervals"), F.avg("gap").alias("mean"), F.min("gap").alias("least"), F.max("gap").alias("greatest"), F.stddev_pop("gap").alias("deviation"))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .fold import folded
+
+#: Transitions of a state machine that every task may hold.
+MOST_MOVES = 100_000
 
 
 def matching(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,9 +33,37 @@ def unique(other: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return other.groupBy(*keys).agg(F.min(F.struct(*order, F.struct(*other.columns).alias("row"))).alias("least")).select("least.row.*")
 
 
+def null_safe_join(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join by which null keys equal each other, as they do in groups; the keys come once."""
+    right = other.select(*(F.col(f"`{k}`").alias(f"__key_{i}") for i, k in enumerate(keys)), *(F.col(f"`{c}`") for c in other.columns if c not in keys))
+    met = reduce(lambda x, y: x & y, (df[f"`{k}`"].eqNullSafe(right[f"__key_{i}"]) for i, k in enumerate(keys)), F.lit(True))
+    return df.join(right, met, how).drop(*(f"__key_{i}" for i in range(len(keys))))
+
+
+def unique_strict(other: DataFrame, keys: list[str]) -> DataFrame:
+    """The records, of which no two may share a key: fails at run time on a repeated one."""
+    counted = other.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*other.columns)).alias("row"))
+    ok = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("more than one record for "), F.to_json(F.struct(*keys))))).otherwise(F.lit(True))
+    return counted.filter(ok).select("row.*")
+
+
 def first_matching(df: DataFrame, other: DataFrame, keys: list[str], order: list[str], other_order: list[str]) -> DataFrame:
-    """One output a key: its first record on either side; the key is then used up."""
-    return unique(df, keys, order).join(unique(other, keys, other_order), keys)
+    """One output a key: its first record on either side; the key is then used up. Null keys match each other."""
+    return null_safe_join(unique(df, keys, order), unique(other, keys, other_order), keys)
+
+
+def equal(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Every pair of records with equal keys."""
+    return df.join(other, keys)
+
+
+def every_pair(df: DataFrame, other: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Each record with each of the other side, which must be a small table: it is counted first, and more than most
+    records are an error. The result has the product of both sizes."""
+    n = other.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"the other side has more than {most} records; give keys to join on")
+    return df.crossJoin(F.broadcast(other))
 
 
 def require_matched(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,44 +73,167 @@ def require_matched(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFra
     return tagged.filter(ok).drop("__found")
 
 
-def radius_join(df: DataFrame, other: DataFrame, x: str, y: str, radius: float, nearest: list[str] | None = None) -> DataFrame:
-    """Pairs with |x - y| <= radius, by buckets of that width: each right record goes to its own bucket, each left one to
-    three. nearest: the left columns that name a record; only the nearest right values stay (ties: the lower)."""
-    left = df.withColumn("__b", F.explode(F.array(*(F.floor(F.col(x) / radius).cast("long") + k for k in (-1, 0, 1)))))
-    right = other.withColumn("__b", F.floor(F.col(y) / radius).cast("long"))
-    met = left.join(right, "__b").drop("__b").filter(F.abs(F.col(x) - F.col(y)) <= radius)
+def radius_join(df: DataFrame, other: DataFrame, x: str | list[str], y: str | list[str], radius: float, nearest: list[str] | None = None) -> DataFrame:
+    """Pairs with |x - y| <= radius, in one dimension or (lists of columns) in several, by cells of that width: each right
+    record goes to its own cell, each left one to its cell and the neighbours. nearest: the left columns that name a
+    record; only the nearest right values stay (ties: the lower)."""
+    xs, ys = ([x], [y]) if isinstance(x, str) else (x, y)
+    cells = [f"__b{k}" for k in range(len(xs))]
+    left, right = df, other
+    for b, c, d in zip(cells, xs, ys, strict=True):
+        left = left.withColumn(b, F.explode(F.array(*(F.floor(F.col(c) / radius).cast("long") + k for k in (-1, 0, 1)))))
+        right = right.withColumn(b, F.floor(F.col(d) / radius).cast("long"))
+    apart = F.abs(F.col(xs[0]) - F.col(ys[0])) if len(xs) == 1 else F.sqrt(reduce(lambda u, v: u + v, ((F.col(c) - F.col(d)) ** 2 for c, d in zip(xs, ys, strict=True))))
+    met = left.join(right, cells).drop(*cells).filter(apart <= radius)
     if nearest is None:
         return met
-    best = met.groupBy(*nearest).agg(F.min(F.struct(F.abs(F.col(x) - F.col(y)).alias("d"), F.col(y).alias("v"))).alias("__best"))
-    return met.join(best, nearest).filter(F.col(y) == F.col("__best.v")).drop("__best")
+    value = F.struct(*ys)
+    best = met.groupBy(*nearest).agg(F.min(F.struct(apart.alias("d"), value.alias("v"))).alias("__best"))
+    return null_safe_join(met, best, nearest).filter(value == F.col("__best.v")).drop("__best")
 
 
-def time_join(df: DataFrame, bounds: DataFrame, t: str, bound_t: str, by: list[str], how: str = "lower", within: Column | None = None) -> DataFrame:
+def _point(c: Column, kind: str) -> Column:
+    """A time as whole microseconds, anything else as it is."""
+    return F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else c
+
+
+def time_join(df: DataFrame, bounds: DataFrame, t: str, bound_t: str, by: list[str], how: str = "lower", within: Column | None = None, bound_order: list[str] | None = None) -> DataFrame:
     """Each record with one of the bounding records of its key: the last at or before it ("lower"), the first after it
-    ("upper"), or the nearer of both ("nearest"; a tie takes the upper). One sort of both sides together, no range join.
-    The bounding record comes as the struct `bound`; records without one go, and so do those for which within fails."""
-    order = Window.partitionBy(*by).orderBy("__t", "__side")
-    left = df.select(*by, F.col(t).alias("__t"), F.lit(1).alias("__side"), F.struct(*df.columns).alias("row"), F.lit(None).cast(bounds.select(F.struct(*bounds.columns)).schema[0].dataType).alias("bound"))
-    right = bounds.select(*by, F.col(bound_t).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(df.select(F.struct(*df.columns)).schema[0].dataType).alias("row"), F.struct(*bounds.columns).alias("bound"))
-    both = left.unionByName(right)
-    lower = F.last("bound", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    upper = F.first("bound", True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    found = both.withColumn("__lower", lower).withColumn("__upper", upper).filter("__side = 1")
+    ("upper"), or the nearer of both ("nearest"; a tie takes the upper). Both sides are sorted together, once for each
+    direction; a running last value finds the bound, so a key costs what its records cost, and no range join is made.
+    bound_order orders the bounding records of one time (all their columns, if not given): the last of them is the
+    lower, the first the upper. The bounding record comes as the struct `bound`; records without one go, and so do those
+    for which within fails. One key's records are one task's."""
+    bound_type = bounds.select(F.struct(*bounds.columns)).schema[0].dataType
+    row_type = df.select(F.struct(*df.columns)).schema[0].dataType
+    tie = F.struct(*(bound_order or bounds.columns))
+    tie_type = bounds.select(tie).schema[0].dataType
+    left = df.select(*by, F.col(t).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(tie_type).alias("__tie"), F.struct(*df.columns).alias("row"), F.lit(None).cast(bound_type).alias("bound"))
+    right = bounds.select(*by, F.col(bound_t).alias("__t"), F.lit(0).alias("__side"), tie.alias("__tie"), F.lit(None).cast(row_type).alias("row"), F.struct(*bounds.columns).alias("bound"))
+    found = left.unionByName(right)
+    up = Window.partitionBy(*by).orderBy("__t", "__side", "__tie")
+    down = Window.partitionBy(*by).orderBy(*(F.col(c).desc() for c in ("__t", "__side", "__tie")))
+    for side, order in (("lower", up), ("upper", down)):
+        if how in (side, "nearest"):
+            found = found.withColumn(f"__{side}", F.last("bound", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     if how == "nearest":
-        gap_low, gap_high = (F.abs(F.col("__t").cast("timestamp").cast("double") - F.col(f"__{s}.{bound_t}").cast("timestamp").cast("double")) for s in ("lower", "upper"))
+        kind, bound_kind = dict(df.dtypes)[t], dict(bounds.dtypes)[bound_t]
+        at = _point(F.col("__t"), kind)
+        gap_low, gap_high = at - _point(F.col(f"__lower.{bound_t}"), bound_kind), _point(F.col(f"__upper.{bound_t}"), bound_kind) - at
         chosen = F.when(F.col("__upper").isNull() | (gap_low < gap_high), F.col("__lower")).otherwise(F.col("__upper"))
     else:
         chosen = F.col(f"__{how}")
-    out = found.select("row.*", chosen.alias("bound")).filter("bound is not null")
+    out = found.filter("__side = 1").select("row.*", chosen.alias("bound")).filter("bound is not null")
     return out if within is None else out.filter(within)
 
 
-def interval_join(df: DataFrame, intervals: DataFrame, x: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs with low <= x < high, by buckets of the given width: an interval goes to each bucket that it meets, a record
-    to its own. Choose a width near the usual length of an interval."""
-    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
-    spread = intervals.filter(F.col(low) < F.col(high)).withColumn("__b", F.explode(F.sequence(bucket(low), bucket(high))))
-    return df.withColumn("__b", bucket(x)).join(spread, "__b").drop("__b").filter((F.col(x) >= F.col(low)) & (F.col(x) < F.col(high)))
+def time_difference(t: Column, bound_t: Column, absolute: bool = False) -> Column:
+    """Seconds from the bounding record's time to the record's."""
+    diff = (F.unix_micros(t.cast("timestamp")) - F.unix_micros(bound_t.cast("timestamp"))) / 1e6
+    return F.abs(diff) if absolute else diff
+
+
+def queue_match(df: DataFrame, other: DataFrame, t: str, other_t: str, by: list[str], most: float) -> DataFrame:
+    """Pairs as two queues give them whose fronts are compared: fronts at most `most` seconds apart leave as a pair,
+    else the earlier one is purged. other's record comes as the struct `match`. A key's records are folded in order."""
+    import pandas as pd
+
+    limit = round(most * 1e6)
+    types = T.StructType([*df.schema.fields, T.StructField("match", T.StructType(other.schema.fields))])
+    side = lambda d, at, which: d.select(*by, _point(F.col(at), dict(d.dtypes)[at]).alias("__t"), F.lit(which).alias("__side"), F.to_json(F.struct(*d.columns), {"ignoreNullFields": "false"}).alias("__row"))
+    both = side(df, t, 0).unionByName(side(other, other_t, 1))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__t", kind="stable")
+        a, b = (rows[rows["__side"] == k][["__t", "__row"]].to_numpy().tolist() for k in (0, 1))
+        i = j = 0
+        out = []
+        while i < len(a) and j < len(b):
+            if abs(a[i][0] - b[j][0]) <= limit:
+                out.append((a[i][1], b[j][1]))
+                i, j = i + 1, j + 1
+            elif a[i][0] < b[j][0]:
+                i += 1
+            else:
+                j += 1
+        return pd.DataFrame(out, columns=["row", "match"])
+
+    pairs = both.groupBy(*by).applyInPandas(run, "row string, match string")
+    return pairs.select(F.from_json("row", T.StructType(df.schema.fields)).alias("row"), F.from_json("match", types["match"].dataType).alias("match")).select("row.*", "match")
+
+
+#: An interval goes to buckets of the least width, times a power of this, that leaves it in at most as many of them.
+_SPREAD = 8
+
+
+def _levels(intervals: DataFrame, low: Column, high: Column, width: float, levels: int) -> DataFrame:
+    """Intervals with the buckets they meet: of a width by their own length, so that each has few. `__level`, `__b`."""
+    length = (high - low).cast("double")
+    level = F.least(F.greatest(F.ceil(F.log(length / width / _SPREAD) / math.log(_SPREAD)), F.lit(0)), F.lit(levels - 1)).cast("int")
+    level = F.when(length > 0, level).otherwise(F.lit(0))
+    size = F.lit(float(width)) * F.pow(F.lit(float(_SPREAD)), F.col("__level"))
+    first, last = (F.floor(x.cast("double") / size).cast("long") for x in (low, high))
+    return intervals.filter(low < high).withColumn("__level", level).withColumn("__b", F.explode(F.sequence(first, last)))
+
+
+def _level_count(intervals: DataFrame, low: Column, high: Column, width: float) -> int:
+    longest = intervals.filter(low < high).agg(F.max((high - low).cast("double"))).first()[0] or 0.0
+    return 1 + max(0, math.ceil(math.log(max(longest / width / _SPREAD, 1.0), _SPREAD)))
+
+
+def _at_levels(df: DataFrame, x: str, width: float, levels: int) -> DataFrame:
+    """Records once for each width of bucket: `__level`, `__b`."""
+    spread = df.withColumn("__level", F.explode(F.array(*map(F.lit, range(levels)))))
+    return spread.withColumn("__b", F.floor(F.col(x).cast("double") / (F.lit(float(width)) * F.pow(F.lit(float(_SPREAD)), F.col("__level")))).cast("long"))
+
+
+def interval_join(df: DataFrame, intervals: DataFrame, x: str, low: str, high: str, width: float, how: str = "inner") -> DataFrame:
+    """Pairs with low <= x < high, a null bound being open; how "left_semi" or "left_anti": the records with or without
+    any interval. By buckets: the longer an interval, the wider its buckets, so that each is in a few of them; a record
+    is in one bucket of every width (as many widths as the logarithm of the longest interval). Choose a width near the
+    usual length. Open intervals are met apart, each with the records beyond its one bound."""
+    a, b = F.col(low), F.col(high)
+    if how == "left_semi":
+        return contain(df, intervals, x, low, high, width, "__in").filter("__in = 1").drop("__in")
+    if how == "left_anti":
+        return contain(df, intervals, x, low, high, width, "__in").filter("__in = 0").drop("__in")
+    bounded, open_ = intervals.filter(a.isNotNull() & b.isNotNull()), intervals.filter(a.isNull() | b.isNull())
+    levels = _level_count(bounded, a, b, width)
+    met = _at_levels(df, x, width, levels).join(_levels(bounded, a, b, width, levels), ["__level", "__b"]).drop("__level", "__b").filter((F.col(x) >= a) & (F.col(x) < b))
+    if open_.isEmpty():
+        return met
+    beyond = (a.isNull() | (F.col(x) >= a)) & (b.isNull() | (F.col(x) < b))
+    return met.unionByName(df.filter(F.col(x).isNotNull()).join(open_, beyond))
+
+
+def split_intervals(intervals: DataFrame, low: str, high: str, by: list[str], least: int = 1, most: int | None = None, limits: tuple | None = None, distinct: bool = True) -> DataFrame:
+    """Intervals cut where others of their key begin or end: a row for each piece and each interval over it, with the
+    piece's `from` and `to`, the count of intervals over it (`overlap`, from least to most) and the interval's other
+    columns. limits stand in for null bounds; without them intervals with a null bound go. Equal records count once
+    unless distinct is off. Pieces are numbered by key and each interval takes the numbers from its own start to its
+    end, so no pairs of intervals are formed."""
+    if limits is not None:
+        intervals = intervals.withColumns({low: F.coalesce(F.col(low), F.lit(limits[0])), high: F.coalesce(F.col(high), F.lit(limits[1]))})
+    real = intervals.filter(F.col(low) < F.col(high))
+    real = real.distinct() if distinct else real
+    keys = [f"__by_{k}" for k in range(len(by))]
+    at = Window.partitionBy(*keys).orderBy("__at")
+    ends = real.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.explode(F.array(F.col(low), F.col(high))).alias("__at")).distinct()
+    points = ends.withColumn("__n", F.row_number().over(at)).withColumn("__to", F.lead("__at").over(at))
+    same = lambda p, c, x: reduce(lambda u, v: u & v, (real_[b].eqNullSafe(p[k]) for b, k in zip(by, keys, strict=True)), real_[c] == p[x])
+    real_ = real
+    first, last = points.select(*keys, F.col("__at").alias("__x"), F.col("__n").alias("__first")), points.select(*keys, F.col("__at").alias("__y"), F.col("__n").alias("__last"))
+    placed = real_.join(first, same(first, low, "__x")).drop(*keys, "__x")
+    real_ = placed
+    placed = real_.join(last, same(last, high, "__y")).drop(*keys, "__y")
+    pieces = placed.withColumn("__piece", F.explode(F.sequence(F.col("__first"), F.col("__last") - 1))).drop("__first", "__last")
+    counts = pieces.groupBy(*by, "__piece").agg(F.count(F.lit(1)).alias("overlap"))
+    counts = counts.filter(F.col("overlap") >= least) if most is None else counts.filter(F.col("overlap").between(least, most))
+    spans = points.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), F.col("__n").alias("__piece"), F.col("__at").alias("__from"), "__to")
+    known = null_safe_join(counts, spans, [*by, "__piece"])
+    rest = [c for c in intervals.columns if c not in (low, high, *by)]
+    out = null_safe_join(pieces.drop(low, high), known, [*by, "__piece"])
+    return out.select(*by, F.col("__from").alias("from"), F.col("__to").alias("to"), *rest, "overlap")
 
 
 def elementary_intervals(intervals: DataFrame, low: str, high: str, by: list[str]) -> DataFrame:
@@ -96,35 +254,43 @@ def block_less(df: DataFrame, other: DataFrame, block: str, by: list[str], ids:
 
 def state_join(df: DataFrame, moves: DataFrame, start: int, by: list[str], order: list[str]) -> DataFrame:
     """Events that the machine (event, state, next_state) accepts in its current state, with state and next_state; the
-    others leave the state as it is. moves is a small table of transitions, folded over each key's events in order."""
-    table = moves.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "event", "state"), F.col("next_state").cast("int")))).alias("__moves"))
-    row = F.struct(*order, F.struct(*df.columns).alias("row"))
-    kind = df.select(F.struct(F.struct(*df.columns).alias("row"), F.lit(0).alias("state"), F.lit(0).alias("next_state"))).schema[0].dataType
+    others leave the state as it is. moves is a table of transitions, checked to be small. Each key's events pass
+    through one task in order, which holds a state and a batch."""
+    table = moves.select("event", "state", "next_state").limit(MOST_MOVES + 1).collect()
+    if len(table) > MOST_MOVES:
+        raise ValueError(f"more than {MOST_MOVES} transitions")
+    to = {(str(r.event), int(r.state)): int(r.next_state) for r in table}
 
-    def step(acc, x):
-        to = F.try_element_at(acc["moves"], F.concat_ws("|", x["row"]["event"], acc["state"].cast("string")))
-        more = F.concat(acc["out"], F.array(F.struct(x["row"].alias("row"), acc["state"].alias("state"), to.alias("next_state"))))
-        return F.struct(acc["moves"].alias("moves"), F.coalesce(to, acc["state"]).alias("state"), F.when(to.isNotNull(), more).otherwise(acc["out"]).alias("out"))
+    def step(state, row):
+        here = start if state is None else state
+        target = to.get((str(row["event"]), here))
+        return (here, None) if target is None else (target, (here, target))
 
-    folded = df.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("rows")).crossJoin(F.broadcast(table))
-    first = F.struct(F.col("__moves").alias("moves"), F.lit(start).alias("state"), F.array().cast(f"array<{kind.simpleString()}>").alias("out"))
-    return folded.select(F.explode(F.aggregate("rows", first, step)["out"]).alias("z")).select("z.row.*", "z.state", "z.next_state")
+    return folded(df, step, ["state int", "next_state int"], by, order)
 
 
 def contain(df: DataFrame, intervals: DataFrame, x: str, low: str, high: str, width: float, out: str = "contained") -> DataFrame:
     """Flags with 1 the records whose x lies in any [low, high), a null bound being open; 0 the others and null x.
-    Bounded intervals go to buckets of the given width as in interval_join. Of open ones only the outermost bound on
-    either side matters: one row in all."""
-    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
-    spread = intervals.filter(F.col(low) < F.col(high)).select(F.col(low).alias("__low"), F.col(high).alias("__high"), F.explode(F.sequence(bucket(low), bucket(high))).alias("__b"))
+    Bounded intervals go to buckets as in interval_join. Of open ones only the outermost bound on either side matters:
+    one row in all."""
     below, above = F.col(low).isNull(), F.col(high).isNull()
     edges = intervals.agg(F.max(F.when(below & ~above, F.col(high))).alias("__below"), F.min(F.when(above & ~below, F.col(low))).alias("__above"), F.coalesce(F.max((below & above).cast("int")), F.lit(0)).alias("__all"))
-    placed = df.withColumn("__b", bucket(x)).crossJoin(F.broadcast(edges))
+    bounded = intervals.filter(~below & ~above)
+    levels = _level_count(bounded, F.col(low), F.col(high), width)
+    spread = _levels(bounded, F.col(low), F.col(high), width, levels).select(F.col(low).alias("__low"), F.col(high).alias("__high"), F.col("__level").alias("__l"), F.col("__b").alias("__c"))
+    placed = df.crossJoin(F.broadcast(edges))
     open_ = F.coalesce((F.col(x) < F.col("__below")) | (F.col(x) >= F.col("__above")) | (F.col(x).isNotNull() & (F.col("__all") == 1)), F.lit(False))
-    cond = (placed["__b"] == spread["__b"]) & (placed[x] >= spread["__low"]) & (placed[x] < spread["__high"])
-    hit = placed.join(spread, cond, "left_semi").withColumn(out, F.lit(1))
-    miss = placed.join(spread, cond, "left_anti").withColumn(out, open_.cast("int"))
-    return hit.unionByName(miss).drop("__b", "__below", "__above", "__all")
+    for k in range(levels):  # what no narrower bucket's interval has is looked for in the wider ones
+        size = float(width) * _SPREAD**k
+        placed = placed.withColumn(f"__b{k}", F.floor(F.col(x).cast("double") / size).cast("long"))
+    hits, rest = [], placed
+    for k in range(levels):
+        of_level = spread.filter(F.col("__l") == k)
+        cond = (F.col(f"__b{k}") == F.col("__c")) & (F.col(x) >= F.col("__low")) & (F.col(x) < F.col("__high"))
+        hits.append(rest.join(of_level, cond, "left_semi").withColumn(out, F.lit(1)))
+        rest = rest.join(of_level, cond, "left_anti")
+    every = reduce(DataFrame.unionByName, hits, rest.withColumn(out, open_.cast("int")))
+    return every.drop("__below", "__above", "__all", *(f"__b{k}" for k in range(levels)))
 
 
 def block_wise(df: DataFrame, other: DataFrame, block: str, by: list[str], ids: list[str]) -> DataFrame:
