@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .joins import null_safe_join
+
 
 def select_records(df: DataFrame, conditions: list[Column], any_of: bool = False, invert: bool = False, flag: str | None = None) -> DataFrame:
     """Records that meet all (or any) of the conditions; with flag, all records and 1 or 0."""
@@ -21,6 +23,34 @@ def select_records(df: DataFrame, conditions: list[Column], any_of: bool = False
     return df.withColumn(flag, met.cast("int")) if flag else df.filter(met)
 
 
+def first_match(df: DataFrame, conditions: list[Column], order: list[str]) -> DataFrame:
+    """The one record, first in order, that meets all conditions."""
+    return head(select_records(df, conditions), 1, order)
+
+
+def head(df: DataFrame, n: int, order: list) -> DataFrame:
+    """The first n records in order."""
+    return df.orderBy(*order).limit(n)
+
+
+def sort_records(df: DataFrame, keys: list[str], order: list[str], by: list[str] | None = None, reverse: bool = False, unique: bool = False, place: str | None = None) -> DataFrame:
+    """Records sorted by keys within each block (`by`, ascending); equal keys keep their order, in reverse too. unique:
+    the first record of each key in a block. With place, a column numbers the records of a block from 0 instead, and
+    nothing is sorted as a whole."""
+    by = by or []
+    if unique:
+        df = keep_first(df, [*by, *keys], order)
+    sort = [F.col(k).desc() if reverse else F.col(k).asc() for k in keys]
+    if place:
+        return df.withColumn(place, (F.row_number().over(Window.partitionBy(*by).orderBy(*sort, *order)) - 1).cast("long"))
+    return df.orderBy(*by, *sort, *order)
+
+
+def is_not_a_value(c: str, kind: str) -> Column:
+    """True for nan and for a missing value or time."""
+    return F.col(c).isNull() | F.isnan(c) if kind in ("double", "float") else F.col(c).isNull()
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first record of each key. A grouped minimum, so records of one key are reduced before the shuffle."""
     return df.groupBy(*keys).agg(F.min(F.struct(*order, F.struct(*df.columns).alias("row"))).alias("least")).select("least.row.*")
@@ -31,7 +61,7 @@ def extremes(df: DataFrame, key: str, by: list[str]) -> DataFrame:
     records all tie is given once, as min)."""
     ends = df.groupBy(*by).agg(F.min(key).alias("__min"), F.max(key).alias("__max"))
     side = F.when(F.col(key) == F.col("__min"), "min").when(F.col(key) == F.col("__max"), "max")
-    return df.join(ends, by).withColumn("side", side).filter("side is not null").drop("__min", "__max")
+    return null_safe_join(df, ends, by).withColumn("side", side).filter("side is not null").drop("__min", "__max")
 
 
 def in_order(df: DataFrame, key: str, by: list[str], order: list[str]) -> DataFrame:
@@ -40,10 +70,11 @@ def in_order(df: DataFrame, key: str, by: list[str], order: list[str]) -> DataFr
     return df.withColumn("__top", before).filter(F.col("__top").isNull() | (F.col(key) >= F.col("__top"))).drop("__top")
 
 
-def thin(df: DataFrame, rate: float, by: list[str], order: list[str]) -> DataFrame:
-    """Keeps record n (from 1) if floor(n rate) > floor((n - 1) rate)."""
+def thin(df: DataFrame, rate: float, by: list[str], order: list[str], invert: bool = False) -> DataFrame:
+    """Keeps record n (from 1) if floor(n rate) > floor((n - 1) rate); invert: the others."""
     n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("__n", n).filter(F.floor(F.col("__n") * rate + 1e-9) > F.floor((F.col("__n") - 1) * rate + 1e-9)).drop("__n")
+    kept = F.floor(F.col("__n") * rate + 1e-9) > F.floor((F.col("__n") - 1) * rate + 1e-9)
+    return df.withColumn("__n", n).filter(~kept if invert else kept).drop("__n")
 
 
 def thin_by_time(df: DataFrame, seconds: Column, period: float, by: list[str], order: list[str]) -> DataFrame:
@@ -61,7 +92,8 @@ def enumerate_keys(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     the ranges' bounds (one number a shuffle partition)."""
     first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first"), F.count(F.lit(1)).alias("count"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = F.col(f"__first.{order[0]}").cast("double")
+    at = F.col(f"__first.{order[0]}")
+    at = F.unix_micros(at.cast("timestamp")).cast("double") if dict(df.dtypes)[order[0]] in ("timestamp", "timestamp_ntz", "date") else at.cast("double")
     bounds = first.agg(F.percentile_approx(at, [k / n for k in range(1, n)] or [1.0])).first()[0] or []
     held = F.lit(0) if not bounds else F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b <= at))
     placed = first.withColumn("__range", held.cast("int"))
@@ -73,13 +105,40 @@ def enumerate_keys(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return out.withColumn("id", (F.col("__own") + F.col("__before") - 1).cast("long")).drop("__first", "__range", "__own", "__before")
 
 
-def running_update(df: DataFrame, fields: list[str], by: list[str], order: list[str], last_only: bool = False) -> DataFrame:
-    """Every record with the last non-null value of each field so far; or only the final state of each key."""
+def enumerate_rows(df: DataFrame, keys: list[str], order: list[str], out: str = "id") -> DataFrame:
+    """Every record with its key's dense id by first appearance."""
+    return null_safe_join(df, enumerate_keys(df, keys, order).select(*keys, F.col("id").alias(out)), keys)
+
+
+def running_update(df: DataFrame, fields: list[str], by: list[str], order: list[str], last_only: bool = False, erase=None) -> DataFrame:
+    """Every record with the last non-null value of each field so far; or only the final state of each key. A field that
+    holds the erasing value is empty from there on, until it has a value again."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kinds = {f.name: f.dataType for f in df.schema}
+
+    def given(c: str) -> Column:
+        """A value, or an erased one, in a struct; null where the record says nothing."""
+        value = F.col(c)
+        if erase is not None:
+            value = F.when(value != F.lit(erase), value)
+        return F.when(F.col(c).isNotNull(), F.struct(value.cast(kinds[c]).alias("value")))
+
     if last_only:
         at = F.struct(*order)
-        return df.groupBy(*by).agg(*(F.max_by(F.col(f), F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields))
-    return df.select(*(F.last(c, True).over(w).alias(c) if c in fields else F.col(c) for c in df.columns))
+        return df.groupBy(*by).agg(*(F.max_by(given(f)["value"], F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields))
+    return df.select(*(F.last(given(c), True).over(w)["value"].alias(c) if c in fields else F.col(c) for c in df.columns))
+
+
+def running_last_block(df: DataFrame, fields: list[str], ids: list[str], block: str, order: list[str]) -> DataFrame:
+    """All records of the last block of each id, with the running values, earlier blocks' included."""
+    now = running_update(df, fields, ids, order)
+    return null_safe_join(now, now.groupBy(*ids).agg(F.max(block).alias(block)), [*ids, block], "left_semi")
+
+
+def update_line(df: DataFrame, values: dict, keys: list[str]) -> DataFrame:
+    """Records of one key, given with its new values in one line, updated; nothing is appended."""
+    met = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lit(values[k])) for k in keys), F.lit(True))
+    return df.select(*(F.when(met, F.lit(values[c])).otherwise(F.col(c)).alias(c) if c in values and c not in keys and values[c] is not None else F.col(c) for c in df.columns))
 
 
 def update_from(df: DataFrame, updates: DataFrame, keys: list[str], fields: list[str], matched_only: bool = False) -> DataFrame:
@@ -91,8 +150,15 @@ def update_from(df: DataFrame, updates: DataFrame, keys: list[str], fields: list
     return out.unionByName(updates.join(df, keys, "left_anti").select(*keys, *fields), allowMissingColumns=True)
 
 
-def sliding_rows(df: DataFrame, size: int, step: int, by: list[str], order: list[str]) -> DataFrame:
-    """Each record once for every complete window of size records (a new one every step) that holds it: `window`."""
+def sliding_rows(df: DataFrame, size: int, step: int, by: list[str], order: list[str], incremental: bool = False) -> DataFrame:
+    """Each record once for every complete window of size records (a new one every step) that holds it: `window`. With
+    incremental, windows grow to their size first: those of 1, 2 and so on records, in steps of one, come before."""
+    if incremental:
+        grown = sliding_rows(df, size, step, by, order).withColumn("window", F.col("window") + size - 1)
+        i = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+        total = F.count(F.lit(1)).over(Window.partitionBy(*by))
+        early = df.withColumn("__i", i.cast("long")).withColumn("__n", F.least(total, F.lit(size - 1))).filter("__i < __n")
+        return early.withColumn("window", F.explode(F.sequence(F.col("__i"), F.col("__n") - 1))).drop("__i", "__n").unionByName(grown)
     w = Window.partitionBy(*by).orderBy(*order)
     i = (F.row_number().over(w) - 1).cast("long")
     total = F.count(F.lit(1)).over(Window.partitionBy(*by))
@@ -116,12 +182,38 @@ def concatenate(df: DataFrame, column: str, n: int, by: list[str], order: list[s
     return (out if wrap else out.filter(F.col("__p") + n - 1 <= F.col("__t"))).drop("__p", "__t")
 
 
-def fill_holes(df: DataFrame, t: str, period: float, by: list[str], order: list[str]) -> DataFrame:
-    """Repeats a record every period seconds until the next one of its key: `at`, and `repeated` 1 or 0."""
-    until = F.lead(t).over(Window.partitionBy(*by).orderBy(*order))
+def concatenate_blocks(df: DataFrame, column: str, n: int, by: list[str], order: list[str], step: int = 1) -> DataFrame:
+    """Values of n records in one, without overlap: of every (n - 1) * step + 1 records each step-th. `c_0` to `c_{n-1}`
+    and the place `part` in the stream; a tail too short for a record is an error, as nothing says how to fill it."""
+    size = (n - 1) * step + 1
+    i = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    placed = df.select(*by, F.col(column).alias("__v"), i.alias("__i")).withColumn("part", F.floor(F.col("__i") / size).cast("long")).withColumn("__k", F.col("__i") % size)
+    cells = [F.max(F.when(F.col("__k") == k * step, F.col("__v"))).alias(f"{column}_{k}") for k in range(n)]
+    out = placed.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("__n"), *cells)
+    whole = F.when(F.col("__n") < size, F.raise_error(F.lit(f"a block's last {size} records are not complete"))).otherwise(F.lit(True))
+    return out.filter(whole).drop("__n")
+
+
+def fill_holes(df: DataFrame, t: str, period: float, by: list[str], order: list[str], since=None, until=None) -> DataFrame:
+    """Repeats a record every period seconds until the next one of its key, and at the next one's time, if that is a
+    period or more away: `at`, and `repeated` 1 or 0; sort by (at, repeated desc) for the order of arrival. The last
+    record goes on until `until`; the first one is repeated from `since` to its own time as well."""
+    w = Window.partitionBy(*by).orderBy(*order)
     step = F.make_dt_interval(secs=F.lit(period))
-    times = F.when(F.col("__until") > F.col(t) + step, F.sequence(F.col(t), F.col("__until") - F.expr("interval 1 microsecond"), step)).otherwise(F.array(t))
-    return df.withColumn("__until", until).withColumn("at", F.explode(times)).withColumn("repeated", (F.col("at") > F.col(t)).cast("int")).drop("__until")
+    kind = dict(df.dtypes)[t]
+    # whether what was last goes on to now, and when it shows again
+    again = lambda last, now: F.when(now >= last + step, F.array_distinct(F.concat(F.sequence(last + step, now, step), F.array(now)))).otherwise(F.array().cast(f"array<{kind}>"))
+    ends = F.lead(t).over(w)
+    if until is not None:
+        ends = F.coalesce(ends, F.lit(until).cast(kind))
+    placed = df.withColumn("__next", ends).withColumn("__place", F.row_number().over(w))
+    later = F.transform(F.coalesce(again(F.col(t), F.col("__next")), F.array().cast(f"array<{kind}>")), lambda x: F.struct(x.alias("at"), F.lit(1).alias("repeated")))
+    times = F.concat(F.array(F.struct(F.col(t).alias("at"), F.lit(0).alias("repeated"))), later)
+    if since is not None:
+        begin = F.lit(since).cast(kind)
+        before = F.concat(F.array(begin), again(begin, F.col(t)))
+        times = F.when(F.col("__place") == 1, F.concat(F.transform(before, lambda x: F.struct(x.alias("at"), F.lit(1).alias("repeated"))), times)).otherwise(times)
+    return placed.withColumn("__z", F.explode(times)).select(*df.columns, "__z.at", "__z.repeated")
 
 
 def sliding_sort(df: DataFrame, key: str, size: int, by: list[str], order: list[str], tail: bool = False) -> DataFrame:
@@ -190,6 +282,22 @@ def shuffled(df: DataFrame, order: list[str], seed: int = 0) -> DataFrame:
     return df.withColumn("__lot", _lot(order, seed)).orderBy("__lot", *order).drop("__lot")
 
 
+def repeat_rows(df: DataFrame, n: int, out: str = "copy") -> DataFrame:
+    """Every record n times, numbered from 0."""
+    return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def concatenated(sources: list[DataFrame], out: str = "source") -> DataFrame:
+    """The records of all sources, each with its source's number; by name, whatever the columns' order."""
+    return reduce(DataFrame.unionByName, [d.withColumn(out, F.lit(k)) for k, d in enumerate(sources)])
+
+
+def interleaved(sources: list[DataFrame], orders: list[list[str]], block: int = 1) -> DataFrame:
+    """Sources taken in turn, block records of each: `turn` and `source`, by which the result is to be sorted."""
+    placed = [d.withColumn("turn", F.floor((F.row_number().over(Window.orderBy(*o)) - 1) / block).cast("long")) for d, o in zip(sources, orders, strict=True)]
+    return concatenated(placed)
+
+
 def erase(df: DataFrame, fields: list[str], value) -> DataFrame:
     """Fields that hold the erasing value become null, as an update then leaves them empty."""
     return df.select(*(F.when(F.col(c) != F.lit(value), F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns))

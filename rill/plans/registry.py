@@ -137,7 +137,7 @@ def take_until(spark, sf):
 @query("select n_name, s_suppkey from supplier join nation on s_nationkey = n_nationkey")
 def join_equal(spark, sf):
     n = _t(spark, sf, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
-    return _t(spark, sf, "supplier").join(n, "s_nationkey").select("n_name", "s_suppkey")
+    return joins.equal(_t(spark, sf, "supplier"), n, ["s_nationkey"]).select("n_name", "s_suppkey")
 
 
 @query("select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 100000)")
@@ -271,7 +271,7 @@ def sort_first(spark, sf):
 
 @query("select o_orderkey, o_custkey from orders order by o_custkey desc, o_orderkey limit 100")
 def sort_head(spark, sf):
-    return _t(spark, sf, "orders").select("o_orderkey", "o_custkey").orderBy(F.col("o_custkey").desc(), "o_orderkey").limit(100)
+    return rows.head(_t(spark, sf, "orders").select("o_orderkey", "o_custkey"), 100, [F.col("o_custkey").desc(), "o_orderkey"])
 
 
 @query("""select o_orderkey, o_custkey, case when o_totalprice = mn then 'min' else 'max' end as side from (select *, min(o_totalprice) over (partition by o_custkey) as mn, max(o_totalprice) over (partition by o_custkey) as mx from orders)
@@ -348,11 +348,15 @@ def shape_loop(spark, sf):
 
 @query("select n_nationkey, unnest([0,1,2]) as copy from nation")
 def shape_repeat(spark, sf):
-    return _t(spark, sf, "nation").select("n_nationkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("copy"))
+    return rows.repeat_rows(_t(spark, sf, "nation").select("n_nationkey"), 3)
 
 
-@query("""with e as (select event_id, ts, lead(ts) over (partition by user_id order by ts) as u from events)
-select event_id, ts + i * interval 6 hour as at, case when i > 0 then 1 else 0 end as repeated from (select event_id, ts, unnest(generate_series(0, case when u > ts + interval 6 hour then (epoch_us(u) - 1 - epoch_us(ts)) // 21600000000 else 0 end)) as i from e)""")
+# copies at each step up to the next record's time, and at that time itself, if it is a step away or more
+@query("""with e as (select event_id, epoch_us(ts) as t, epoch_us(lead(ts) over (partition by user_id order by ts)) as u, 21600000000 as p from events),
+r as (select event_id, t, 0 as repeated from e union all
+select event_id, unnest(generate_series(t + p, u, p)), 1 from e where u >= t + p union all
+select event_id, u, 1 from e where u >= t + p and (u - t) % p <> 0)
+select event_id, make_timestamp(t) as at, repeated from r""")
 def repeat_fill(spark, sf):
     return rows.fill_holes(_t(spark, sf, "events"), "ts", 21600.0, ["user_id"], ["ts"]).select("event_id", "at", "repeated")
 
@@ -480,7 +484,7 @@ def trees_layered(spark, sf):
 
 @query("select c_custkey as key, 0 as source from customer union all select s_suppkey, 1 from supplier")
 def concatenate_sources(spark, sf):
-    return _t(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.lit(0).alias("source")).unionByName(_t(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.lit(1).alias("source")))
+    return rows.concatenated([_t(spark, sf, "customer").select(F.col("c_custkey").alias("key")), _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"))])
 
 
 @query("select a, b, c from (values ('x'), ('y')) t(a), range(0, 4) u(b), (values (0.5::double), (1.5::double)) v(c)")
