@@ -1,4 +1,4 @@
-"""Headers as comma-separated field names, and the same changes on a DataFrame's columns."""
+"""Headers as delimited field names, and the same changes on a DataFrame's columns."""
 
 from __future__ import annotations
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
+import zlib
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,35 +50,170 @@ def convert(x: Column, source: str, target: str) -> Column:
     return (x * a + b - d) / c
 
 
-def path_basename(path: Column, tail: int = 1) -> Column:
-    """The last tail parts; a shorter path is returned whole."""
+def convert_from(x: Column, unit: Column, target: str) -> Column:
+    """x from the unit that a sibling column names; null for a unit of another kind, or none."""
+    out = F.lit(None).cast("double")
+    for name, (kind, *_) in UNITS.items():
+        if kind == UNITS[target][0]:
+            out = F.when(unit == name, convert(x, name, target)).otherwise(out)
+    return out
+
+
+def linear(x: Column, scale: float = 1.0, offset: float = 0.0) -> Column:
+    return x * scale + offset
+
+
+def equal_within(a: Column, b: Column, epsilon: float = 2.220446049250313e-16) -> Column:
+    """Equal numbers, up to an epsilon; nans are equal to nothing."""
+    return ~F.isnan(a) & ~F.isnan(b) & (F.abs(a - b) < epsilon)
+
+
+def less_within(a: Column, b: Column, epsilon: float = 2.220446049250313e-16) -> Column:
+    return (a < b) & ~equal_within(a, b, epsilon)
+
+
+def cyclic(x: Column, low: float, high: float) -> Column:
+    """x moved by whole cycles into [low, high)."""
+    return F.lit(low) + F.pmod(x - low, F.lit(high - low))
+
+
+def hull(low: Column, high: Column) -> tuple[Column, Column]:
+    """Aggregates: the least interval that holds all intervals."""
+    return F.min(low), F.max(high)
+
+
+def with_affixes(x: Column, prefix: str = "", suffix: str = "") -> Column:
+    return F.concat(F.lit(prefix), x, F.lit(suffix))
+
+
+def path_basename(path: Column, tail: int = 1, head: int | None = None) -> Column:
+    """The last tail parts; or, with head, all but the first head ones. A path too short is returned whole."""
     parts = F.split(path, "/")
-    return F.when(F.size(parts) <= tail, path).otherwise(F.array_join(F.slice(parts, F.size(parts) - tail + 1, tail), "/"))
+    n = F.size(parts)
+    if head is not None:
+        return F.when(n <= head, path).otherwise(F.array_join(F.slice(parts, head + 1, F.greatest(n - head, F.lit(0))), "/"))
+    return F.when(n <= tail, path).otherwise(F.array_join(F.slice(parts, n - tail + 1, tail), "/"))
 
 
-def path_dirname(path: Column, tail: int = 1) -> Column:
-    """The path without its last tail parts; an absolute one keeps its root."""
+def path_dirname(path: Column, tail: int = 1, head: int | None = None) -> Column:
+    """The path without its last tail parts; or, with head, its first head parts. An absolute path keeps its root, which
+    counts as none of its parts."""
     parts = F.split(path, "/")
-    kept = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - tail, F.lit(0))), "/")
+    count = F.size(parts) - tail if head is None else F.lit(head) + F.when(path.startswith("/"), 1).otherwise(0)
+    kept = F.array_join(F.slice(parts, 1, F.greatest(F.least(count, F.size(parts)), F.lit(0))), "/")
     return F.when(path.startswith("/") & (kept == ""), "/").otherwise(kept)
 
 
-def quoted(x: Column) -> Column:
-    """Quotes what isn't a number."""
-    return F.when(x.try_cast("double").isNull(), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x)
+def path_normal(path: Column) -> Column:
+    """A path without empty and `.` parts, `..` taken back where a part stands before it; as text, no file is looked at."""
+    root = path.startswith("/")
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    empty = F.array().cast("array<string>")
+
+    def step(done: Column, p: Column) -> Column:
+        back = (p == "..") & (F.size(done) > 0) & (F.element_at(F.concat(done, F.array(F.lit("x"))), F.greatest(F.size(done), F.lit(1))) != "..")
+        above = (p == "..") & root & (F.size(done) == 0)
+        return F.when(back, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(above, done).otherwise(F.concat(done, F.array(p)))
+
+    out = F.array_join(F.aggregate(parts, empty, step), "/")
+    return F.when(root, F.concat(F.lit("/"), out)).when(out == "", ".").otherwise(out)
+
+
+def quoted(x: Column, force: bool = False, delimiter: str | None = None, mangled: str = ";") -> Column:
+    """Quotes what isn't a number, or with force everything; delimiters inside a quoted value can be mangled."""
+    inside = F.replace(x, F.lit(delimiter), F.lit(mangled)) if delimiter else x
+    wrapped = F.concat(F.lit('"'), inside, F.lit('"'))
+    return wrapped if force else F.when(x.try_cast("double").isNull(), wrapped).otherwise(x)
+
+
+def unquoted(x: Column) -> Column:
+    """Without one pair of double quotes around it."""
+    return F.when((F.length(x) > 1) & x.startswith('"') & x.endswith('"'), F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(x)
 
 
-def iso(t: Column) -> Column:
-    """yyyymmddThhmmss, with microseconds where there are any."""
+def iso(t: Column, fractions: bool = False) -> Column:
+    """yyyymmddThhmmss, with microseconds where there are any, or always."""
     base = F.date_format(t, "yyyyMMdd'T'HHmmss")
     part = F.date_format(t, "SSSSSS")
-    return F.when(part == "000000", base).otherwise(F.concat(base, F.lit("."), part))
+    long = F.concat(base, F.lit("."), part)
+    return long if fractions else F.when(part == "000000", base).otherwise(long)
 
 
-def parse_time(x: Column) -> Column:
-    """ISO basic, then extended, then seconds since the epoch; null and what can't be read are not-a-date-time."""
-    forms = ("yyyyMMdd'T'HHmmss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
-    return F.coalesce(*(F.try_to_timestamp(x, F.lit(f)) for f in forms), F.timestamp_micros((x.try_cast("double") * 1_000_000).cast("long"))).cast("timestamp_ntz")
+def _micros(t: Column) -> Column:
+    return F.unix_micros(t.cast("timestamp"))
+
+
+def _seconds_text(t: Column) -> Column:
+    """Seconds since the epoch, with as many digits after the point as are needed."""
+    return F.regexp_replace((_micros(t).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(8,0)")).cast("decimal(20,6)").cast("string"), r"\.?0+$", "")
+
+
+def format_time(t: Column, kind: str, zone: str = "UTC") -> Column:
+    """A time (UTC, without zone) as text: iso, iso-always-with-fractions, seconds, microseconds, sql, xsd, local (iso in
+    the zone), tai (iso, ahead by the leap seconds), or `format;` and a pattern of letters such as yyyy-MM-dd."""
+    if kind.startswith("format;"):
+        return F.date_format(t, kind[7:])
+    part = F.date_format(t, "SSSSSS")
+    with_part = lambda base: F.when(part == "000000", base).otherwise(F.concat(base, F.lit("."), part))
+    forms = {
+        "iso": lambda: iso(t),
+        "iso-always-with-fractions": lambda: iso(t, True),
+        "seconds": lambda: _seconds_text(t),
+        "microseconds": lambda: _micros(t).cast("string"),
+        "sql": lambda: with_part(F.date_format(t, "yyyy-MM-dd HH:mm:ss")),
+        "xsd": lambda: with_part(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")),
+        "local": lambda: iso(F.from_utc_timestamp(t.cast("timestamp"), zone)),
+        "tai": lambda: iso(t + F.make_dt_interval(secs=tai_offset(t).cast("decimal(18,6)"))),
+    }
+    if kind not in forms:
+        raise ValueError(f"time format {kind!r}: expected one of {', '.join(forms)} or format;<pattern>")
+    return forms[kind]()
+
+
+_XSD = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2})(\.\d{1,6})?\d*(Z|[+-]\d{2}(?::?\d{2})?)?$"
+
+
+def _xsd(x: Column) -> Column:
+    """With an offset (`Z`, `+11:00`, `+1100`, `+11`) taken off."""
+    group = lambda k: F.regexp_extract(x, _XSD, k)
+    local = F.try_to_timestamp(F.concat(group(1), F.lit(" "), group(2)), F.lit("yyyy-MM-dd HH:mm:ss"))
+    part = F.rpad(F.substr(group(3), F.lit(2)), 6, "0").try_cast("long")
+    digits = F.regexp_replace(group(4), "[Z:+-]", "")
+    offset = F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 3600 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)) * 60
+    micros = F.unix_micros(local) + F.coalesce(part, F.lit(0)) - F.when(group(4).startswith("-"), -offset).otherwise(offset).cast("long") * 1_000_000
+    return F.when(x.rlike(_XSD), F.timestamp_micros(micros))
+
+
+def parse_time(x: Column, kind: str = "guess", strict: bool = False) -> Column:
+    """Text as a time without zone, in UTC: iso, xsd (with or without offset), sql, seconds, microseconds, tai, or guess,
+    which tries iso, xsd, sql and seconds. Empty text, null and not-a-date-time are null; so is what can't be read, or,
+    if strict, an error."""
+    forms = {
+        "iso": lambda: F.try_to_timestamp(x, F.lit("yyyyMMdd'T'HHmmss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]")),
+        "xsd": lambda: _xsd(x),
+        "sql": lambda: F.when(x.contains(" "), _xsd(x)),
+        "seconds": lambda: F.timestamp_micros((x.try_cast("decimal(26,6)") * 1_000_000).cast("long")),
+        "microseconds": lambda: F.timestamp_micros(x.try_cast("long")),
+        "guess": lambda: F.coalesce(forms["iso"](), forms["xsd"](), forms["seconds"]()),
+        "tai": lambda: _from_tai(forms["iso"]()),
+    }
+    if kind not in forms:
+        raise ValueError(f"time format {kind!r}: expected one of {', '.join(forms)}")
+    out = forms[kind]().cast("timestamp_ntz")
+    if strict:
+        none = x.isNull() | x.isin("", "not-a-date-time")
+        out = F.when(none | out.isNotNull(), out).otherwise(F.raise_error(F.concat(F.lit("expected a time, got "), x)).cast("timestamp_ntz"))
+    return out
+
+
+def _from_tai(t: Column) -> Column:
+    """UTC of a TAI time: the offset that holds at the UTC it gives."""
+    out = t
+    for day, s in LEAP_SECONDS:
+        begins = F.to_timestamp_ntz(F.lit(day))
+        moved = t.cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(s))
+        out = F.when(moved >= begins, moved.cast("timestamp")).otherwise(out)
+    return out
 
 
 def delay(t: Column, seconds: float) -> Column:
@@ -111,13 +251,37 @@ def voxel(x: Column, resolution: float, origin: float = 0.0) -> Column:
 
 def interpolate_grid(x: Column, y: Column, grid: list[list[float]], origin: tuple[float, float], step: tuple[float, float]) -> Column:
     """Bilinear lookup in a small table; null outside of it."""
-    rows = F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in grid))
-    u, v = (x - origin[0]) / step[0], (y - origin[1]) / step[1]
-    i, j = (F.least(F.floor(u), F.lit(len(grid) - 2)).cast("int"), F.least(F.floor(v), F.lit(len(grid[0]) - 2)).cast("int"))
-    at = lambda a, b: rows[a][b]
-    du, dv = u - i, v - j
-    value = at(i, j) * (1 - du) * (1 - dv) + at(i + 1, j) * du * (1 - dv) + at(i, j + 1) * (1 - du) * dv + at(i + 1, j + 1) * du * dv
-    return F.when(u.between(0, len(grid) - 1) & v.between(0, len(grid[0]) - 1), value)
+    flat = [[float(v)] for row in grid for v in row]
+    return F.get(interpolate([x, y], flat, (len(grid), len(grid[0])), origin, step), F.lit(0))
+
+
+#: Numbers of a grid that may stand in an expression.
+MOST_GRID = 10_000
+
+
+def interpolate(at: list[Column], grid: list[list[float]], shape: tuple[int, ...], origin: tuple[float, ...], step: tuple[float, ...]) -> Column:
+    """Multilinear lookup in a small grid of any number of dimensions: an array of as many values as a place of the grid
+    has. grid lists the places, the last dimension fastest. Null outside of it."""
+    if math.prod(shape) != len(grid) or min(shape) < 2:
+        raise ValueError(f"a grid of shape {shape} has {math.prod(shape)} places, two or more in each dimension; got {len(grid)}")
+    if len(grid) * len(grid[0]) > MOST_GRID:
+        raise ValueError(f"a grid of more than {MOST_GRID} numbers is to be joined as a table")
+    u = [(x - o) / s for x, o, s in zip(at, origin, step, strict=True)]
+    low = [F.least(F.floor(v), F.lit(n - 2)).cast("int") for v, n in zip(u, shape, strict=True)]
+    inside = reduce(lambda a, b: a & b, (v.between(0, n - 1) for v, n in zip(u, shape, strict=True)))
+    values = []
+    for k in range(len(grid[0])):
+        table = F.array(*(F.lit(float(place[k])) for place in grid))
+        total = F.lit(0.0)
+        for corner in range(1 << len(shape)):
+            place, weight = F.lit(0), F.lit(1.0)
+            for d, n in enumerate(shape):
+                up = corner >> d & 1
+                place = place * n + low[d] + up
+                weight = weight * ((u[d] - low[d]) if up else (1 - (u[d] - low[d])))
+            total = total + F.get(table, place) * weight
+        values.append(total)
+    return F.when(inside, F.array(*values))
 
 
 #: Generator, start value and whether bits are reflected, of each 16-bit code.
@@ -143,6 +307,57 @@ def crc(data: Column, which: str = "ccitt") -> Column:
     return F.when(F.octet_length(data) == 0, F.lit(start)).when(data.isNotNull(), F.aggregate(bits, F.lit(start), bit)).cast("long")
 
 
+def crc_wrapped(line: Column, which: str = "ccitt", delimiter: str = ",") -> Column:
+    """A line with the checksum of its bytes as its last field."""
+    return F.concat(line, F.lit(delimiter), crc(line.cast("binary"), which).cast("string"))
+
+
+def crc_holds(line: Column, which: str = "ccitt", delimiter: str = ",") -> Column:
+    """Whether a line's last field is the checksum of what stands before it."""
+    rest = F.regexp_extract(line, "(?s)^(.*)" + re.escape(delimiter) + "([0-9]+)$", 1)
+    last = F.regexp_extract(line, "(?s)^(.*)" + re.escape(delimiter) + "([0-9]+)$", 2)
+    return F.coalesce(crc(rest.cast("binary"), which) == last.try_cast("long"), F.lit(False))
+
+
+def crc_checked(line: Column, which: str = "ccitt", delimiter: str = ",") -> Column:
+    """What stands before the checksum; a line whose checksum doesn't hold is an error."""
+    rest = F.regexp_extract(line, "(?s)^(.*)" + re.escape(delimiter) + "([0-9]+)$", 1)
+    return F.when(crc_holds(line, which, delimiter), rest).otherwise(F.raise_error(F.concat(F.lit("checksum fails: "), line)))
+
+
+def crc_bytes(data: bytes, which: str = "ccitt") -> int:
+    """crc() of bytes, outside of a plan."""
+    if which == "32":
+        return zlib.crc32(data)
+    generator, now, reflected = CRC16[which]
+    if reflected:
+        generator = int(f"{generator:016b}"[::-1], 2)
+    for byte in data:
+        now ^= byte if reflected else byte << 8
+        for _ in range(8):
+            if reflected:
+                now = now >> 1 ^ (generator if now & 1 else 0)
+            else:
+                now = (now << 1 ^ (generator if now & 0x8000 else 0)) & 0xFFFF
+    return now
+
+
+def recovered_packets(data: bytes, size: int, which: str = "ccitt", after: int = 1) -> list[bytes]:
+    """Payloads of the packets (size bytes and their little-endian checksum) of a stream. After a packet that fails,
+    packets are looked for byte by byte, and taken again once `after` in a row hold."""
+    width = 4 if which == "32" else 2
+    whole = size + width
+    good = lambda at: at + whole <= len(data) and int.from_bytes(data[at + size : at + whole], "little") == crc_bytes(data[at : at + size], which)
+    out, at, trusted = [], 0, True
+    while at + whole <= len(data):
+        if trusted and good(at) or not trusted and all(good(at + k * whole) for k in range(after)):
+            out.append(data[at : at + size])
+            at, trusted = at + whole, True
+        else:
+            at, trusted = at + 1, False
+    return out
+
+
 def path_common(path: Column) -> Column:
     """An aggregate: the longest path that all paths begin with, by whole elements. Arrays compare element by element,
     so the least and the greatest path agree exactly as far as all do."""
