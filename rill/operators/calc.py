@@ -81,7 +81,7 @@ def typed_calc(df: DataFrame, ops: list[str], fields: list[str], by: list[str])
     for o in ops if times else []:
         if o.split("=")[0] in ("sum", "percentile"):
             raise ValueError(f"{o}: not defined for times")
-    micros = df.withColumns({f: F.unix_micros(F.col(f).cast("timestamp")) for f in times})
+    micros = df.withColumns({f: F.unix_micros(F.col(f).cast("timestamp")).cast("decimal(20,0)") for f in times})  # whole, so a mean loses nothing
     out = calc(micros, ops, fields, by)
     for f in times:
         for o in ops:

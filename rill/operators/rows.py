@@ -46,6 +46,11 @@ def sort_records(df: DataFrame, keys: list[str], order: list[str], by: list[str]
     return df.orderBy(*by, *sort, *order)
 
 
+def matches(c: str, pattern: str) -> Column:
+    """The whole value matches a regular expression."""
+    return F.col(c).rlike(f"^(?:{pattern})$")
+
+
 def is_not_a_value(c: str, kind: str) -> Column:
     """True for nan and for a missing value or time."""
     return F.col(c).isNull() | F.isnan(c) if kind in ("double", "float") else F.col(c).isNull()

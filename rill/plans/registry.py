@@ -34,10 +34,13 @@ def _r(*cols: str, n: int = 3):
 
 
 def queries() -> dict:
+    from . import more  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
+    queries()
     return dict(_SQL)
 
 
@@ -236,7 +239,10 @@ def join_block_less(spark, sf):
     return joins.block_less(c, stops, "turn", ["conv_id"], []).select("conv_id", "turn", "stop_n")
 
 
-@query()
+@query("""with recursive e as (select event_id, user_id, event_type as event, row_number() over (partition by user_id order by ts) as i from events), m(event, state, next_state) as (values ('view', 0, 1), ('click', 1, 2), ('purchase', 2, 0), ('click', 0, 2)),
+f as (select user_id, 0::bigint as i, 0 as state, null::bigint as event_id, null::integer as next_state, 0 as now from (select distinct user_id from e) union all
+select e.user_id, e.i, f.now, e.event_id, m.next_state, coalesce(m.next_state, f.now) from f join e on e.user_id = f.user_id and e.i = f.i + 1 left join m on m.event = e.event and m.state = f.now)
+select event_id, state, next_state from f where next_state is not null""")
 def join_state_machine(spark, sf):
     moves = spark.createDataFrame([("view", 0, 1), ("click", 1, 2), ("purchase", 2, 0), ("click", 0, 2)], "event string, state int, next_state int")
     e = _t(spark, sf, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("event"))

@@ -133,13 +133,17 @@ def read_guessed(spark: SparkSession, path: str, fields: str, delimiter: str = "
     return from_lines(lines, ",".join(names[: len(spec.split(","))]), ",".join(spec.split(",")[: len(names)]), delimiter)
 
 
-def from_columns(lines: DataFrame, sizes: list[int], names: list[str], line: str = "value") -> DataFrame:
-    """Fixed-column text; trailing blanks go."""
+def fixed_columns(sizes: list[int], names: list[str], line: str = "value") -> list[Column]:
+    """Fields of fixed-column text; trailing blanks go."""
     at, out = 1, []
     for n, name in zip(sizes, names, strict=True):
         out.append(F.rtrim(F.substring(line, at, n)).alias(name))
         at += n
-    return lines.select(*out)
+    return out
+
+
+def from_columns(lines: DataFrame, sizes: list[int], names: list[str], line: str = "value") -> DataFrame:
+    return lines.select(*fixed_columns(sizes, names, line))
 
 
 def record_type(spec: str) -> np.dtype:
