@@ -143,6 +143,12 @@ def split_elements(spark: SparkSession, path: str, tag: str, schema: str, by: li
     read_elements(spark, path, tag, schema).write.partitionBy(*by).format("xml").option("rowTag", tag).option("rootTag", tag + "s").save(folder)
 
 
+def _after(data: bytes, begin: int, at: int) -> int:
+    """The byte after an element that begins at a place, and whose end the parser reports at another."""
+    opening = re.compile(rb"""<(?:[^>"']|"[^"]*"|'[^']*')*>""").match(data, begin)
+    return opening.end() if opening.group().endswith(b"/>") else data.index(b">", at) + 1
+
+
 def element_offsets(files: DataFrame, tag: str, content: str = "content", path: str = "path") -> DataFrame:
     """From rows of whole XML files (path, content): each element of a tag with the byte its markup begins at and the byte
     after its end, so that it can be cut out of the file. Elements of the tag within one another are all given."""
@@ -161,7 +167,8 @@ def element_offsets(files: DataFrame, tag: str, content: str = "content", path:
                 def end(t, p=parser, o=open_, f=found, d=data):
                     if t == tag:
                         at = p.CurrentByteIndex
-                        f.append((o.pop(), d.index(b">", at) + 1))
+                        start = o.pop()
+                        f.append((start, _after(d, start, at)))
 
                 parser.StartElementHandler, parser.EndElementHandler = begin, end
                 parser.Parse(data, True)

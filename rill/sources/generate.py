@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from math import prod
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.fold import folded
@@ -29,47 +31,36 @@ def indices(spark: SparkSession, shape: list[int], repeat: int = 1) -> DataFrame
 def random_values(spark: SparkSession, count: int, distribution: str = "uniform", a: float = 0.0, b: float = 1.0, seed: int | None = 0, parts: int | None = None, kind: str = "double", between: tuple[float, float] | None = None) -> DataFrame:
     """`value`: uniform in [a, b), normal with mean a and deviation b, or exponential with rate a, as a type of Spark's.
     The same for a seed and number of partitions; without a seed, other values each time. between: values out of the
-    range are drawn again, here by the distribution's own inverse, so none is drawn twice."""
+    range are drawn again."""
     if distribution not in ("uniform", "normal", "exponential"):
         raise ValueError(f"distribution {distribution!r}: expected one of uniform, normal, exponential")
     rows = spark.range(0, count, 1, parts)
     u = F.rand(seed) if seed is not None else F.rand()
-    if between is not None and distribution != "uniform":
-        from statistics import NormalDist
-
-        if distribution == "exponential":
-            low, high = (1 - math.exp(-max(x, 0.0) * (a or 1.0)) for x in between)
-            value = -F.log1p(-(u * (high - low) + low)) / (a or 1.0)
-        else:
-            low, high = (NormalDist(a, b).cdf(x) for x in between)
-            value = _normal_quantile(u * (high - low) + low) * b + a
-    else:
-        low, high = (max(a, between[0]), min(b, between[1])) if between is not None else (a, b)
-        n = F.randn(seed) if seed is not None else F.randn()
-        value = {"uniform": lambda: u * (high - low) + low, "normal": lambda: n * b + a, "exponential": lambda: -F.log1p(-u) / (a or 1.0)}[distribution]()
     whole = kind in ("byte", "short", "int", "long")
+    if between is not None and distribution != "uniform":
+        return _redrawn(rows, distribution, a, b, seed, between).select((F.floor("value") if whole else F.col("value")).cast(kind).alias("value"))
+    low, high = (max(a, between[0]), min(b, between[1])) if between is not None else (a, b)
+    n = F.randn(seed) if seed is not None else F.randn()
+    value = {"uniform": lambda: u * (high - low) + low, "normal": lambda: n * b + a, "exponential": lambda: -F.log1p(-u) / (a or 1.0)}[distribution]()
     return rows.select((F.floor(value) if whole else value).cast(kind).alias("value"))
 
 
-def _normal_quantile(p: Column) -> Column:
-    """By Newton's steps on the logistic approximation of the distribution; within 1e-9 for what doubles can tell apart."""
-    x = F.lit(0.0)
-    for k in range(6):
-        if k == 0:
-            x = F.log(p / (1 - p)) * 0.5513
-        cdf = _normal_cdf(x)
-        density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-        x = x - (cdf - p) / F.greatest(density, F.lit(1e-12))
-    return x
-
-
-def _normal_cdf(x: Column) -> Column:
-    """Marsaglia's series, which converges for all x that matter here."""
-    total, term = x, x
-    for k in range(3, 61, 2):
-        term = term * x * x / k
-        total = total + term
-    return 0.5 + total * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+def _redrawn(rows: DataFrame, distribution: str, a: float, b: float, seed: int | None, between: tuple[float, float]) -> DataFrame:
+    """Values of which those out of the range are drawn again, a batch at a time."""
+    low, high = between
+    if distribution == "exponential" and high <= 0 or low >= high:
+        raise ValueError(f"no {distribution} value lies between {low} and {high}")
+
+    def run(batches):
+        draw = np.random.default_rng(None if seed is None else [seed, TaskContext.get().partitionId()])
+        one = (lambda n: draw.normal(a, b, n)) if distribution == "normal" else (lambda n: draw.exponential(1 / (a or 1.0), n))
+        for batch in batches:
+            out = one(batch.num_rows)
+            while len(beyond := np.flatnonzero((out < low) | (out > high))):
+                out[beyond] = one(len(beyond))
+            yield pa.RecordBatch.from_arrays([pa.array(out)], names=["value"])
+
+    return rows.mapInArrow(run, "value double")
 
 
 def with_random(df: DataFrame, seed: int | None = None, out: str = "random") -> DataFrame:

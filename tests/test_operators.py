@@ -22,10 +22,13 @@ def test_percentile_interpolated(spark):
     assert (row.x_percentile_0_9_interpolate, row.x_percentile_0_9) == (pytest.approx(900.9), 900.0)
 
 
-def test_kurtosis_sample(spark):
+def test_moments_of_a_sample(spark):
     df = spark.createDataFrame([(1, x) for x in (1.0, 2.0, 3.0, 4.0, 6.0)], "g int, x double")
-    row = calc.calc(df, ["kurtosis", "kurtosis=sample:excess", "skew=sample"], ["x"], ["g"]).first()
-    assert row.x_kurtosis == pytest.approx(1.9733, abs=1e-3) or row.x_kurtosis > 1
+    row = calc.calc(df, ["kurtosis", "kurtosis=sample", "kurtosis=sample:excess", "skew", "skew=sample", "var", "var=sample"], ["x"], ["g"]).first().asDict()
+    want = {"x_kurtosis": 1.9945, "x_kurtosis_sample": 2.9781, "x_kurtosis_sample_excess": -0.0219, "x_skew": 0.39587, "x_skew_sample": 0.59013, "x_var": 2.96, "x_var_sample": 3.7}
+    assert {k: row[k] for k in want} == pytest.approx(want, abs=1e-4)
+    few = calc.calc(df.limit(3), ["kurtosis=sample"], ["x"], ["g"]).first()
+    assert few.x_kurtosis_sample != few.x_kurtosis_sample
 
 
 def test_span_blocks(spark):
