@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from rill.plans import registry
 
-HEADLINE = ["eval_row_wise", "calc_grouped_max", "calc_by_flags", "calc_percentiles", "select_range", "join_equal", "join_radius", "time_join_lower", "time_join_nearest", "interval_join", "interval_split", "update_running", "sort_first", "blocks_by_change", "blocks_by_span", "shape_sliding_window", "text_round_trip", "binary_round_trip"]
+HEADLINE = ["eval_row_wise", "calc_grouped_max", "calc_by_flags", "calc_percentiles", "select_range", "join_equal", "join_radius", "time_join_lower", "time_join_nearest", "interval_join", "interval_split", "update_running", "sort_first", "blocks_by_change", "blocks_by_span", "shape_sliding_window", "text_lineitem", "binary_round_trip", "binary_doubles", "time_join_upper", "interval_pieces", "eval_running", "update_running_erase"]
 
 
 def main() -> None:
