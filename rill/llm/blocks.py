@@ -15,11 +15,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow.fs import FileType
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, filesystem, fresh_folder, id_text, partitions
+from .common import arrow_map, batch_of, filesystem, fresh_folder, id_text, partitions, small_batches
 
 BLOCK_BYTES = 1 << 21
 #: Of hashes that one task of an exchange is meant to hold: the number of its tasks follows the number of blocks.
@@ -32,11 +33,12 @@ def write_blocks(docs: DataFrame) -> tuple[DataFrame, str]:
     folder = fresh_folder(docs.sparkSession, "blocks")
 
     def run(batches):
-        ids, texts, held = [], [], 0
+        ids, texts, held, n = [], [], 0, 0
 
         def flush():
-            name = f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex[:16]}"
-            return batch_of(_BLOCK, block=[name], doc_ids=[ids], texts=[texts])
+            nonlocal n
+            n += 1
+            return batch_of(_BLOCK, block=[f"{TaskContext.get().partitionId()}-{n}"], doc_ids=[ids], texts=[texts])
 
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
@@ -50,7 +52,8 @@ def write_blocks(docs: DataFrame) -> tuple[DataFrame, str]:
             yield flush()
 
     spark = docs.sparkSession
-    arrow_map(id_text(docs), run, "block string, doc_ids array<long>, texts array<binary>").write.option("compression", "zstd").parquet(f"{folder}/texts")
+    with small_batches(spark):
+        arrow_map(id_text(docs), run, "block string, doc_ids array<long>, texts array<binary>").write.option("compression", "zstd").parquet(f"{folder}/texts")
     return spark.read.parquet(f"{folder}/texts"), folder
 
 
@@ -71,13 +74,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _save(folder: str, name: str, data: bytes) -> None:
+def save(folder: str, name: str, data: bytes) -> None:
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
     draft = f"{root}/_{uuid.uuid4().hex}"
     with fs.open_output_stream(draft) as f:
         f.write(zstandard.ZstdCompressor(level=1).compress(data))
-    fs.move(draft, f"{root}/{name}")
+    try:
+        fs.move(draft, f"{root}/{name}")
+    except OSError:  # a task that runs again finds what it wrote before, the same bytes
+        if fs.get_file_info(f"{root}/{name}").type == FileType.NotFound:
+            raise
+        fs.delete_file(draft)
 
 
 def load(folder: str, name: str, expected: bool) -> bytes:
@@ -143,17 +151,18 @@ def mark_repeated(blocks: DataFrame, hashes_of: Callable[[str, list, list[bytes]
         for b in batches:
             for block, marks in zip(b.column("block").to_pylist(), b.column("marks").to_pylist(), strict=True):
                 if block != now and now is not None:
-                    _save(folder, now, b"".join(parts))
+                    save(folder, now, b"".join(parts))
                     parts = []
                 now = block
                 parts.append(marks)
         if now is not None:
-            _save(folder, now, b"".join(parts))
+            save(folder, now, b"".join(parts))
         yield pa.RecordBatch.from_arrays([pa.array([1], type=pa.int32())], names=["done"])
 
     given = over_blocks(blocks, emit, "bucket int, block string, hashes binary, many binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     replies = arrow_map(given, meet, "block string, bucket int, marks binary").repartition(tasks, "block").sortWithinPartitions("block", "bucket")
-    arrow_map(replies, store, "done int").count()
+    with small_batches(spark):
+        arrow_map(replies, store, "done int").count()
     del given, replies
     release(spark)
 
@@ -176,17 +185,18 @@ def store_by_block(rows: DataFrame, columns: list[str], folder: str, blocks: Dat
             table = np.stack([b.column(c).fill_null(0).to_numpy() for c in columns], axis=1) if b.num_rows else np.zeros((0, len(columns)), dtype=np.int64)
             for k, block in enumerate(b.column("block").to_pylist()):
                 if block != now and now is not None:
-                    _save(folder, now, b"".join(parts))
+                    save(folder, now, b"".join(parts))
                     parts = []
                 now = block
                 if real[k]:
                     parts.append(table[k].astype("<i8").tobytes())
         if now is not None:
-            _save(folder, now, b"".join(parts))
+            save(folder, now, b"".join(parts))
         yield pa.RecordBatch.from_arrays([pa.array([1], type=pa.int32())], names=["done"])
 
     every = rows.select("block", *columns).unionByName(blocks.select("block", *(F.lit(None).cast("long").alias(c) for c in columns)))
     dealt = every.repartition(partitions(spark), "block").sortWithinPartitions("block")
-    arrow_map(dealt, store, "done int").count()
+    with small_batches(spark):
+        arrow_map(dealt, store, "done int").count()
     del dealt
     release(spark)

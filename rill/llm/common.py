@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once (one longer text is still taken whole).
 KERNEL_BYTES = 1 << 21
+#: Bytes of an Arrow batch in the jobs that an operator runs itself; what it returns runs with the session's setting.
+BATCH_BYTES = 1 << 23
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, dtype=bool)
@@ -58,10 +61,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """For the jobs that run inside: Arrow batches of BATCH_BYTES at most. The session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared checkpoint folder; survives the loss of any executor."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def _on_storage(spark: SparkSession, uri: str):
