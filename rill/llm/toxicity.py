@@ -5,8 +5,8 @@ more, or something else, than each alone. Terms are lower-cased runs of letters
 buckets; a term that comes back in a document also counts as a second, "repeated" term. Terms are tried whatever their
 own relation to the label: one that says nothing by itself can matter in a pair.
 
-Training: labelled rows with crc32(doc_id as text) mod 4 <> 2, at most TRAIN_ROWS of them (those with the least hash of
-doc_id and text; a documented bound). Labels, lang, source and doc_id are no inputs. The model has the terms that the
+Training: labelled rows with crc32(doc_id as text) mod 4 <> 2, at most TRAIN_ROWS of them (those with the least hashes of
+doc_id, then of doc_id and text; a documented bound). Labels, lang, source and doc_id are no inputs. The model has the terms that the
 training rows show to matter, and goes to the executors once. Scoring is one pass, no shuffle.
 
 Defined cases: null or empty text has no terms and scores as the bias says; without labels, or with one class, the
@@ -28,7 +28,9 @@ TRAIN_ROWS = 20_000
 #: Steps over all rows, step size, and what a unit of a linear weight or of a term's factors costs, in rows.
 STEPS, RATE, COST, FACTOR_COST = 200, 0.05, 4.0, 2.0
 #: Between steps over all terms, steps over those with weights alone; the first steps are over all.
-FIRST, ALL_TERMS_EVERY = 12, 25
+FIRST, ALL_TERMS_EVERY = 10, 38
+#: Steps over some terms take the rows in this many parts in turn, if a part has LEAST_PART rows at least.
+PARTS, LEAST_PART = 3, 1500
 #: Places of terms that are worked on at once.
 CHUNK = 1 << 19
 THRESHOLD = 0.3
@@ -126,6 +128,10 @@ def fit(hashed: np.ndarray, first: np.ndarray, y: np.ndarray) -> FactorizationMa
     if not t1 or not t0:
         rate = t1 / len(y) if len(y) else 0.0
         return FactorizationMachine(np.zeros(0, dtype=np.int64), float(np.log((rate + 1e-6) / (1 - rate + 1e-6))), np.zeros(0), np.zeros((0, FACTORS)))
+    mixed = np.random.default_rng(11).permutation(len(y))  # so that parts of the rows are alike
+    size = np.diff(first)[mixed]
+    begin = np.concatenate(([0], np.cumsum(size)))
+    hashed, first, y = hashed[np.repeat(first[mixed] - begin[:-1], size) + np.arange(begin[-1])], begin, y[mixed]
     terms, at, rows_of = np.unique(hashed, return_inverse=True, return_counts=True)
     tried = rows_of > COST
     held = tried[at]
@@ -135,18 +141,22 @@ def fit(hashed: np.ndarray, first: np.ndarray, y: np.ndarray) -> FactorizationMa
     weights[:, 1:] = INIT * np.random.default_rng(7).standard_normal((len(terms), FACTORS))
     bias, of_bias = float(np.log(t1 / t0)), np.zeros(2)
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
+    n = len(y)
+    parts = PARTS if n >= PARTS * LEAST_PART else 1
     for step in range(1, STEPS + 1):
         every = step <= FIRST or step % ALL_TERMS_EVERY == 0
         if every or step == FIRST + 1 or step % ALL_TERMS_EVERY == 1:
             live = np.arange(len(terms)) if every else np.flatnonzero(weights.any(axis=1))
-            here = at if every else np.full(len(terms), -1, dtype=np.int32)
-            begin = first
+            here, begin = at, first
             if not every:
-                here[live] = np.arange(len(live))
-                here = here[at]
+                place = np.full(len(terms), -1, dtype=np.int32)
+                place[live] = np.arange(len(live))
+                here = place[at]
                 begin = np.concatenate(([0], np.cumsum(here >= 0)))[first]
                 here = here[here >= 0]
-        g, grad = loss_gradient(here, begin, y, bias, weights[live])
+        a, z = (0, n) if every else (n * (step % parts) // parts, n * (step % parts + 1) // parts)
+        g, grad = loss_gradient(here[begin[a] : begin[z]], begin[a : z + 1] - begin[a], y[a:z], bias, weights[live])
+        g, grad = g * n / (z - a), grad * (n / (z - a))
         mean[live] += 0.1 * (grad - mean[live])
         square[live] += 0.02 * (grad * grad - square[live])
         of_bias += (0.1 * (g - of_bias[0]), 0.02 * (g * g - of_bias[1]))
@@ -169,7 +179,10 @@ def held_out(doc_id="doc_id"):
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> FactorizationMachine:
     """The driver gets at most `most` rows of hashed terms, whatever repeats in documents or labels."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out())
-    joined = id_text(docs).join(known, "doc_id").withColumn("at", F.xxhash64("doc_id", "text"))
+    # by their ids alone: texts aren't shuffled, and what is broadcast has `most` rows at most
+    there = known.distinct().join(id_text(docs).select("doc_id"), "doc_id", "left_semi")
+    chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most)
+    joined = id_text(docs).join(F.broadcast(chosen), "doc_id").withColumn("at", F.xxhash64("doc_id", "text"))
     last = joined.select("at", "toxic").distinct().orderBy("at", "toxic").limit(most).agg(F.max("at")).first()[0]
     schema = pa.schema([("at", pa.int64()), ("toxic", pa.int32()), ("terms", pa.binary())])
 
