@@ -258,22 +258,21 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     ca = met.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     cb = met.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     apart = pairs.join(first, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left").filter("not (ca <=> cb) or ca is null").select("a", "b")
-    links = saved(linked.unionByName(confirmed(saved(apart), sets)))
+    # what is linked goes on as stars, so that components() has little left to do
+    star = lambda found: found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    now = saved(components(saved(star(met).unionByName(confirmed(saved(apart), sets)))))
     tested = pairs.select("a", "b")
     members = run_members(reps)
     crowded = saved(members.join(members.groupBy("run").count().filter("count > 1").select("run"), "run"))
     for most in ROUNDS:
-        now = components(links).select(F.col("node").alias("doc"), "component")
-        placed = crowded.join(now, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        placed = crowded.join(now.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         more = saved(run_pairs(placed, reps, most).join(tested, ["a", "b"], "left_anti"))
         if more.isEmpty():
-            if most is None:
-                break
             continue
         new = more.select(F.col("a").alias("rep")).unionByName(more.select(F.col("b").alias("rep"))).distinct()
         sets = sets.unionByName(sets_of(new.join(wanted, "rep", "left_anti")))
         wanted = wanted.unionByName(new).distinct()
-        links = saved(links.unionByName(confirmed(more, sets)))
+        now = saved(components(saved(star(now).unionByName(confirmed(more, sets)))))
         tested = tested.unionByName(more)
     # doc_ids with several texts join the classes of all of them
     text_of = F.struct(*_SET)
@@ -281,8 +280,9 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     several = not mixed.isEmpty()
     if several:
         held = saved(known.join(mixed, "doc_id", "left_semi").select("doc_id", *_SET).distinct().join(classes.select(*_SET, "rep"), _SET).select("doc_id", "rep"))
-        links = saved(links.unionByName(held.join(held.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))))
-    reach = components(links).select(F.col("node").alias("rep"), "component")
+        same_id = held.join(held.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))
+        now = saved(components(saved(star(now).unionByName(same_id))))
+    reach = now.select(F.col("node").alias("rep"), "component")
     placed = saved(classes.drop("signature").join(reach, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     of_class = placed.join(placed.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select("rep", *_SET, "component_id")
     if several:
