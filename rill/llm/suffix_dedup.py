@@ -12,9 +12,8 @@ agree on the rest of a phrase and on the parse after it. This operator needs onl
 
 Classes are named by hashes of bytes and counted, instead of sorted into suffix arrays: a sort would bring all suffixes of
 one common passage, perhaps a third of the corpus, into one range. Names travel once a block. Whatever is to be removed
-is named a second time, by an independent family of hashes, among those that repeat: the places of the parse before
-they count as repeated, the single strings at the end. Two different strings pass for equal only if they share both
-names.
+has a second name, of an independent family of hashes: places of the parse from the start, single strings once the first
+name repeats. Only what repeats by both names goes.
 
 Defined cases: null or empty text, and texts shorter than LENGTH, lose nothing; matches never cross documents; repeated
 doc_ids are separate rows; null doc_ids are kept; a table without rows gives none.
@@ -28,8 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import load, mark_repeated, over_blocks, repeated, write_blocks
-from .common import batch_of, mix, prefix_hash, span_hash
+from .blocks import load, mark_repeated, over_blocks, repeated, save, write_blocks
+from .common import batch_of, drop_folder, mix, prefix_hash, span_hash
 
 LENGTH = 200
 TRIGGER, MODULUS = 8, 32
@@ -109,19 +108,25 @@ class Parse:
         return mix(self.spans(self.span_start[chosen], self.span_end[chosen], family) + salt)
 
     def names(self) -> np.ndarray:
-        """Names of the phrases, then of the places."""
-        return np.concatenate((self.spans(*self.phrases()), self.places()))
+        """Names of the phrases, then both names of the places."""
+        return np.concatenate((self.spans(*self.phrases()), self.places(), self.places(1)))
 
-    def settle_names(self, marks: bytes) -> None:
-        """Takes the reply on names: phrases that repeat, and places that seem to."""
+    def settle(self, marks: bytes) -> None:
+        """Takes the reply on names: which phrases and which places repeat."""
         known = repeated(self.names(), marks)
-        n = len(self.phrases()[0])
-        self.twice, self.likely = known[:n], np.flatnonzero(known[n:])
+        n, m = len(self.phrases()[0]), len(self.low)
+        self.twice, self.sure = known[:n], known[n : n + m] & known[n + m :]
+        self.rest = self._open_starts()
+        self._ask()
+
+    def settled(self) -> bytes:
+        return np.packbits(np.concatenate((self.twice, self.sure))).tobytes()
 
-    def settle_places(self, second: bytes) -> None:
-        """Takes the reply on the second names of the places that seem to repeat."""
-        self.sure = np.zeros(len(self.low), dtype=bool)
-        self.sure[self.likely[repeated(self.places(1, self.likely), second)]] = True
+    def resume(self, settled: bytes) -> None:
+        """Takes what settled() gave for the same texts."""
+        n, m = len(self.phrases()[0]), len(self.low)
+        known = np.unpackbits(np.frombuffer(settled, dtype=np.uint8), count=n + m).astype(bool)
+        self.twice, self.sure = known[:n], known[n:]
         self.rest = self._open_starts()
         self._ask()
 
@@ -181,26 +186,19 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remove
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the remaining bytes if with_text."""
     blocks, folder = write_blocks(docs)
-    names, places, phrases, strings, again = (f"{folder}/{x}" for x in ("names", "places", "phrases", "strings", "again"))
+    names, known, phrases, strings, likely, again = (f"{folder}/{x}" for x in ("names", "known", "phrases", "strings", "likely", "again"))
 
-    def named(block, texts) -> Parse:
+    def wanted(block, _, texts):
         p = Parse(texts, length)
-        p.settle_names(load(names, block, len(p.low) + len(p.phrases()[0]) > 0))
-        return p
+        p.settle(load(names, block, len(p.low) + len(p.phrases()[0]) > 0))
+        save(known, block, p.settled())
+        return p.asked_names(), 2 * p.of_rest
 
     def parsed(block, texts) -> Parse:
-        p = named(block, texts)
-        p.settle_places(load(places, block, len(p.likely) > 0))
+        p = Parse(texts, length)
+        p.resume(load(known, block, True))
         return p
 
-    def second_names(block, _, texts):
-        p = named(block, texts)
-        return p.places(1, p.likely), None
-
-    def wanted(block, _, texts):
-        p = parsed(block, texts)
-        return p.asked_names(), 2 * p.of_rest
-
     def starts_of(p: Parse, block) -> np.ndarray:
         return p.strings_to_name(load(phrases, block, len(p.asked) > 0))
 
@@ -208,29 +206,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         p = parsed(block, texts)
         return p.strings(starts_of(p, block)), None
 
-    def likely(p: Parse, block) -> tuple[np.ndarray, np.ndarray]:
-        """(starts whose names repeat, which of them lie outside of sure places)."""
-        starts = starts_of(p, block)
-        hit = repeated(p.strings(starts), load(strings, block, len(starts) > 0))
-        return starts[hit], (np.arange(len(starts)) < len(p.rest))[hit]
-
     def single_again(block, _, texts):
         p = parsed(block, texts)
-        return p.strings(likely(p, block)[0], 1), None
+        starts = starts_of(p, block)
+        hit = repeated(p.strings(starts), load(strings, block, len(starts) > 0))
+        outside = np.arange(len(starts)) < len(p.rest)
+        save(likely, block, np.stack([starts[hit], outside[hit]]).astype("<i8").tobytes())
+        return p.strings(starts[hit], 1), None
 
     mark_repeated(blocks, lambda _, __, texts: (Parse(texts, length).names(), None), names)
-    mark_repeated(blocks, second_names, places)
     mark_repeated(blocks, wanted, phrases)
+    drop_folder(docs.sparkSession, names)
     mark_repeated(blocks, single, strings)
     mark_repeated(blocks, single_again, again)
+    drop_folder(docs.sparkSession, phrases)
+    drop_folder(docs.sparkSession, strings)
     schema = _RESULT if with_text else pa.schema(list(_RESULT)[:-1])
 
     def final(block, doc_ids, texts):
         p = parsed(block, texts)
         hit = np.zeros(len(p.buf) + 1, dtype=bool)
         hit[p.of_places(np.flatnonzero(p.sure))] = True
-        starts, outside = likely(p, block)
-        hit[starts[outside & repeated(p.strings(starts, 1), load(again, block, len(starts) > 0))]] = True
+        starts, outside = np.frombuffer(load(likely, block, True), dtype="<i8").reshape(2, -1)
+        hit[starts[(outside == 1) & repeated(p.strings(starts, 1), load(again, block, len(starts) > 0))]] = True
         at = np.flatnonzero(hit)
         cover = np.zeros(len(p.buf) + 1, dtype=np.int32)
         np.add.at(cover, at, 1)
