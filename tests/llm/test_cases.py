@@ -263,6 +263,40 @@ def test_least_of_many_places(monkeypatch):
     assert other[1].tolist() == [min(range(i, i + 44), key=lambda k: (int(v[k]) >> 9, k)) for i in range(900 - 43)]
 
 
+def test_cells_are_meetings_of_windows():
+    rng = np.random.default_rng(3)
+    tokens = np.concatenate((rng.integers(0, 40, 150), np.full(90, 7), rng.integers(0, 1 << 60, 120))).astype(np.uint64)
+    first = np.array([0, 100, 240, 360])
+    found = [compact_windows.windows(tokens, first, f + 1, 20) for f in range(compact_windows.HASHES)]
+    fn = np.repeat(np.arange(compact_windows.HASHES), [len(w[0]) for w in found])
+    k, l, c, r, name = (np.concatenate([w[x] for w in found]) for x in range(5))
+    want = []
+    for f, g in compact_windows.CELL_PAIRS:
+        for a in np.flatnonzero(fn == f):
+            for b in np.flatnonzero((fn == g) & (k == k[a])):
+                left, right = max(l[a], l[b]), min(r[a], r[b])
+                if left <= min(c[a], c[b]) and max(c[a], c[b]) <= right and right - left >= 19:
+                    want.append((k[a], left, min(c[a], c[b]), max(c[a], c[b]), right))
+    got = compact_windows.cells(fn, k, l, c, r, name, 20)
+    assert sorted(zip(*(x.tolist() for x in got[:5]), strict=True)) == sorted(tuple(map(int, w)) for w in want) and len(want) > 100
+
+
+@pytest.mark.parametrize("star_above", [4, 0])
+def test_rejected_documents_hide_no_passage(spark, monkeypatch, star_above):
+    monkeypatch.setattr(compact_windows, "STAR_ABOVE", star_above)
+    draw = random.Random(11)
+    new = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for t in range(0, 200, 10):
+        passage = new(60)
+        # the first holder has two words of the passage replaced (0.73 alike), the others hold it whole
+        spoilt = [*passage[:20], *new(1), *passage[21:40], *new(1), *passage[41:]]
+        rows += [(t + k, " ".join([*new(30), *p, *new(30)])) for k, p in enumerate((spoilt, passage, passage, passage))]
+    got = compact_windows.repeated_passages(table_of(spark, rows)).collect()
+    met = {(r.rep_id, r.doc_id) for r in got}
+    assert all((t + 1, t + k) in met for t in range(0, 200, 10) for k in (2, 3)) and all(r.similarity >= 0.8 and r.rep_id % 10 > 0 for r in got)
+
+
 def test_gradient_and_score_by_definition():
     rng = np.random.default_rng(3)
     rows = [sorted(rng.choice(12, size=rng.integers(0, 6), replace=False)) for _ in range(30)]
