@@ -6,8 +6,10 @@
    signature and id, so a crowded region is cut wherever its rows are many). Candidates are sorted neighbours whose
    common prefix reaches LEAST_DEPTH, and, in each run that shares a prefix at several depths, the run's first row:
    sparse regions meet at small depth, crowded ones at greater depth as well, and the pairs stay linear in the rows.
-3. Candidates are confirmed on full sets in two rounds: each document's most often seen partners first, then, between
-   components still apart, all the others. Components are stars built by alternating minima.
+3. Candidates are confirmed in two rounds: each document's most often seen partners first, then, between components
+   still apart, all the others. A pair first meets on short sets, 16 bits of each shingle: what two short sets share is
+   never less than what the full ones do, so a pair that they rule out can't be a link. The full sets travel only for
+   the pairs that are left, and decide. Components are stars built by alternating minima.
 4. Runs of LEAST_DEPTH that still hold several components go on: their rows meet all rows of other components, ordered
    by how many of all min-hashes agree, the best few of each row first and all in the last round. A crowded run is dealt
    over pairs of its blocks. Pairs are many only where many near texts of one run stay apart.
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import release
 from .common import arrow_map, batch_of, id_text, in_pieces, mix, partitions, saved, shingles, words_of
 from .components import components
 
@@ -85,8 +88,8 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """doc_id, set_a, set_b (digest), shingles (sorted distinct hashes)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    """doc_id, set_a, set_b (digest), shingles (sorted distinct hashes), short (their upper 16 bits)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("shingles", pa.list_(pa.int64())), ("short", pa.binary())])
 
     def run(batches):
         for b in batches:
@@ -94,9 +97,17 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
                 h, first, _, _ = words_of(piece)
                 sets = [np.unique(shingles(h[a:z], width)) for a, z in zip(first, first[1:], strict=False)]
                 digests = [_digest(s) for s in sets]
-                yield batch_of(schema, doc_id=b.column("doc_id")[lo:hi], set_a=[d[0] for d in digests], set_b=[d[1] for d in digests], shingles=[s.view(np.int64) for s in sets])
+                short = [(s >> np.uint64(48)).astype("<u2").tobytes() for s in sets]
+                yield batch_of(schema, doc_id=b.column("doc_id")[lo:hi], set_a=[d[0] for d in digests], set_b=[d[1] for d in digests], shingles=[s.view(np.int64) for s in sets], short=short)
 
-    return arrow_map(texts, run, "doc_id long, set_a long, set_b long, shingles array<long>")
+    return arrow_map(texts, run, "doc_id long, set_a long, set_b long, shingles array<long>, short binary")
+
+
+def most_shared(one: bytes, two: bytes) -> int:
+    """How many shingles two sets can share at most, by their short sets: values in common, with repeats."""
+    x, y = np.frombuffer(one, dtype="<u2"), np.frombuffer(two, dtype="<u2")
+    nth = np.arange(len(x)) - np.searchsorted(x, x)
+    return int((nth < np.searchsorted(y, x, side="right") - np.searchsorted(y, x)).sum())
 
 
 def _size_fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -154,6 +165,15 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
     return arrow_map(sorted_rows, meet, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def _run_names(signs: list[bytes]) -> np.ndarray:
+    """The run of each signature in each tree."""
+    x = np.frombuffer(b"".join(signs), dtype=">u4").astype(np.uint64).reshape(-1, TREES, DEPTH)
+    name = np.broadcast_to(mix(np.arange(1, TREES + 1, dtype=np.uint64)), x.shape[:2])
+    for k in range(LEAST_DEPTH):
+        name = mix(name * np.uint64(0x9FB21C651E98DF25) + x[:, :, k])
+    return name.view(np.int64)
+
+
 def run_members(reps: DataFrame) -> DataFrame:
     """(run, doc): the runs of LEAST_DEPTH equal min-hashes that each representative is in, one a tree."""
     schema = pa.schema([("run", pa.int64()), ("doc", pa.int64())])
@@ -161,18 +181,15 @@ def run_members(reps: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             ids, signs = (b.column(c).to_pylist() for c in ("rep", "signature"))
-            x = np.frombuffer(b"".join(signs), dtype=">u4").astype(np.uint64).reshape(-1, TREES, DEPTH)
-            name = np.broadcast_to(mix(np.arange(1, TREES + 1, dtype=np.uint64)), x.shape[:2])
-            for k in range(LEAST_DEPTH):
-                name = mix(name * np.uint64(0x9FB21C651E98DF25) + x[:, :, k])
-            yield batch_of(schema, run=name.ravel().view(np.int64), doc=np.repeat(np.array(ids, dtype=np.int64), TREES))
+            yield batch_of(schema, run=_run_names(signs).ravel(), doc=np.repeat(np.array(ids, dtype=np.int64), TREES))
 
     return arrow_map(reps, run, "run long, doc long")
 
 
 def run_pairs(members: DataFrame, reps: DataFrame, most: int | None) -> DataFrame:
     """(a, b): pairs of one run, of different components and LEAST_AGREE equal min-hashes; of each row in a cell the best
-    most ones, or all. members: run, doc, component; reps: rep, n_shingles, signature."""
+    most ones, or all. A pair comes from the first tree in which it shares a run: it would be found in the others again.
+    members: run, doc, component; reps: rep, n_shingles, signature."""
     pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     live = members.groupBy("run").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
@@ -183,7 +200,10 @@ def run_pairs(members: DataFrame, reps: DataFrame, most: int | None) -> DataFram
 
     def cell(t: pa.Table):
         doc, component, size, block = (t.column(c).to_numpy() for c in ("doc", "component", "n_shingles", "block"))
-        sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype="<u4").reshape(len(doc), -1)
+        signs = t.column("signature").to_pylist()
+        sign = np.frombuffer(b"".join(signs), dtype="<u4").reshape(len(doc), -1)
+        heads = sign.reshape(len(doc), TREES, DEPTH)[:, :, :LEAST_DEPTH]
+        tree = int(np.flatnonzero(_run_names(signs[:1])[0] == t.column("run")[0].as_py())[0])
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         out = []
         for k in range(len(doc)):
@@ -193,6 +213,8 @@ def run_pairs(members: DataFrame, reps: DataFrame, most: int | None) -> DataFram
             at = np.flatnonzero(fits)
             agree = (sign[at] == sign[k]).sum(axis=1)
             at, agree = at[agree >= LEAST_AGREE], agree[agree >= LEAST_AGREE]
+            here = (heads[at] == heads[k]).all(axis=2).argmax(axis=1) == tree
+            at, agree = at[here], agree[here]
             if most is not None:
                 at = at[np.argsort(-agree, kind="stable")[:most]]
             out.append(np.stack([np.minimum(doc[at], doc[k]), np.maximum(doc[at], doc[k])], axis=1))
@@ -215,17 +237,36 @@ def run_pairs(members: DataFrame, reps: DataFrame, most: int | None) -> DataFram
             held = [] if b is None else t.slice(heads[whole]).to_batches()
 
     cells = dealt.repartition(partitions(reps.sparkSession), "run", "i", "j").sortWithinPartitions("run", "i", "j")
-    return arrow_map(cells, meet, "a long, b long").distinct()
+    return arrow_map(cells, meet, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Both tables are written ones, so that a join on a rep with
+    """The pairs (a, b) whose full sets are similar enough. All tables are written ones, so that a join on a rep with
     very many candidates is one that adaptive execution can split."""
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("of_b"))
+
+    def sides(column: str) -> list[DataFrame]:
+        return [sets.select(F.col("rep").alias(end), F.col(column).alias(f"of_{end}")) for end in "ab"]
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def possible(batches):
+        for b in batches:
+            one, two = (b.column(c).to_pylist() for c in ("of_a", "of_b"))
+            both = np.fromiter(map(most_shared, one, two), dtype=np.int64, count=len(one))
+            size = np.fromiter(((len(x) + len(y)) // 2 for x, y in zip(one, two, strict=True)), dtype=np.int64, count=len(one))
+            keep = np.flatnonzero(100 * both >= SIMILAR * (size - both))
+            yield batch_of(schema, a=b.column("a").take(pa.array(keep)), b=b.column("b").take(pa.array(keep)))
+
+    left, right = sides("short")
+    near = saved(arrow_map(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b"), possible, "a long, b long"))
+    release(pairs.sparkSession)
+    left, right = sides("shingles")
     both = F.size(F.array_intersect("of_a", "of_b"))
-    met = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return met.withColumn("both", both).filter(100 * F.col("both") >= SIMILAR * (F.size("of_a") + F.size("of_b") - F.col("both"))).select("a", "b")
+    met = near.join(left, "a").join(right, "b").withColumn("both", both)
+    out = saved(met.filter(100 * F.col("both") >= SIMILAR * (F.size("of_a") + F.size("of_b") - F.col("both"))).select("a", "b"))
+    del near, met
+    release(pairs.sparkSession)
+    return out
 
 
 _SET = ["n_shingles", "set_a", "set_b"]
@@ -240,40 +281,56 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     # a class of equal sets is a node by a number of its own: two classes may share their least doc_id
     classes = saved(grouped.select(*_SET, F.col("least.doc_id").alias("least_id"), F.col("least.signature").alias("signature"), F.monotonically_increasing_id().alias("rep")))
     reps = classes.select("rep", "n_shingles", "signature")
+    spark = docs.sparkSession
     pairs = saved(candidate_pairs(reps))
+    release(spark)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        """rep, shingles; a repeated doc_id may have several texts, and the class's own is the one with its digest."""
+        """rep, shingles, short; a repeated doc_id may have several texts, and the class's own is the one with its digest."""
         asked = classes.join(wanted, "rep", "left_semi").select("rep", "least_id", "set_a", "set_b")
         found = shingle_sets(texts.join(asked.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
-        return saved(asked.join(found.withColumnRenamed("doc_id", "least_id"), ["least_id", "set_a", "set_b"]).dropDuplicates(["rep"]).select("rep", "shingles"))
-
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+        own = asked.join(found.withColumnRenamed("doc_id", "least_id"), ["least_id", "set_a", "set_b"])
+        # the join's own keys among those that decide: its rows stay where they are
+        out = saved(own.dropDuplicates(["least_id", "set_a", "set_b", "rep"]).select("rep", "shingles", "short"))
+        del asked, found, own
+        release(spark)
+        return out
+
+    wanted = saved(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
     sets = sets_of(wanted)
     # first round: for either end, the partner met in most places
     ends = pairs.select(F.col("a").alias("end"), "a", "b", "n").unionByName(pairs.select(F.col("b").alias("end"), "a", "b", "n"))
     first = saved(ends.groupBy("end").agg(F.max(F.struct("n", "a", "b")).alias("top")).select("top.a", "top.b").distinct())
-    linked = saved(confirmed(first, sets))
-    met = saved(components(linked))
+    met = saved(components(confirmed(first, sets)))
     ca = met.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     cb = met.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    apart = pairs.join(first, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left").filter("not (ca <=> cb) or ca is null").select("a", "b")
+    apart = saved(pairs.join(first, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left").filter("not (ca <=> cb) or ca is null").select("a", "b"))
     # what is linked goes on as stars, so that components() has little left to do
     star = lambda found: found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    now = saved(components(saved(star(met).unionByName(confirmed(saved(apart), sets)))))
-    tested = pairs.select("a", "b")
+    now = saved(components(saved(star(met).unionByName(confirmed(apart, sets)))))
+    tested = saved(pairs.select("a", "b"))
+    del pairs, ends, first, met, ca, cb, apart
+    release(spark)
     members = run_members(reps)
     crowded = saved(members.join(members.groupBy("run").count().filter("count > 1").select("run"), "run"))
+    del members
     for most in ROUNDS:
         placed = crowded.join(now.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         more = saved(run_pairs(placed, reps, most).join(tested, ["a", "b"], "left_anti"))
+        release(spark)
         if more.isEmpty():
             continue
-        new = more.select(F.col("a").alias("rep")).unionByName(more.select(F.col("b").alias("rep"))).distinct()
-        sets = sets.unionByName(sets_of(new.join(wanted, "rep", "left_anti")))
-        wanted = wanted.unionByName(new).distinct()
-        now = saved(components(saved(star(now).unionByName(confirmed(more, sets)))))
+        new = saved(more.select(F.col("a").alias("rep")).unionByName(more.select(F.col("b").alias("rep"))).distinct().join(wanted, "rep", "left_anti"))
+        if not new.isEmpty():
+            sets = sets.unionByName(sets_of(new))
+            wanted = wanted.unionByName(new)
+        links = confirmed(more, sets)
+        if not links.isEmpty():
+            now = saved(components(saved(star(now).unionByName(links))))
         tested = tested.unionByName(more)
+        release(spark)
+    del crowded, tested, sets, wanted
+    release(spark)
     # doc_ids with several texts join the classes of all of them
     text_of = F.struct(*_SET)
     mixed = saved(sketch.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text_of).alias("x"), F.max(text_of).alias("y")).filter("x <> y").select("doc_id"))

@@ -411,3 +411,38 @@ def test_secrets_are_added_from_patterns_alone():
     counts = [(0b0001010101, 0b000100000000, 900), (0b1010101010, 0b000011111111, 60), (0b0010101010, 0b000011111011, 40), (0b0001010001, 0b000100000100, 300)]
     weights = pii.fit(counts)
     assert [pii.accepted(weights, f) for _, f, _ in counts] == [False, True, True, False]
+
+
+def test_short_sets_rule_out_no_link():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+        pool[:200] = (pool[:200] >> np.uint64(50)) | (pool[:200] & np.uint64(15 << 60))  # upper bits that many share
+        one, two = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
+        short = [(s >> np.uint64(48)).astype("<u2").tobytes() for s in (one, two)]
+        most = sum((collections.Counter((one >> np.uint64(48)).tolist()) & collections.Counter((two >> np.uint64(48)).tolist())).values())
+        assert minhash_forest.most_shared(*short) == most >= len(np.intersect1d(one, two))
+
+
+def test_a_pair_of_several_runs_comes_once(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(300)) for _ in range(2)]
+    rows = [(k, f"{texts[k % 2]} end{k}") for k in range(12)]
+    sketch = minhash_forest.sketches(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    reps = sketch.select(F.col("doc_id").alias("rep"), "n_shingles", "signature").cache()
+    members = minhash_forest.run_members(reps).withColumn("component", F.col("doc"))
+    got = [tuple(r) for r in minhash_forest.run_pairs(members, reps, None).collect()]
+    assert sorted(got) == [(a, b) for a in range(12) for b in range(a + 1, 12) if a % 2 == b % 2]
+
+
+def test_confirmation_ships_full_sets_of_possible_pairs_only(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+    far = base[:150] + [f"x{rng.randrange(10**9)}" for _ in range(50)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, " ".join(far))]
+    sets = minhash_forest.shingle_sets(common.id_text(spark.createDataFrame(rows, "doc_id long, text string")), 5).withColumnRenamed("doc_id", "rep")
+    written, saved = [], minhash_forest.saved
+    monkeypatch.setattr(minhash_forest, "saved", lambda df: written.append(saved(df)) or written[-1])
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    assert [tuple(r) for r in minhash_forest.confirmed(pairs, saved(sets)).collect()] == [(1, 2)]
+    assert [tuple(r) for r in written[0].collect()] == [(1, 2)]
