@@ -32,8 +32,8 @@ from .common import arrow_map, batch_of, filesystem, fresh_folder, id_text, in_p
 MAGIC = b"RPLN1\n"
 CHUNK = 1 << 18
 LEVEL = 1
-#: Words whose ids a worker keeps, and the longest word kept.
-CACHE_WORDS, CACHE_BYTES = 700_000, 64
+#: Words (and pieces of words) whose ids a worker keeps from task to task, and the longest word kept.
+CACHE_WORDS, CACHE_BYTES = 500_000, 64
 #: Words that the library gets in one call.
 CALL_WORDS = 4096
 #: One alternative of a cutting pattern that can't reach over white space: a literal, or a class without it.
@@ -245,6 +245,20 @@ class LibraryEncoder:
         return [b"".join([kept[w] if w in kept else long[w] for w in ws]) for ws in split]
 
 
+_encoders: dict[tuple, LibraryEncoder] = {}
+
+
+def encoder_of(path: str) -> LibraryEncoder:
+    """The encoder of a tokenizer file that this worker made for an earlier task, with the words it knows by now; a worker
+    holds one, and a file that was written anew gets a new one."""
+    stat = os.stat(path)
+    key = (path, stat.st_ino, stat.st_size, stat.st_mtime_ns)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = LibraryEncoder(path)
+    return _encoders[key]
+
+
 def write_planes(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, bits: bool = False) -> DataFrame:
     """Writes files in doc_id order into folder (a shared URI); a row for each file: part, path, n_ids, n_docs."""
     schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64())])
@@ -258,7 +272,7 @@ def write_planes(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
             if b.num_rows == 0:
                 continue
             if out is None:
-                encode = LibraryEncoder(tokenizer_path)
+                encode = encoder_of(tokenizer_path)
                 fs.create_dir(root, recursive=True)
                 draft = f"{root}/_{part}-{uuid.uuid4().hex}"
                 sink = fs.open_output_stream(draft)

@@ -446,3 +446,17 @@ def test_confirmation_ships_full_sets_of_possible_pairs_only(spark, monkeypatch)
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
     assert [tuple(r) for r in minhash_forest.confirmed(pairs, saved(sets)).collect()] == [(1, 2)]
     assert [tuple(r) for r in written[0].collect()] == [(1, 2)]
+
+
+def test_a_worker_keeps_its_encoder(tmp_path):
+    path = tmp_path / "tokenizer.json"
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    first = token_planes.encoder_of(str(path))
+    first([b"some words"])
+    assert token_planes.encoder_of(str(path)) is first and b"some" in first.kept
+    path.write_text(json.dumps(spec | {"normalizer": None}), encoding="utf-8")
+    second = token_planes.encoder_of(str(path))
+    assert second is not first and second.cut is None
+    assert second([b"Some Words"]) == token_planes.LibraryEncoder(str(path))([b"Some Words"])
