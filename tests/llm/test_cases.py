@@ -460,3 +460,13 @@ def test_a_worker_keeps_its_encoder(tmp_path):
     second = token_planes.encoder_of(str(path))
     assert second is not first and second.cut is None
     assert second([b"Some Words"]) == token_planes.LibraryEncoder(str(path))([b"Some Words"])
+
+
+def test_cells_go_when_they_are_read(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = " ".join(f"w{rng.randrange(10**9)}" for _ in range(120))
+    dropped, drop = [], compact_windows.drop_folder
+    monkeypatch.setattr(compact_windows, "drop_folder", lambda spark, uri: dropped.append(uri) or drop(spark, uri))
+    docs = spark.createDataFrame([(k, f"{passage} end{k}") for k in range(3)], "doc_id long, text string")
+    assert {(r.doc_id, r.rep_id) for r in compact_windows.repeated_passages(docs).collect()} == {(1, 0), (2, 0)}
+    assert any(uri.endswith("/cells") for uri in dropped)
