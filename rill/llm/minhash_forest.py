@@ -6,13 +6,15 @@
    signature and id, so a crowded region is cut wherever its rows are many). Candidates are sorted neighbours whose
    common prefix reaches LEAST_DEPTH, and, in each run that shares a prefix at several depths, the run's first row:
    sparse regions meet at small depth, crowded ones at greater depth as well, and the pairs stay linear in the rows.
-3. Candidates are confirmed in two rounds: each document's most often seen partners first, then, between components
-   still apart, all the others. A pair first meets on short sets, 16 bits of each shingle: what two short sets share is
-   never less than what the full ones do, so a pair that they rule out can't be a link. The full sets travel only for
-   the pairs that are left, and decide. Components are stars built by alternating minima.
-4. Runs of LEAST_DEPTH that still hold several components go on: their rows meet all rows of other components, ordered
-   by how many of all min-hashes agree, the best few of each row first and all in the last round. A crowded run is dealt
-   over pairs of its blocks. Pairs are many only where many near texts of one run stay apart.
+3. Candidates are confirmed on short sets, 16 bits of each shingle, before full ones: what two short sets share is never
+   less than what the full ones do, so a pair that they rule out can't be a link. The full sets travel only for the
+   pairs that are left, and decide. First each document meets its most often seen partner; then runs of LEAST_DEPTH that
+   hold several components go on (4); the candidates still apart come last. Components are stars built by alternating
+   minima.
+4. Rows of such a run that agree with a row of another component in enough of all min-hashes are met there, all with all
+   of other components, on full sets: the sets of two blocks of a run travel to one cell, where what is linked already
+   is passed over, and only links that join components leave it. No row stands for a pair: rows are those of the run,
+   once for each of its blocks.
 
 Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. Defined cases: null or empty text, or text without words, has an
 empty set, links with nothing and is kept; a text with fewer words than the width is one shingle; equal sets link;
@@ -26,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +42,8 @@ RUN_DEPTHS, NEIGHBOURS = (3, 4, 5, 6), 2
 SIMILAR = 80  # percent
 #: Min-hashes of all TREES * DEPTH that a pair of a run must share to be confirmed: 4.8 deviations under 0.8.
 LEAST_AGREE = 58
-#: Partners of a row in a cell, by round; the last round takes all.
-ROUNDS = (8, 64, None)
-#: Rows of a run in one block; a cell is a pair of blocks.
-BLOCK_ROWS = 1024
+#: Rows of a run in one block, and shingles where full sets meet; a cell is a pair of blocks.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Shingles hashed at once.
 _STRIP = 1 << 14
 
@@ -186,16 +187,43 @@ def run_members(reps: DataFrame) -> DataFrame:
     return arrow_map(reps, run, "run long, doc long")
 
 
-def run_pairs(members: DataFrame, reps: DataFrame, most: int | None) -> DataFrame:
-    """(a, b): pairs of one run, of different components and LEAST_AGREE equal min-hashes; of each row in a cell the best
-    most ones, or all. A pair comes from the first tree in which it shares a run: it would be found in the others again.
-    members: run, doc, component; reps: rep, n_shingles, signature."""
-    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    live = members.groupBy("run").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    dealt = members.join(live.select("run", blocks.alias("blocks")), "run").withColumn("block", F.expr("int(pmod(xxhash64(doc), blocks))"))
+def _dealt(rows: DataFrame, blocks) -> DataFrame:
+    """Rows (run, doc, component and others) of runs that hold several components, once for each pair (i, j) of the run's
+    blocks that their own block is in. blocks: an aggregate over a run."""
+    live = rows.groupBy("run").agg(F.ceil(blocks).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    dealt = rows.join(live.select("run", "blocks"), "run").withColumn("block", F.expr("int(pmod(xxhash64(doc), blocks))"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component")
+    return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+
+
+def _in_cells(dealt: DataFrame, cell, schema: pa.Schema, cast: str) -> DataFrame:
+    """cell(table) of all rows of a run and pair of blocks gives columns of a batch."""
+
+    def meet(batches):
+        held, cells = [], ("run", "i", "j")
+        for b in chain(batches, (None,)):
+            held += [b] if b is not None and b.num_rows else []
+            if not held:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            at = np.stack([t.column(c).to_numpy() for c in cells], axis=1)
+            heads = np.append(np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(axis=1))), len(at))
+            whole = len(heads) - 1 if b is None else len(heads) - 2
+            for x, y in zip(heads[:whole], heads[1 : whole + 1], strict=True):
+                found = cell(t.slice(x, y - x))
+                if len(found["a"]):
+                    yield batch_of(schema, **found)
+            held = [] if b is None else t.slice(heads[whole]).to_batches()
+
+    cells = dealt.repartition(partitions(dealt.sparkSession), "run", "i", "j").sortWithinPartitions("run", "i", "j")
+    return arrow_map(cells, meet, cast)
+
+
+def run_partners(members: DataFrame, reps: DataFrame, most: int | None) -> DataFrame:
+    """(run, a, b): pairs of one run, of different components and LEAST_AGREE equal min-hashes; of each row in a cell the
+    best most ones, or all. A pair comes from the first tree in which it shares a run: it would be found in the others
+    again. members: run, doc, component; reps: rep, n_shingles, signature."""
+    dealt = _dealt(members.select("run", "doc", "component"), F.count("*") / BLOCK_ROWS)
     dealt = dealt.join(reps.select(F.col("rep").alias("doc"), "n_shingles", "signature"), "doc")
 
     def cell(t: pa.Table):
@@ -203,7 +231,8 @@ def run_pairs(members: DataFrame, reps: DataFrame, most: int | None) -> DataFram
         signs = t.column("signature").to_pylist()
         sign = np.frombuffer(b"".join(signs), dtype="<u4").reshape(len(doc), -1)
         heads = sign.reshape(len(doc), TREES, DEPTH)[:, :, :LEAST_DEPTH]
-        tree = int(np.flatnonzero(_run_names(signs[:1])[0] == t.column("run")[0].as_py())[0])
+        run = t.column("run")[0].as_py()
+        tree = int(np.flatnonzero(_run_names(signs[:1])[0] == run)[0])
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         out = []
         for k in range(len(doc)):
@@ -218,26 +247,63 @@ def run_pairs(members: DataFrame, reps: DataFrame, most: int | None) -> DataFram
             if most is not None:
                 at = at[np.argsort(-agree, kind="stable")[:most]]
             out.append(np.stack([np.minimum(doc[at], doc[k]), np.maximum(doc[at], doc[k])], axis=1))
-        return np.unique(np.concatenate(out), axis=0)
+        found = np.unique(np.concatenate(out), axis=0)
+        return {"run": np.full(len(found), run), "a": found[:, 0], "b": found[:, 1]}
 
-    def meet(batches):
-        held, cells = [], ("run", "i", "j")
-        for b in chain(batches, (None,)):
-            held += [b] if b is not None and b.num_rows else []
-            if not held:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            at = np.stack([t.column(c).to_numpy() for c in cells], axis=1)
-            heads = np.append(np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(axis=1))), len(at))
-            whole = len(heads) - 1 if b is None else len(heads) - 2
-            for x, y in zip(heads[:whole], heads[1 : whole + 1], strict=True):
-                found = cell(t.slice(x, y - x))
-                if len(found):
-                    yield batch_of(pairs, a=found[:, 0], b=found[:, 1])
-            held = [] if b is None else t.slice(heads[whole]).to_batches()
+    schema = pa.schema([("run", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    return _in_cells(dealt, cell, schema, "run long, a long, b long")
 
-    cells = dealt.repartition(partitions(reps.sparkSession), "run", "i", "j").sortWithinPartitions("run", "i", "j")
-    return arrow_map(cells, meet, "a long, b long")
+
+def run_pairs(members: DataFrame, reps: DataFrame, most: int | None) -> DataFrame:
+    """(a, b) of run_partners()."""
+    return run_partners(members, reps, most).select("a", "b")
+
+
+def joining_links(component: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (places of two rows) that join all components that some pair of rows links. Every row meets all rows of other
+    components, the smallest component's rows first; what it is linked with is one component from then on."""
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.concatenate(([0], np.cumsum(size)))
+    of = np.unique(component, return_inverse=True)[1]
+    left, out = np.ones(len(sets), dtype=bool), []
+    has = np.zeros(len(flat), dtype=bool)
+    rows, starts, part = np.arange(len(sets)), first[:-1], flat
+    while True:
+        n = np.bincount(of[left], minlength=len(of))
+        if np.count_nonzero(n) < 2:
+            return out
+        k = int(np.flatnonzero(left & (n[of] == n[n > 0].min()))[0])
+        left[k] = False
+        own = flat[first[k] : first[k + 1]]
+        has[own] = True
+        both = np.add.reduceat(has[part], starts, dtype=np.int64)
+        has[own] = False
+        linked = rows[left[rows] & (of[rows] != of[k]) & (100 * both >= SIMILAR * (size[rows] + size[k] - both))]
+        joined, at = np.unique(of[linked], return_index=True)
+        out += [(k, int(x)) for x in linked[at]]
+        of[np.isin(of, joined)] = of[k]
+        if 2 * np.count_nonzero(left) < len(rows):
+            part = part[np.repeat(left[rows], size[rows])]
+            rows = rows[left[rows]]
+            starts = np.concatenate(([0], np.cumsum(size[rows])[:-1]))
+
+
+def run_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between rows of one run that join their components, on full sets. rows: run, doc, component,
+    n_shingles; sets: rep, shingles, with each doc as a rep."""
+    dealt = _dealt(rows, F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES))
+    dealt = dealt.join(sets.select(F.col("rep").alias("doc"), "shingles"), "doc").select("run", "i", "j", "doc", "component", "shingles")
+
+    def cell(t: pa.Table):
+        doc, component = (t.column(c).to_numpy() for c in ("doc", "component"))
+        column = t.column("shingles").combine_chunks()
+        values, ends = column.flatten().to_numpy(), np.cumsum(pc.list_value_length(column).to_numpy())
+        links = joining_links(component, np.split(values, ends[:-1]))
+        return {"a": [doc[x] for x, _ in links], "b": [doc[y] for _, y in links]}
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return _in_cells(dealt, cell, schema, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -301,35 +367,39 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     # first round: for either end, the partner met in most places
     ends = pairs.select(F.col("a").alias("end"), "a", "b", "n").unionByName(pairs.select(F.col("b").alias("end"), "a", "b", "n"))
     first = saved(ends.groupBy("end").agg(F.max(F.struct("n", "a", "b")).alias("top")).select("top.a", "top.b").distinct())
-    met = saved(components(confirmed(first, sets)))
-    ca = met.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    cb = met.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    apart = saved(pairs.join(first, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left").filter("not (ca <=> cb) or ca is null").select("a", "b"))
+    now = saved(components(confirmed(first, sets)))
     # what is linked goes on as stars, so that components() has little left to do
     star = lambda found: found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    now = saved(components(saved(star(met).unionByName(confirmed(apart, sets)))))
-    tested = saved(pairs.select("a", "b"))
-    del pairs, ends, first, met, ca, cb, apart
+    rest = saved(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"))
+    del pairs, ends, first
     release(spark)
     members = run_members(reps)
-    crowded = saved(members.join(members.groupBy("run").count().filter("count > 1").select("run"), "run"))
-    del members
-    for most in ROUNDS:
-        placed = crowded.join(now.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        more = saved(run_pairs(placed, reps, most).join(tested, ["a", "b"], "left_anti"))
-        release(spark)
-        if more.isEmpty():
-            continue
-        new = saved(more.select(F.col("a").alias("rep")).unionByName(more.select(F.col("b").alias("rep"))).distinct().join(wanted, "rep", "left_anti"))
+    crowded = members.join(members.groupBy("run").count().filter("count > 1").select("run"), "run")
+    placed = saved(crowded.join(now.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")))
+    del members, crowded
+    release(spark)
+    partners = saved(run_partners(placed, reps, 1))
+    release(spark)
+    if not partners.isEmpty():
+        asked = partners.select("run", F.col("a").alias("doc")).unionByName(partners.select("run", F.col("b").alias("doc"))).distinct()
+        rows = saved(asked.join(placed, ["run", "doc"]).join(reps.select(F.col("rep").alias("doc"), "n_shingles"), "doc"))
+        new = saved(rows.select(F.col("doc").alias("rep")).distinct().join(wanted, "rep", "left_anti"))
         if not new.isEmpty():
             sets = sets.unionByName(sets_of(new))
-            wanted = wanted.unionByName(new)
-        links = confirmed(more, sets)
-        if not links.isEmpty():
-            now = saved(components(saved(star(now).unionByName(links))))
-        tested = tested.unionByName(more)
+        links = saved(run_links(rows, sets))
+        del asked, rows, new
         release(spark)
-    del crowded, tested, sets, wanted
+        now = saved(components(saved(star(now).unionByName(links))))
+    del placed, partners
+    ca = now.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    cb = now.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    apart = saved(rest.join(ca, "a", "left").join(cb, "b", "left").filter("not (ca <=> cb) or ca is null").select("a", "b"))
+    del rest, ca, cb
+    release(spark)
+    links = confirmed(apart, sets)
+    if not links.isEmpty():
+        now = saved(components(saved(star(now).unionByName(links))))
+    del apart, sets, wanted
     release(spark)
     # doc_ids with several texts join the classes of all of them
     text_of = F.struct(*_SET)

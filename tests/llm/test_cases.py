@@ -435,6 +435,45 @@ def test_a_pair_of_several_runs_comes_once(spark):
     assert sorted(got) == [(a, b) for a in range(12) for b in range(a + 1, 12) if a % 2 == b % 2]
 
 
+def test_joining_links_are_all_that_components_need():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        bases = [rng.integers(0, 1 << 62, 60) for _ in range(3)]
+        sets = [np.unique(np.concatenate((rng.permutation(bases[rng.integers(3)])[: rng.integers(40, 61)], rng.integers(0, 1 << 62, rng.integers(0, 9))))) for _ in range(30)]
+        component = rng.integers(0, 20, 30)
+        links = minhash_forest.joining_links(component, sets)
+
+        def grouped(pairs, component=component):
+            of = component.copy()
+            for x, y in pairs:
+                of[of == of[y]] = of[x]
+            return {frozenset(np.flatnonzero(of == c).tolist()) for c in of}
+
+        both = lambda x, y, sets=sets: len(np.intersect1d(sets[x], sets[y]))
+        linked = [(x, y) for x in range(30) for y in range(x) if 100 * both(x, y) >= 80 * (len(sets[x]) + len(sets[y]) - both(x, y))]
+        assert set(links) <= {*linked, *((y, x) for x, y in linked)}
+        assert grouped(links) == grouped(linked) and len(links) == len(set(component.tolist())) - len(grouped(links))
+
+
+def test_rows_that_stay_apart_from_a_large_group_are_not_paired_with_all_of_it(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+    near, far = 300, 100
+
+    def copy(edits):
+        out = list(base)
+        for k in rng.sample(range(2, 298, 2), edits):
+            out[k] = f"x{rng.randrange(10**9)}"
+        return " ".join(out)
+
+    counts, confirmed = [], minhash_forest.confirmed
+    monkeypatch.setattr(minhash_forest, "confirmed", lambda pairs, sets: counts.append(pairs.count()) or confirmed(pairs, sets))
+    rows = [(k, copy(3) if k < near else copy(24)) for k in range(near + far)]
+    got = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: 0 if k < near else k for k in range(near + far)}
+    assert sum(counts) < near * far / 2
+
+
 def test_confirmation_ships_full_sets_of_possible_pairs_only(spark, monkeypatch):
     rng = random.Random(4)
     base = [f"w{rng.randrange(10**9)}" for _ in range(200)]
