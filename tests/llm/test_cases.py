@@ -5,9 +5,11 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -487,6 +489,20 @@ def test_confirmation_ships_full_sets_of_possible_pairs_only(spark, monkeypatch)
     assert [tuple(r) for r in written[0].collect()] == [(1, 2)]
 
 
+def test_a_piece_takes_little_memory():
+    rng = random.Random(7)
+    batch = pa.record_batch({"text": [" ".join(f"w{rng.randrange(9999)}" for _ in range(300)) for _ in range(2000)]})
+    most = []
+    for kernel in (toxicity.terms_of, common.words_of):
+        kernel([b"some words"])
+        tracemalloc.start()
+        for _, _, texts in common.in_pieces(batch):
+            kernel(texts)
+        most.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert max(most) < 80, most
+
+
 def test_a_worker_keeps_its_encoder(tmp_path):
     path = tmp_path / "tokenizer.json"
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
