@@ -283,6 +283,35 @@ def test_cells_are_meetings_of_windows():
     assert sorted(zip(*(x.tolist() for x in got[:5]), strict=True)) == sorted(tuple(map(int, w)) for w in want) and len(want) > 100
 
 
+def test_cells_of_one_word_over_and_over_are_one(spark, monkeypatch):
+    draw = random.Random(5)
+    new = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    # a word whose runs two functions of a half have as their min-hash
+    tokens = compact_windows._tokens([f"the{k} ".encode() * 5 for k in range(40000)])[0]
+    word = f"the{np.argmin(np.maximum(*(compact_windows.windows(tokens, np.arange(40001), f, 1)[4] for f in (1, 2))))}"
+    # a run that is too short for a passage in every document, one that is long enough in two of them
+    texts = [[*new(60), *[word] * 34, *new(60)] for _ in range(8)]
+    for t in texts[5:7]:
+        t += [*["der"] * 120, *new(60)]
+    sizes, drop = [], compact_windows.drop_folder
+
+    def counted(spark, uri):
+        if uri.endswith("/cells"):
+            sizes.extend(r[0] for r in spark.read.parquet(uri).groupBy("name", "doc_id").count().select("count").collect())
+        drop(spark, uri)
+
+    monkeypatch.setattr(compact_windows, "drop_folder", counted)
+    got = compact_windows.repeated_passages(table_of(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])).collect()
+    assert len(sizes) >= 8 and max(sizes) == 1
+    assert {(r.doc_id, r.rep_id) for r in got} == {(6, 5)} and max(r.end_word - r.start_word for r in got) >= 120
+
+
+def test_chains_join_cells_of_one_name():
+    column = lambda *x: np.array(x, dtype=np.int64)
+    got = compact_windows.chains(column(0, 0, 0, 0, 1), np.array([7, 7, 7, 9, 7], dtype=np.uint64), column(3, 3, 3, 3, 3), column(0, 11, 90, 0, 0), column(10, 20, 100, 10, 10), column(12, 22, 101, 12, 12), column(80, 60, 150, 80, 80), 44)
+    assert [x.tolist() for x in got] == [[0, 0, 0, 1], [7, 7, 9, 7], [3, 3, 3, 3], [0, 90, 0, 0], [10, 100, 10, 10], [22, 101, 12, 12], [80, 150, 80, 80], [True, False, False, False]]
+
+
 @pytest.mark.parametrize("star_above", [4, 0])
 def test_rejected_documents_hide_no_passage(spark, monkeypatch, star_above):
     monkeypatch.setattr(compact_windows, "STAR_ABOVE", star_above)
