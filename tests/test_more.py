@@ -5,7 +5,9 @@ import decimal
 import random
 import time
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +168,18 @@ def test_blocks_of_times_and_averages(spark):
     assert [r.file for r in generate.by_period(df, "t", 4.0, [], ["t"]).orderBy("t").collect()] == [T0] * 3 + [T0 + datetime.timedelta(seconds=5)] * 2
 
 
+def test_mean_of_times_as_sql(spark):
+    draw = random.Random(5)
+    rows_ = [(g, T0 + datetime.timedelta(microseconds=draw.randrange(30 * 86400 * 10**6))) for g in range(60) for _ in range(1 + 7 * g)]
+    rows_ += [(100 + k, T0 + datetime.timedelta(microseconds=m)) for k in range(4) for m in (0, 0, 1 + k, k)] + [(200, None), (201, T0), (201, None)]
+    got = calc.typed_calc(spark.createDataFrame(rows_, "g int, t timestamp_ntz"), ["mean", "size"], ["t"], ["g"])
+    x = pd.DataFrame(rows_, columns=["g", "t"])
+    c = duckdb.connect()
+    c.register("x", x)
+    want = c.execute("with y as (select g::int as g, t::timestamp as t from x) select g, make_timestamp(round(avg(epoch_us(t)))::bigint), count(t) from y group by 1 order by 1").fetchall()
+    assert [tuple(r) for r in got.orderBy("g").collect()] == want
+
+
 def test_erasing_a_running_value(spark):
     df = spark.createDataFrame([(k, v) for k, v in enumerate([None, "a", None, "z", None, "b"])], "t int, v string")
     assert [r.v for r in rows.running_update(df, ["v"], [], ["t"], erase="z").orderBy("t").collect()] == [None, "a", "a", None, None, "b"]
