@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -153,15 +154,14 @@ def format_time(t: Column, kind: str, zone: str = "UTC") -> Column:
     the zone), tai (iso, ahead by the leap seconds), or `format;` and a pattern of letters such as yyyy-MM-dd."""
     if kind.startswith("format;"):
         return F.date_format(t, kind[7:])
-    part = F.date_format(t, "SSSSSS")
-    with_part = lambda base: F.when(part == "000000", base).otherwise(F.concat(base, F.lit("."), part))
+    with_part = lambda pattern: F.regexp_replace(F.date_format(t, pattern + ".SSSSSS"), r"\.0{6}$", "")
     forms = {
         "iso": lambda: iso(t),
         "iso-always-with-fractions": lambda: iso(t, True),
         "seconds": lambda: _seconds_text(t),
         "microseconds": lambda: _micros(t).cast("string"),
-        "sql": lambda: with_part(F.date_format(t, "yyyy-MM-dd HH:mm:ss")),
-        "xsd": lambda: with_part(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")),
+        "sql": lambda: with_part("yyyy-MM-dd HH:mm:ss"),
+        "xsd": lambda: with_part("yyyy-MM-dd'T'HH:mm:ss"),
         "local": lambda: iso(F.from_utc_timestamp(t.cast("timestamp"), zone)),
         "tai": lambda: iso(t + F.make_dt_interval(secs=tai_offset(t).cast("decimal(18,6)"))),
     }
@@ -173,14 +173,21 @@ def format_time(t: Column, kind: str, zone: str = "UTC") -> Column:
 _XSD = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2})(\.\d{1,6})?\d*(Z|[+-]\d{2}(?::?\d{2})?)?$"
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x where x is evaluated once a row, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _xsd(x: Column) -> Column:
-    """With an offset (`Z`, `+11:00`, `+1100`, `+11`) taken off."""
-    group = lambda k: F.regexp_extract(x, _XSD, k)
-    local = F.try_to_timestamp(F.concat(group(1), F.lit(" "), group(2)), F.lit("yyyy-MM-dd HH:mm:ss"))
-    part = F.rpad(F.substr(group(3), F.lit(2)), 6, "0").try_cast("long")
-    digits = F.regexp_replace(group(4), "[Z:+-]", "")
+    """With an offset (`Z`, `+11:00`, `+1100`, `+11`) taken off. One regular expression tells if it is one; its parts are
+    at fixed places, but for the offset, which follows the digits."""
+    local = F.try_to_timestamp(F.concat(F.substring(x, 1, 10), F.lit(" "), F.substring(x, 12, 8)), F.lit("yyyy-MM-dd HH:mm:ss"))
+    zone = F.ltrim(F.substr(x, F.lit(20)), F.lit(".0123456789"))
+    fraction = F.when(F.substring(x, 20, 1) == ".", F.rpad(F.substring(F.substr(x, F.lit(21), F.length(x) - 20 - F.length(zone)), 1, 6), 6, "0").try_cast("long")).otherwise(F.lit(0))
+    digits = F.translate(zone, "Z:+-", "")
     offset = F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 3600 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)) * 60
-    micros = F.unix_micros(local) + F.coalesce(part, F.lit(0)) - F.when(group(4).startswith("-"), -offset).otherwise(offset).cast("long") * 1_000_000
+    east = F.when(zone.isin("", "Z"), F.lit(0)).when(zone.startswith("-"), -offset).otherwise(offset)
+    micros = F.unix_micros(local) + fraction - east.cast("long") * 1_000_000
     return F.when(x.rlike(_XSD), F.timestamp_micros(micros))
 
 
@@ -188,6 +195,15 @@ def parse_time(x: Column, kind: str = "guess", strict: bool = False) -> Column:
     """Text as a time without zone, in UTC: iso, xsd (with or without offset), sql, seconds, microseconds, tai, or guess,
     which tries iso, xsd, sql and seconds. Empty text, null and not-a-date-time are null; so is what can't be read, or,
     if strict, an error."""
+    if kind not in _KINDS:
+        raise ValueError(f"time format {kind!r}: expected one of {', '.join(_KINDS)}")
+    return once(x, lambda text: _parsed(text, kind, strict))
+
+
+_KINDS = ("iso", "xsd", "sql", "seconds", "microseconds", "guess", "tai")
+
+
+def _parsed(x: Column, kind: str, strict: bool) -> Column:
     forms = {
         "iso": lambda: F.try_to_timestamp(x, F.lit("yyyyMMdd'T'HHmmss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]")),
         "xsd": lambda: _xsd(x),
@@ -195,10 +211,8 @@ def parse_time(x: Column, kind: str = "guess", strict: bool = False) -> Column:
         "seconds": lambda: F.timestamp_micros((x.try_cast("decimal(26,6)") * 1_000_000).cast("long")),
         "microseconds": lambda: F.timestamp_micros(x.try_cast("long")),
         "guess": lambda: F.coalesce(forms["iso"](), forms["xsd"](), forms["seconds"]()),
-        "tai": lambda: _from_tai(forms["iso"]()),
+        "tai": lambda: once(forms["iso"](), _from_tai),
     }
-    if kind not in forms:
-        raise ValueError(f"time format {kind!r}: expected one of {', '.join(forms)}")
     out = forms[kind]().cast("timestamp_ntz")
     if strict:
         none = x.isNull() | x.isin("", "not-a-date-time")

@@ -180,6 +180,15 @@ def test_mean_of_times_as_sql(spark):
     assert [tuple(r) for r in got.orderBy("g").collect()] == want
 
 
+def test_a_parsed_text_is_evaluated_once(spark):
+    df = spark.createDataFrame([("2020-01-01 10:00:00.1234567Z",), ("2020-01-01 12:00:00+0130",), ("2020-01-01 10:00:00.5-00:30",), ("2020-01-01 10:00:00.",), ("2020-02-30 10:00:00",), (None,)], "x string")
+    for kind in ("sql", "xsd", "guess", "tai"):
+        plan = df.select(scalar.parse_time(F.reverse(F.reverse(F.lower("x"))), kind).alias("t"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("lower(") == 1
+    day = datetime.datetime(2020, 1, 1, 10)
+    assert [r.t for r in df.select(scalar.parse_time(F.col("x"), "sql").alias("t")).collect()] == [day.replace(microsecond=123456), day.replace(minute=30), day.replace(minute=30, microsecond=500000), None, None, None]
+
+
 def test_erasing_a_running_value(spark):
     df = spark.createDataFrame([(k, v) for k, v in enumerate([None, "a", None, "z", None, "b"])], "t int, v string")
     assert [r.v for r in rows.running_update(df, ["v"], [], ["t"], erase="z").orderBy("t").collect()] == [None, "a", "a", None, None, "b"]
