@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,25 +98,82 @@ def _point(c: Column, kind: str) -> Column:
     return F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else c
 
 
+#: Records without a key go to ranges of about this many, at most so many of them.
+_RANGE, _MOST_RANGES = 50_000, 1000
+
+
+def _in_ranges(left: DataFrame, right: DataFrame, kind: str) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides with the number of the range of their time `__t`, `__range`; how many there are. Of a time that fills
+    several ranges the bounding records are in the first, the others are dealt over all."""
+    real = kind in ("float", "double")
+    point = lambda d: _point(F.col("__t"), d.select("__t").dtypes[0][1]).cast("double" if real else "long")
+    points = left.select(point(left).alias("at")).unionByName(right.select(point(right).alias("at")))
+    points = points.filter(~F.isnan("at")) if real else points
+    n, cuts = points.agg(F.count("at"), F.percentile_approx("at", [k / _MOST_RANGES for k in range(1, _MOST_RANGES)], 10_000)).first()
+    step = max(1, math.ceil(_MOST_RANGES * _RANGE / max(n, 1)))
+    cuts = (cuts or [])[step - 1 :: step]
+    values = sorted(set(cuts))
+    times = [cuts.count(v) for v in values] + [1]
+    starts = [sum(times[:k]) for k in range(len(times))]
+    if not values:
+        return left.withColumn("__range", F.lit(0)), right.withColumn("__range", F.lit(0)), 1
+    array = lambda of, type_: F.lit(of).cast(f"array<{type_}>")
+    values_, starts_, times_ = array(values, "double" if real else "long"), array(starts, "int"), array(times, "int")
+    halves = F.lit([1 << k for k in reversed(range(len(values).bit_length()))]).cast("array<int>")
+
+    def placed(d: DataFrame) -> DataFrame:  # how many of the values are less
+        at = point(d)
+        return d.withColumn("__place", F.aggregate(halves, F.lit(0), lambda i, h: F.when(F.get(values_, i + h - 1) < at, i + h).otherwise(i)))
+
+    left, right = placed(left), placed(right)
+    turn = F.when(F.get(values_, F.col("__place")) == point(left), F.pmod(F.monotonically_increasing_id(), F.get(times_, F.col("__place")))).otherwise(F.lit(0)).cast("int")
+    left = left.withColumn("__range", F.get(starts_, F.col("__place")) + turn).drop("__place")
+    return left, right.withColumn("__range", F.get(starts_, F.col("__place"))).drop("__place"), starts[-1] + 1
+
+
+def _bounded(df: DataFrame, bounds: DataFrame, t: str, bound_t: str, by: list[str], sides: tuple[str, ...], bound_order: list[str] | None = None) -> DataFrame:
+    """Each record as `row`, its time `__t`, and of the sides asked for the last bounding record at or before it,
+    `__lower`, and the first after it, `__upper`."""
+    df, bounds = df.filter(F.col(t).isNotNull()), bounds.filter(F.col(bound_t).isNotNull())
+    bound_type = bounds.select(F.struct(*bounds.columns)).schema[0].dataType
+    row_type = df.select(F.struct(*df.columns)).schema[0].dataType
+    tie, bound = F.struct(*(bound_order or bounds.columns)), F.struct(*bounds.columns)
+    tie_type = bounds.select(tie).schema[0].dataType
+    nothing = lambda kind: F.lit(None).cast(kind)
+    left = df.select(*by, F.col(t).alias("__t"), F.lit(1).alias("__side"), nothing(tie_type).alias("__tie"), F.struct(*df.columns).alias("row"), *(nothing(bound_type).alias(f"__{s}") for s in sides))
+    right = bounds.select(*by, F.col(bound_t).alias("__t"), F.lit(0).alias("__side"), tie.alias("__tie"), nothing(row_type).alias("row"), *(bound.alias(f"__{s}") for s in sides))
+    found, keys = left.unionByName(right), by
+    if not by and found.select("__t").dtypes[0][1] in ("timestamp", "timestamp_ntz", "tinyint", "smallint", "int", "bigint", "float", "double"):
+        ends = {"lower": F.max_by("bound", "tie"), "upper": F.min_by("bound", "tie")}
+        least = bounds.select(F.col(bound_t).alias("__t"), bound.alias("bound"), tie.alias("tie")).groupBy("__t").agg(*(ends[s].alias(f"__{s}") for s in sides))
+        right = least.select("__t", F.lit(0).alias("__side"), nothing(tie_type).alias("__tie"), nothing(row_type).alias("row"), *(f"__{s}" for s in sides))
+        left, right, count = _in_ranges(left, right, found.select("__t").dtypes[0][1])
+        # the last bounding record of each range holds over into those after it, the first into those before it
+        of_range = right.groupBy("__range").agg(*((F.max_by if s == "lower" else F.min_by)(F.struct("__t", f"__{s}"), "__t").alias(s) for s in sides))
+        found = left.unionByName(right)
+        ranges = found.sparkSession.range(count).select(F.col("id").cast("int").alias("__range")).join(of_range, "__range", "left")
+        for s in sides:
+            before = Window.orderBy(F.col("__range") if s == "lower" else F.col("__range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+            held = ranges.select("__range", F.last(s, True).over(before).alias("held")).filter("held is not null")
+            found = found.unionByName(held.select("__range", "held.__t", F.lit(0).alias("__side"), f"held.__{s}"), True)
+        keys = ["__range"]
+    up = Window.partitionBy(*keys).orderBy("__t", "__side", "__tie")
+    down = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in ("__t", "__side", "__tie")))
+    for s, order in (("lower", up), ("upper", down)):
+        if s in sides:
+            found = found.withColumn(f"__{s}", F.last(f"__{s}", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return found.filter("__side = 1").select("row", "__t", *(f"__{s}" for s in sides))
+
+
 def time_join(df: DataFrame, bounds: DataFrame, t: str, bound_t: str, by: list[str], how: str = "lower", within: Column | None = None, bound_order: list[str] | None = None) -> DataFrame:
     """Each record with one of the bounding records of its key: the last at or before it ("lower"), the first after it
     ("upper"), or the nearer of both ("nearest"; a tie takes the upper). Both sides are sorted together, once for each
     direction; a running last value finds the bound, so a key costs what its records cost, and no range join is made.
     bound_order orders the bounding records of one time (all their columns, if not given): the last of them is the
     lower, the first the upper. The bounding record comes as the struct `bound`; records without one go, and so do those
-    for which within fails. One key's records are one task's."""
-    bound_type = bounds.select(F.struct(*bounds.columns)).schema[0].dataType
-    row_type = df.select(F.struct(*df.columns)).schema[0].dataType
-    tie = F.struct(*(bound_order or bounds.columns))
-    tie_type = bounds.select(tie).schema[0].dataType
-    left = df.select(*by, F.col(t).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(tie_type).alias("__tie"), F.struct(*df.columns).alias("row"), F.lit(None).cast(bound_type).alias("bound"))
-    right = bounds.select(*by, F.col(bound_t).alias("__t"), F.lit(0).alias("__side"), tie.alias("__tie"), F.lit(None).cast(row_type).alias("row"), F.struct(*bounds.columns).alias("bound"))
-    found = left.unionByName(right)
-    up = Window.partitionBy(*by).orderBy("__t", "__side", "__tie")
-    down = Window.partitionBy(*by).orderBy(*(F.col(c).desc() for c in ("__t", "__side", "__tie")))
-    for side, order in (("lower", up), ("upper", down)):
-        if how in (side, "nearest"):
-            found = found.withColumn(f"__{side}", F.last("bound", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    for which within fails, or whose time is null. One key's records are one task's; without keys the records go to
+    ranges of their times, for which one aggregate is run when called."""
+    found = _bounded(df, bounds, t, bound_t, by, ("lower", "upper") if how == "nearest" else (how,), bound_order)
     if how == "nearest":
         kind, bound_kind = dict(df.dtypes)[t], dict(bounds.dtypes)[bound_t]
         at = _point(F.col("__t"), kind)
@@ -123,7 +181,7 @@ def time_join(df: DataFrame, bounds: DataFrame, t: str, bound_t: str, by: list[s
         chosen = F.when(F.col("__upper").isNull() | (gap_low < gap_high), F.col("__lower")).otherwise(F.col("__upper"))
     else:
         chosen = F.col(f"__{how}")
-    out = found.filter("__side = 1").select("row.*", chosen.alias("bound")).filter("bound is not null")
+    out = found.select("row.*", chosen.alias("bound")).filter("bound is not null")
     return out if within is None else out.filter(within)
 
 
@@ -136,8 +194,6 @@ def time_difference(t: Column, bound_t: Column, absolute: bool = False) -> Colum
 def queue_match(df: DataFrame, other: DataFrame, t: str, other_t: str, by: list[str], most: float) -> DataFrame:
     """Pairs as two queues give them whose fronts are compared: fronts at most `most` seconds apart leave as a pair,
     else the earlier one is purged. other's record comes as the struct `match`. A key's records are folded in order."""
-    import pandas as pd
-
     limit = round(most * 1e6)
     types = T.StructType([*df.schema.fields, T.StructField("match", T.StructType(other.schema.fields))])
     side = lambda d, at, which: d.select(*by, _point(F.col(at), dict(d.dtypes)[at]).alias("__t"), F.lit(which).alias("__side"), F.to_json(F.struct(*d.columns), {"ignoreNullFields": "false"}).alias("__row"))

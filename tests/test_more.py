@@ -189,6 +189,37 @@ def test_a_parsed_text_is_evaluated_once(spark):
     assert [r.t for r in df.select(scalar.parse_time(F.col("x"), "sql").alias("t")).collect()] == [day.replace(microsecond=123456), day.replace(minute=30), day.replace(minute=30, microsecond=500000), None, None, None]
 
 
+@pytest.mark.parametrize("top", [3, 1000])
+def test_joins_without_keys_go_by_ranges(spark, monkeypatch, top):
+    monkeypatch.setattr(joins, "_RANGE", 20)
+    draw = random.Random(top)
+    a = [(i, None if i == 7 else draw.randrange(2 * top) / 2) for i in range(400)]
+    b = [(i, None if i == 7 else draw.randrange(top // 3, top) + 0.0) for i in range(100)]
+    left, right = spark.createDataFrame(a, "id int, t double").coalesce(1), spark.createDataFrame(b, "n int, u double").coalesce(1)
+    known = sorted((u, n) for n, u in b if u is not None)
+    want = {"lower": [], "upper": [], "nearest": []}
+    for i, t in a:
+        if t is None:
+            continue
+        low, up = [x for x in known if x[0] <= t][-1:], [x for x in known if x[0] > t][:1]
+        want["lower"] += [(i, n) for _, n in low]
+        want["upper"] += [(i, n) for _, n in up]
+        want["nearest"] += [(i, (low if not up or low and t - low[0][0] < up[0][0] - t else up)[0][1])]
+    for how, pairs in want.items():
+        got = joins.time_join(left, right, "t", "u", [], how, bound_order=["n"]).select("id", "bound.n")
+        assert sorted(map(tuple, got.collect())) == pairs
+        assert "windowspecdefinition(__range" in got._jdf.queryExecution().analyzed().toString().replace("#", "")
+    named = left.withColumn("k", F.expr("id % 150"))
+    got = joins.radius_join(named, right, "t", "u", 2.0, nearest=["k"]).select("k", "id", "n")
+    best = {}
+    for i, t in a:
+        for u, _ in known if t is not None else []:
+            if abs(t - u) <= 2.0:
+                best[i % 150] = min(best.get(i % 150, (9, 9)), (abs(t - u), u))
+    pairs = sorted((i % 150, i, n) for i, t in a if t is not None and i % 150 in best for u, n in known if u == best[i % 150][1] and abs(t - u) <= 2.0)
+    assert sorted(map(tuple, got.collect())) == pairs
+
+
 def test_erasing_a_running_value(spark):
     df = spark.createDataFrame([(k, v) for k, v in enumerate([None, "a", None, "z", None, "b"])], "t int, v string")
     assert [r.v for r in rows.running_update(df, ["v"], [], ["t"], erase="z").orderBy("t").collect()] == [None, "a", "a", None, None, "b"]
