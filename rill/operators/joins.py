@@ -77,8 +77,10 @@ def require_matched(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFra
 def radius_join(df: DataFrame, other: DataFrame, x: str | list[str], y: str | list[str], radius: float, nearest: list[str] | None = None) -> DataFrame:
     """Pairs with |x - y| <= radius, in one dimension or (lists of columns) in several, by cells of that width: each right
     record goes to its own cell, each left one to its cell and the neighbours. nearest: the left columns that name a
-    record; only the nearest right values stay (ties: the lower)."""
+    record; only the nearest right values stay (ties: the lower). In one dimension those are found in order, not in pairs."""
     xs, ys = ([x], [y]) if isinstance(x, str) else (x, y)
+    if nearest is not None and len(xs) == 1:
+        return _nearest_within(df, other, xs[0], ys[0], radius, nearest)
     cells = [f"__b{k}" for k in range(len(xs))]
     left, right = df, other
     for b, c, d in zip(cells, xs, ys, strict=True):
@@ -93,6 +95,17 @@ def radius_join(df: DataFrame, other: DataFrame, x: str | list[str], y: str | li
     return null_safe_join(met, best, nearest).filter(value == F.col("__best.v")).drop("__best")
 
 
+def _nearest_within(df: DataFrame, other: DataFrame, x: str, y: str, radius: float, nearest: list[str]) -> DataFrame:
+    """The nearest right value of a record is the last at or below its own or the first above: no pairs are formed but
+    those that stay."""
+    values = other.select(F.col(y).alias("v")).distinct()
+    found = _bounded(df.select(*dict.fromkeys([*nearest, x])), values, x, "v", [], ("lower", "upper"))
+    ends = found.select("row.*", F.explode(F.array(F.col("__lower.v"), F.col("__upper.v"))).alias("v")).withColumn("d", F.abs(F.col(x) - F.col("v")))
+    best = ends.filter(F.col("d") <= radius).groupBy(*nearest).agg(F.min(F.struct("d", "v")).alias("__best"))
+    named = null_safe_join(df, best, nearest).withColumn("__best", F.col("__best.v"))
+    return named.join(other, F.col("__best") == F.col(y)).filter(F.abs(F.col(x) - F.col(y)) <= radius).drop("__best")
+
+
 def _point(c: Column, kind: str) -> Column:
     """A time as whole microseconds, anything else as it is."""
     return F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else c
