@@ -74,6 +74,32 @@ def require_matched(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFra
     return tagged.filter(ok).drop("__found")
 
 
+#: Sides whose bytes, as the planner estimates them, have a product up to this are joined as they are.
+_SMALL = 1e11
+#: Others go to so many partitions; a cell with more pairs than this is dealt over several.
+_PARTS, _PAIRS = 800, 5_000_000
+
+
+def _met(left: DataFrame, right: DataFrame, cells: list[str]) -> DataFrame:
+    """Pairs of records that share a cell. Few bytes can make very many pairs, so large sides aren't left to partitions
+    (or a broadcast) by bytes: they go to a fixed number, and a cell of very many pairs is cut along its larger side,
+    with the smaller one copied to each part."""
+    size = lambda d: float(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size(left) * size(right) <= _SMALL:
+        return left.join(right, cells)
+    counts = left.groupBy(*cells).agg(F.count(F.lit(1)).alias("__l")).join(right.groupBy(*cells).agg(F.count(F.lit(1)).alias("__r")), cells)
+    pairs = F.col("__l").cast("double") * F.col("__r")
+    parts = F.least(F.ceil(pairs / _PAIRS), F.greatest("__l", "__r").cast("double")).cast("int")
+    hot = F.broadcast(counts.filter(pairs > _PAIRS).select(*cells, parts.alias("__parts"), (F.col("__l") >= F.col("__r")).alias("__long")))
+
+    def dealt(d: DataFrame, long: Column) -> DataFrame:
+        placed = d.withColumn("__id", F.monotonically_increasing_id()).join(hot, cells, "left")
+        part = F.when(F.col("__parts").isNull(), F.array(F.lit(0))).when(long, F.array(F.pmod("__id", "__parts").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("__parts") - 1))
+        return placed.withColumn("__part", F.explode(part)).drop("__id", "__parts", "__long").repartition(_PARTS, *cells, "__part")
+
+    return dealt(left, F.col("__long")).join(dealt(right, ~F.col("__long")).hint("shuffle_hash"), [*cells, "__part"]).drop("__part")
+
+
 def radius_join(df: DataFrame, other: DataFrame, x: str | list[str], y: str | list[str], radius: float, nearest: list[str] | None = None) -> DataFrame:
     """Pairs with |x - y| <= radius, in one dimension or (lists of columns) in several, by cells of that width: each right
     record goes to its own cell, each left one to its cell and the neighbours. nearest: the left columns that name a
@@ -87,7 +113,7 @@ def radius_join(df: DataFrame, other: DataFrame, x: str | list[str], y: str | li
         left = left.withColumn(b, F.explode(F.array(*(F.floor(F.col(c) / radius).cast("long") + k for k in (-1, 0, 1)))))
         right = right.withColumn(b, F.floor(F.col(d) / radius).cast("long"))
     apart = F.abs(F.col(xs[0]) - F.col(ys[0])) if len(xs) == 1 else F.sqrt(reduce(lambda u, v: u + v, ((F.col(c) - F.col(d)) ** 2 for c, d in zip(xs, ys, strict=True))))
-    met = left.join(right, cells).drop(*cells).filter(apart <= radius)
+    met = _met(left, right, cells).drop(*cells).filter(apart <= radius)
     if nearest is None:
         return met
     value = F.struct(*ys)

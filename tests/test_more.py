@@ -220,6 +220,22 @@ def test_joins_without_keys_go_by_ranges(spark, monkeypatch, top):
     assert sorted(map(tuple, got.collect())) == pairs
 
 
+def test_large_cells_are_dealt_over_partitions(spark, monkeypatch):
+    draw = random.Random(8)
+    a = [(i, draw.choice([5.0, 5.25, draw.uniform(0, 40)]), float(draw.randrange(3))) for i in range(200)]
+    b = [(i, draw.choice([5.0, draw.uniform(0, 40)]), float(draw.randrange(3))) for i in range(150)]
+    left, right = spark.createDataFrame(a, "i int, x double, p double").coalesce(1), spark.createDataFrame(b, "j int, y double, q double").coalesce(1)
+    spans = spark.createDataFrame([(j, y, y + 1.5) for j, y, _ in b], "j int, low double, high double")
+    near = sorted((i, j) for i, x, p in a for j, y, q in b if ((x - y) ** 2 + (p - q) ** 2) ** 0.5 <= 1.5)
+    inside = sorted((i, j) for i, x, _ in a for j, y, _ in b if y <= x < y + 1.5)
+    for name, value in (("_SMALL", 0), ("_PAIRS", 50), ("_PARTS", 6)):
+        monkeypatch.setattr(joins, name, value)
+    got = joins.radius_join(left, right, ["x", "p"], ["y", "q"], 1.5).select("i", "j")
+    assert got.rdd.getNumPartitions() == 6
+    assert sorted(map(tuple, got.collect())) == near
+    assert sorted(map(tuple, joins.interval_join(left, spans, "x", "low", "high", 1.5).select("i", "j").collect())) == inside
+
+
 def test_erasing_a_running_value(spark):
     df = spark.createDataFrame([(k, v) for k, v in enumerate([None, "a", None, "z", None, "b"])], "t int, v string")
     assert [r.v for r in rows.running_update(df, ["v"], [], ["t"], erase="z").orderBy("t").collect()] == [None, "a", "a", None, None, "b"]
