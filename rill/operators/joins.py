@@ -294,7 +294,7 @@ def interval_join(df: DataFrame, intervals: DataFrame, x: str, low: str, high: s
         return contain(df, intervals, x, low, high, width, "__in").filter("__in = 0").drop("__in")
     bounded, open_ = intervals.filter(a.isNotNull() & b.isNotNull()), intervals.filter(a.isNull() | b.isNull())
     levels = _level_count(bounded, a, b, width)
-    met = _at_levels(df, x, width, levels).join(_levels(bounded, a, b, width, levels), ["__level", "__b"]).drop("__level", "__b").filter((F.col(x) >= a) & (F.col(x) < b))
+    met = _met(_at_levels(df, x, width, levels), _levels(bounded, a, b, width, levels), ["__level", "__b"]).drop("__level", "__b").filter((F.col(x) >= a) & (F.col(x) < b))
     if open_.isEmpty():
         return met
     beyond = (a.isNull() | (F.col(x) >= a)) & (b.isNull() | (F.col(x) < b))
